@@ -251,6 +251,9 @@ _target = """race_date >= DATE '1996-01-01' AND track_code BETWEEN 1 AND 10 AND
              AND race_type_code IN (13, 14) AND condition_code_min_age IN (10, 16, 999)"""
 
 
+cte("target", f"SELECT race_id FROM race WHERE {_target}", "race")
+
+
 @query(
     "semi_prune",
     f"""
@@ -268,15 +271,14 @@ def semi_prune(t: Tables) -> DataFrame:
 
 @query(
     "prune_counts",
-    f"""
-    WITH target AS (SELECT race_id FROM race WHERE {_target})
+    """
     SELECT 'payout' AS table_name, count(*) AS rows_before, count(target.race_id) AS rows_after,
            count(*) - count(target.race_id) AS rows_deleted
     FROM lineitem LEFT JOIN target ON l_orderkey = target.race_id
     UNION ALL SELECT 'o1_header', count(*), count(target.race_id), count(*) - count(target.race_id)
     FROM race LEFT JOIN target ON race.race_id = target.race_id
     """,
-    ["race"],
+    ["target"],
 )
 def prune_counts(t: Tables) -> DataFrame:
     rows = t.read("lineitem").select(F.col("l_orderkey").alias("race_id"))

@@ -138,11 +138,12 @@ def daily_cap(bets: DataFrame) -> DataFrame:
     day = [STRATEGY, "race_date"]
     race = [*day, "race_id"]
     rules = ["bankroll", "day_cap", "unit", "min_bet"]
+    bets = materialize(bets)
     races = bets.groupBy(*race, *rules).agg(
         F.sum("bet").alias("_total"), F.sort_array(F.collect_list("bet")).alias("_bets")
     )
     cap = M.floor_to_unit(F.col("bankroll") * F.col("day_cap"), F.col("unit"))
-    races = races.withColumn("_cap", cap)
+    races = materialize(races.withColumn("_cap", cap))
     before = skew.running_sums(races, day, "race_id", _before=F.sum("_total"))
     placed = races.join(before, race)
     fits = F.col("_before") + F.col("_total") <= F.col("_cap")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turfspark import constants as C
 from turfspark.operators import wager
+from turfspark.session import materialize
 
 
 def settled_bets(
@@ -36,7 +37,8 @@ def settled_bets(
         paid = payouts.filter(F.col("bet_type") == C.BET_TYPES["wide"]).withColumnRenamed(
             "selection", "kumiban"
         )
-    return wager.settle(wager.selected_floor(bets), paid)
+    # the ledger feeds every report
+    return materialize(wager.settle(wager.selected_floor(bets), paid))
 
 
 def report(settled: DataFrame, considered: DataFrame | None = None) -> dict[str, DataFrame]:
