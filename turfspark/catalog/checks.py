@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from turfspark.catalog.base import Tables, cte, query
 from turfspark.catalog.market import TYPES
 from turfspark.functions import scalars as S
 from turfspark.operators import folds, merge, quality, selection
+from turfspark.session import shared_folder
 from turfspark.streaming import odds as stream_odds
 
 
@@ -110,10 +111,11 @@ def pair_input_violations(t: Tables) -> DataFrame:
 @query(
     "coverage_report",
     """
-    UNPIVOT (SELECT count(final3f_c) / count(*) AS final3f_c, count(time_c) / count(*) AS time_c,
-                    count(nullif(carried_weight, 7)) / count(*) AS carried_weight FROM runner)
-    ON COLUMNS(*) INTO NAME column VALUE coverage
+    SELECT 'final3f_c' AS "column", count(final3f_c) / count(*) AS coverage FROM runner
+    UNION ALL SELECT 'time_c', count(time_c) / count(*) FROM runner
+    UNION ALL SELECT 'carried_weight', count(nullif(carried_weight, 7)) / count(*) FROM runner
     """,
+    ["runner"],
 )
 def coverage_report(t: Tables) -> DataFrame:
     rows = t.runner.withColumn("carried_weight", F.nullif("carried_weight", F.lit(7.0)))
@@ -339,8 +341,7 @@ def _event_stream(t: Tables) -> DataFrame:
     """,
 )
 def stream_current_snapshot(t: Tables) -> DataFrame:
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    root = tempfile.mkdtemp(prefix="run-", dir="/tmp") if root.startswith("/tmp") else f"{root}/{_unique()}"
+    root = shared_folder(t.spark)
     stream = _event_stream(t).select("race_id", "horse_no", "value", "seq", "is_deleted", "announce_ts")
     job = stream_odds.current_snapshot(stream, f"{root}/table", ["race_id", "horse_no"], f"{root}/checkpoint")
     job.awaitTermination()
@@ -348,12 +349,6 @@ def stream_current_snapshot(t: Tables) -> DataFrame:
     return stream_odds.read_snapshot(t.spark, f"{root}/table", last).select("race_id", "horse_no", "value")
 
 
-def _unique() -> str:
-    import uuid
-
-    return f"stream-{uuid.uuid4().hex}"
-
-
 @query(
     "stream_asof_snapshot",
     """
@@ -366,7 +361,7 @@ def _unique() -> str:
     """,
 )
 def stream_asof_snapshot(t: Tables) -> DataFrame:
-    name = f"asof_{_unique().replace('-', '_')}"
+    name = f"asof_{uuid.uuid4().hex}"
     chosen = stream_odds.asof_stream(_event_stream(t), 10, ["value"])
     job = (
         chosen.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()

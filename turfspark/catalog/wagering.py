@@ -187,17 +187,18 @@ def latest_pair_odds(t: Tables) -> DataFrame:
     return wager.latest_pair_odds(wide_log(t))
 
 
+# a multiple of pi is never halfway between two rounded values
 @query(
     "candidates_ev",
     """
-    SELECT strategy_id, race_id, kumiban, round(ev_profit, 8) AS ev_profit, round(kelly_f, 8) AS kelly_f FROM candidate
+    SELECT strategy_id, race_id, kumiban, round(ev_profit, 8) AS ev_profit, round(kelly_f * pi(), 9) AS kelly_pi FROM candidate
     """,
     ["candidate"],
 )
 def candidates_ev(t: Tables) -> DataFrame:
     kelly = M.fractional_kelly(F.col("p_wide"), F.col("odds"), F.col("kelly_scale"))
     return candidates(t).select(
-        "strategy_id", "race_id", "kumiban", F.round("ev_profit", 8).alias("ev_profit"), F.round(kelly, 8).alias("kelly_f")
+        "strategy_id", "race_id", "kumiban", F.round("ev_profit", 8).alias("ev_profit"), F.round(kelly * F.pi(), 9).alias("kelly_pi")
     )
 
 

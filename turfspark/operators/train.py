@@ -23,7 +23,7 @@ FEATURES = "_features"
 
 
 def _learner(name: str, label: str, params: dict[str, Any]):
-    common = {"featuresCol": FEATURES, "labelCol": label, "probabilityCol": "_probability"}
+    common = {"featuresCol": FEATURES, "labelCol": label}
     if name == "gbt":
         return GBTClassifier(
             **common, seed=42, maxIter=params.get("rounds", 20), maxDepth=params.get("depth", 4),
@@ -73,7 +73,7 @@ def fit_binary(
 
 def predict_binary(model: PipelineModel, df: DataFrame, features: Sequence[str], output: str) -> DataFrame:
     scored = model.transform(numeric_inputs(df, features))
-    return scored.withColumn(output, vector_to_array(F.col("_probability"))[1]).select(*df.columns, output)
+    return scored.withColumn(output, vector_to_array(F.col("probability"))[1]).select(*df.columns, output)
 
 
 def cross_validate(

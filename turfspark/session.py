@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,21 +35,25 @@ def hot_key_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_KEY_ROWS_CONF, str(DEFAULT_HOT_KEY_ROWS)))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder of `spark.checkpoint.dir`.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for intermediate data, inside the one `spark.checkpoint.dir` names.
 
     Only a local session may fall back to a temporary folder: on a cluster the
     files of a machine-local folder are lost with their executor.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
