@@ -39,7 +39,10 @@ def digits(value: Column, size: int) -> Column:
 
 
 def as_feed(df: DataFrame, rec_id: str, payload: Column, seq: Column) -> DataFrame:
-    return df.select(F.lit(rec_id).alias("rec_id"), payload.alias("payload"), seq.alias("seq"))
+    """Records of one type. A feed is many files; a test table may be one, so its rows are spread."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    spread = df.repartition(tasks, seq)
+    return spread.select(F.lit(rec_id).alias("rec_id"), payload.alias("payload"), seq.alias("seq"))
 
 
 KEY, CUST = F.col("o_orderkey"), F.col("o_custkey")
