@@ -102,17 +102,13 @@ cte(
 @query(
     "shrinkage_baseline",
     """
-    SELECT race_id, round(baseline_time_sec, 6) AS baseline_time_sec,
-           round(baseline_3f_sec, 6) AS baseline_3f_sec FROM baseline
+    SELECT race_id, baseline_time_sec, baseline_3f_sec FROM baseline
     """,
     ["baseline"],
 )
 def shrinkage_baseline(t: Tables) -> DataFrame:
-    return history.race_baseline(t.history).select(
-        "race_id",
-        F.round("baseline_time_sec", 6).alias("baseline_time_sec"),
-        F.round("baseline_3f_sec", 6).alias("baseline_3f_sec"),
-    )
+    # exact sums: both engines reach the same doubles, so nothing is rounded
+    return history.race_baseline(t.history).select("race_id", "baseline_time_sec", "baseline_3f_sec")
 
 
 @query(
@@ -147,8 +143,8 @@ cte(
 @query(
     "speed_index",
     """
-    SELECT race_id, horse_no, round(speed_index, 6) AS perf_speed_index,
-           round(up3_index, 6) AS perf_up3_index FROM indexed
+    SELECT race_id, horse_no, round(speed_index, 3) AS perf_speed_index,
+           round(up3_index, 3) AS perf_up3_index FROM indexed
     """,
     ["indexed"],
 )
@@ -156,8 +152,8 @@ def speed_index(t: Tables) -> DataFrame:
     return history.add_speed_indices(t.history).select(
         "race_id",
         "horse_no",
-        F.round("perf_speed_index", 6).alias("perf_speed_index"),
-        F.round("perf_up3_index", 6).alias("perf_up3_index"),
+        F.round("perf_speed_index", 3).alias("perf_speed_index"),
+        F.round("perf_up3_index", 3).alias("perf_up3_index"),
     )
 
 
@@ -188,8 +184,8 @@ def _starts(t: Tables) -> DataFrame:
     SELECT race_id, horse_id,
            lag(finish_pos, 1) OVER w AS lag1_finish_pos, lag(finish_pos, 2) OVER w AS lag2_finish_pos,
            lag(finish_pos, 3) OVER w AS lag3_finish_pos,
-           round(lag(speed_index, 1) OVER w, 6) AS lag1_speed_index,
-           round(lag(up3_index, 2) OVER w, 6) AS lag2_up3_index,
+           round(lag(speed_index, 1) OVER w, 3) AS lag1_speed_index,
+           round(lag(up3_index, 2) OVER w, 3) AS lag2_up3_index,
            lag(surface, 1) OVER w AS lag1_surface, lag(distance_m, 3) OVER w AS lag3_distance_m
     FROM starts WINDOW w AS ({_lag})
     """,
@@ -198,8 +194,8 @@ def _starts(t: Tables) -> DataFrame:
 def lags(t: Tables) -> DataFrame:
     return history.add_lags(_starts(t)).select(
         "race_id", "horse_id", "lag1_finish_pos", "lag2_finish_pos", "lag3_finish_pos",
-        F.round("lag1_speed_index", 6).alias("lag1_speed_index"),
-        F.round("lag2_up3_index", 6).alias("lag2_up3_index"),
+        F.round("lag1_speed_index", 3).alias("lag1_speed_index"),
+        F.round("lag2_up3_index", 3).alias("lag2_up3_index"),
         "lag1_surface", "lag3_distance_m",
     )
 
@@ -207,9 +203,9 @@ def lags(t: Tables) -> DataFrame:
 @query(
     "lag_slope",
     f"""
-    SELECT race_id, horse_id, round(l1 - l2, 6) AS d_speed_index_1_2,
-           round(l2 - l3, 6) AS d_speed_index_2_3,
-           round(CASE WHEN l2 IS NOT NULL THEN (l1 - l3) / 2.0 END, 6) AS speed_index_slope_3r
+    SELECT race_id, horse_id, round(l1 - l2, 3) AS d_speed_index_1_2,
+           round(l2 - l3, 3) AS d_speed_index_2_3,
+           round(CASE WHEN l2 IS NOT NULL THEN (l1 - l3) / 2.0 END, 3) AS speed_index_slope_3r
     FROM (SELECT race_id, horse_id, lag(speed_index, 1) OVER w AS l1, lag(speed_index, 2) OVER w AS l2,
                  lag(speed_index, 3) OVER w AS l3 FROM starts WINDOW w AS ({_lag}))
     """,
@@ -218,7 +214,7 @@ def lags(t: Tables) -> DataFrame:
 def lag_slope(t: Tables) -> DataFrame:
     rows = history.add_recent_change(history.add_lags(_starts(t)))
     names = ("d_speed_index_1_2", "d_speed_index_2_3", "speed_index_slope_3r")
-    return rows.select("race_id", "horse_id", *[F.round(n, 6).alias(n) for n in names])
+    return rows.select("race_id", "horse_id", *[F.round(n, 3).alias(n) for n in names])
 
 
 @query(

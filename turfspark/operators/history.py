@@ -245,10 +245,15 @@ def first_in_range(df: DataFrame, keys: Sequence[str], time: str, width: int) ->
     )
 
 
-def add_experience(df: DataFrame) -> DataFrame:
+# In the functions below `source` is the frame history is counted on, by default `df`
+# itself. A plan that adds several features passes the same stored frame each time, so
+# that no feature is computed again for the sake of the next one.
+
+
+def add_experience(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Starts in the two years before the race, and days since the first of them."""
     width = C.HISTORY_DAYS * DAY
-    keyed = df.withColumn("_tick", _tick())
+    keyed = (source or df).select("horse_id", _tick().alias("_tick"))
     starts = skew.rolling_sums(keyed, ["horse_id"], "_tick", width, prior_starts_2y=F.count(F.lit(1)))
     first = first_in_range(keyed, ["horse_id"], "_tick", width)
     stats = starts.join(first, ["horse_id", "_tick"]).select(
@@ -259,7 +264,8 @@ def add_experience(df: DataFrame) -> DataFrame:
             F.col("prior_starts_2y") > 0, S.whole_days(F.col("_tick"), F.col("first"))
         ).alias("days_since_first_seen_2y"),
     )
-    return keyed.join(stats, ["horse_id", "_tick"], "left").drop("_tick")
+    ticked = df.withColumn("_tick", _tick())
+    return ticked.join(stats, ["horse_id", "_tick"], "left").drop("_tick")
 
 
 def smoothed(total: Column, count: Column, prior: Column | float) -> Column:
@@ -270,15 +276,18 @@ def smoothed(total: Column, count: Column, prior: Column | float) -> Column:
     )
 
 
-def conditional_rate(df: DataFrame, same: str, output: str) -> DataFrame:
+def conditional_rate(
+    df: DataFrame, same: str, output: str, source: DataFrame | None = None
+) -> DataFrame:
     """Smoothed top-3 rate over the horse's past two years where `same` had today's value.
 
     The equality is part of the key, so no history is scanned per row. A null
     value has no like races and gets the prior.
     """
-    keyed = df.withColumns({"_tick": _tick(), "_same": F.col(same).cast("double")})
+    keys = {"_tick": _tick(), "_same": F.col(same).cast("double")}
+    counted = (source or df).withColumns(keys).filter(F.col("_same").isNotNull())
     sums = skew.rolling_sums(
-        keyed.filter(F.col("_same").isNotNull()),
+        counted.select("horse_id", "_same", "_tick", "is_top3"),
         ["horse_id", "_same"],
         "_tick",
         C.HISTORY_DAYS * DAY,
@@ -286,15 +295,17 @@ def conditional_rate(df: DataFrame, same: str, output: str) -> DataFrame:
         _starts=F.count(F.lit(1)),
     )
     return (
-        keyed.join(sums, ["horse_id", "_same", "_tick"], "left")
+        df.withColumns(keys)
+        .join(sums, ["horse_id", "_same", "_tick"], "left")
         .withColumn(output, smoothed(F.col("_top3"), F.col("_starts"), C.PRIOR_TOP3_RATE))
         .drop("_tick", "_same", "_top3", "_starts")
     )
 
 
-def add_aptitude(df: DataFrame) -> DataFrame:
-    by_distance = conditional_rate(df, "distance_m", "apt_same_distance_top3_rate_2y")
-    return conditional_rate(by_distance, "going_bucket", "apt_same_going_top3_rate_2y")
+def add_aptitude(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    source = source or df
+    by_distance = conditional_rate(df, "distance_m", "apt_same_distance_top3_rate_2y", source)
+    return conditional_rate(by_distance, "going_bucket", "apt_same_going_top3_rate_2y", source)
 
 
 def entity_daily(df: DataFrame, key: str, target: str) -> DataFrame:
@@ -312,13 +323,14 @@ def entity_daily(df: DataFrame, key: str, target: str) -> DataFrame:
 
 
 def entity_rate(
-    df: DataFrame, key: str, target: str, output: str, prior: Column | float
+    df: DataFrame, key: str, target: str, output: str, prior: Column | float,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Smoothed mean of the target over the entity's previous 183 days.
 
-    `prior` is a number or the name of a column of `df` that holds it.
+    `prior` is a number or a column.
     """
-    daily = entity_daily(df, key, target)
+    daily = entity_daily(source or df, key, target)
     sums = skew.rolling_sums(
         daily, [key], "_day", C.ENTITY_DAYS, _total=F.sum("target_sum"), _starts=F.sum("starts")
     )

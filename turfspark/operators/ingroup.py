@@ -1,10 +1,16 @@
-"""Values of a runner relative to its race."""
+"""Values of a runner relative to its race.
+
+With `bounded` the caller vouches for small groups (a race of the target segment
+has at most 18 runners, by its filter and key): a plain window is then one
+shuffle for all values. Without it, sums are aggregated and joined back and
+ranks go through the splitting running sum, so a group may be of any size.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfspark.functions import market as M
@@ -14,13 +20,22 @@ from turfspark.operators import skew
 RACE = ("race_id",)
 
 
-def add_zscores(df: DataFrame, outputs: dict[str, str], keys: Sequence[str] = RACE) -> DataFrame:
+def _attach(df: DataFrame, keys: Sequence[str], bounded: bool, **values: Column) -> DataFrame:
+    if not bounded:
+        return skew.attach_group(df, keys, **values)
+    group = Window.partitionBy(*keys)
+    return df.withColumns({name: value.over(group) for name, value in values.items()})
+
+
+def add_zscores(
+    df: DataFrame, outputs: dict[str, str], keys: Sequence[str] = RACE, *, bounded: bool = False
+) -> DataFrame:
     """`outputs` maps value column to z-score column; equal values in a group score 0."""
     stats = {}
     for i, value in enumerate(outputs):
         stats[f"_m{i}"] = F.avg(value)
         stats[f"_s{i}"] = F.stddev_pop(value)
-    out = skew.attach_group(df, keys, **stats)
+    out = _attach(df, keys, bounded, **stats)
     scores = {}
     for i, (value, name) in enumerate(outputs.items()):
         centred = F.col(value) - F.col(f"_m{i}")
@@ -47,10 +62,20 @@ def add_rank(
     descending: bool = False,
     keys: Sequence[str] = RACE,
     limit: int | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Rank with ties averaged, and the same divided by the number of non-null values."""
-    ranks = skew.average_rank(df, keys, value, descending=descending, limit=limit)
-    out = df.join(ranks, [*keys, value], "left")
+    if bounded:
+        order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+        group = Window.partitionBy(*keys)
+        ties = F.count(value).over(group.orderBy(order).rangeBetween(Window.currentRow, Window.currentRow))
+        place = F.rank().over(group.orderBy(order)) + (ties - 1) / 2.0
+        out = df.withColumns(
+            {"_rank": F.when(F.col(value).isNotNull(), place), "_count": F.count(value).over(group)}
+        )
+    else:
+        ranks = skew.average_rank(df, keys, value, descending=descending, limit=limit)
+        out = df.join(ranks, [*keys, value], "left")
     if rank:
         out = out.withColumn(rank, F.col("_rank"))
     if pct:
@@ -58,9 +83,9 @@ def add_rank(
     return out.drop("_rank", "_count")
 
 
-def add_share(df: DataFrame, flag: str, count: str, share: str) -> DataFrame:
+def add_share(df: DataFrame, flag: str, count: str, share: str, *, bounded: bool = False) -> DataFrame:
     """Number of flagged runners in the race and their share of the field size."""
-    out = skew.attach_group(df, RACE, **{count: F.sum(flag)})
+    out = _attach(df, RACE, bounded, **{count: F.sum(flag)})
     field = S.number(F.col("field_size"))
     return out.withColumn(share, F.col(count) / F.when(field != 0, field))
 

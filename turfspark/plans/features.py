@@ -69,8 +69,9 @@ def add_forecasts(df: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def add_in_race(df: DataFrame, *, with_te: bool) -> DataFrame:
-    shared = ingroup.add_share(df, "is_3yo", "n_3yo_in_race", "share_3yo_in_race")
-    aged = ingroup.add_rank(shared, "age", pct="age_rank_pct_in_race")
+    """In-race features of the segment, where a race has at most 18 runners: one shuffle by race."""
+    shared = ingroup.add_share(df, "is_3yo", "n_3yo_in_race", "share_3yo_in_race", bounded=True)
+    aged = ingroup.add_rank(shared, "age", pct="age_rank_pct_in_race", bounded=True)
     scores = {
         "lag1_speed_index": "rel_lag1_speed_index_z",
         "carried_weight": "rel_carried_weight_z",
@@ -79,10 +80,10 @@ def add_in_race(df: DataFrame, *, with_te: bool) -> DataFrame:
     }
     if with_te:
         scores["jockey_target_label_mean_6m"] = "rel_jockey_target_label_mean_z"
-    scored = ingroup.add_zscores(aged, scores)
+    scored = ingroup.add_zscores(aged, scores, bounded=True)
     return ingroup.add_rank(
         scored, "lag1_speed_index", rank="rel_lag1_speed_index_rank", pct="rel_lag1_speed_index_pct",
-        descending=True,
+        descending=True, bounded=True,
     )
 
 
@@ -101,20 +102,20 @@ def base_features(
     """
     start = filters.history_start(from_date, history_days)
     rows = joins.base_rows(tables["race"], tables["runner"], tables["result"], start, to_date)
-    # read by the baseline, the lags and each history feature below
+    # stored twice: as input of the race baselines, and as the history all features count on
     rows = materialize(add_forecasts(runner_values(rows), tables))
-    rows = materialize(history.add_speed_indices(rows))
-    rows = history.add_recent_change(history.add_lags(rows))
-    rows = history.add_aptitude(history.add_experience(rows))
+    source = materialize(history.add_speed_indices(rows))
+    rows = history.add_recent_change(history.add_lags(source))
+    rows = history.add_aptitude(history.add_experience(rows, source), source)
     for entity in ("jockey", "trainer"):
         rows = history.entity_rate(
-            rows, f"{entity}_key", "is_top3", f"{entity}_top3_rate_6m", C.PRIOR_TOP3_RATE
+            rows, f"{entity}_key", "is_top3", f"{entity}_top3_rate_6m", C.PRIOR_TOP3_RATE, source
         )
     if with_te:
-        prior: Column = history.label_prior(rows, from_date).scalar()
+        prior: Column = history.label_prior(source, from_date).scalar()
         for entity in ("jockey", "trainer"):
             rows = history.entity_rate(
-                rows, f"{entity}_key", "target_label", f"{entity}_target_label_mean_6m", prior
+                rows, f"{entity}_key", "target_label", f"{entity}_target_label_mean_6m", prior, source
             )
     window = filters.segment(filters.date_window(rows, from_date, to_date))
     columns = registry.output_columns(with_te=with_te)
@@ -129,7 +130,8 @@ def market_features(
     win = asof.win_snapshots(_timed(win_odds, race, keys))
     place = asof.place_snapshots(_timed(place_odds, race, keys))
     on = list(asof.RUNNER)
-    out = features.join(win, on, "left").join(place, on, "left")
+    # read once per price below: in-race sums are joined back to it
+    out = materialize(features.join(win, on, "left").join(place, on, "left"))
     for t, raw in (("final", True), ("t20", False), ("t15", False), ("t10", True)):
         out = ingroup.add_implied(
             out, f"odds_win_{t}", f"p_win_odds_{t}_norm", raw=f"p_win_odds_{t}_raw" if raw else None
