@@ -89,31 +89,31 @@ def test_days_since_first_at_the_far_end(spark):
     assert got == {1: (0, None), 2: (1, 730), 3: (1, 1)}
 
 
-@pytest.mark.parametrize("scores", [[0.0], [1.0, 0.0], [1.0, 0.0, -1.0], [0.3, 0.1, -0.2, 1.4], [40.0, 20.0, 0.0, -1.0, -2.0], [0.5] * 6])
-def test_exact_probabilities_against_brute_force(spark, scores):
+def test_exact_probabilities_against_brute_force(spark):
     import itertools
     from fractions import Fraction
 
-    df = spark.createDataFrame([(1, i + 1, s) for i, s in enumerate(scores)], "race_id long, horse_no long, s double")
-    n = len(scores)
-    single = {r.horse_no: r.p_top3 for r in ranking.top3_probabilities(df, "s").collect()}
-    pair = {(r.horse_no_1, r.horse_no_2): r.p_wide for r in ranking.pair_probabilities(df, "s").collect()}
-    w = [Fraction(math.exp(s)) for s in scores]
-    want_single, want_pair = {i: Fraction(0) for i in range(n)}, {p: Fraction(0) for p in itertools.combinations(range(n), 2)}
-    for order in itertools.permutations(range(n), min(3, n)):
-        prob, left = Fraction(1), sum(w)
-        for i in order:
-            prob *= w[i] / left
-            left -= w[i]
-        for i in order:
-            want_single[i] += prob
-        for p in itertools.combinations(sorted(order), 2):
-            want_pair[p] += prob
-    for i, p in want_single.items():
-        assert single[i + 1] == pytest.approx(float(p), rel=1e-9, abs=1e-300)
-    for (i, j), p in want_pair.items():
-        assert pair[(i + 1, j + 1)] == pytest.approx(float(p), rel=1e-9, abs=1e-300)
-    assert sum(single.values()) == pytest.approx(min(3, n))
+    races = [[0.0], [1.0, 0.0], [1.0, 0.0, -1.0], [0.3, 0.1, -0.2, 1.4], [40.0, 20.0, 0.0, -1.0, -2.0], [0.5] * 6]
+    rows = [(r, i + 1, s) for r, scores in enumerate(races) for i, s in enumerate(scores)]
+    df = spark.createDataFrame(rows, "race_id long, horse_no long, s double")
+    single = {(r.race_id, r.horse_no): r.p_top3 for r in ranking.top3_probabilities(df, "s").collect()}
+    pair = {(r.race_id, r.horse_no_1, r.horse_no_2): r.p_wide for r in ranking.pair_probabilities(df, "s").collect()}
+    want = {}
+    for race, scores in enumerate(races):
+        w = [Fraction(math.exp(s)) for s in scores]
+        for order in itertools.permutations(range(len(w)), min(3, len(w))):
+            prob, left = Fraction(1), sum(w)
+            for i in order:
+                prob *= w[i] / left
+                left -= w[i]
+            for size in (1, 2):
+                for members in itertools.combinations(sorted(order), size):
+                    key = (race, *[i + 1 for i in members])
+                    want[key] = want.get(key, 0) + prob
+    assert set(want) == set(single) | set(pair)
+    for key, p in want.items():
+        got = single[key] if len(key) == 2 else pair[key]
+        assert got == pytest.approx(float(p), rel=1e-9, abs=1e-300)
 
 
 def test_gumbel_agrees_with_exact(spark):
@@ -126,9 +126,12 @@ def test_gumbel_agrees_with_exact(spark):
 def test_ranking_fit_reaches_zero_gradient(spark):
     rows = [(r, h, (h * 7 + r * 3) % 5 + 1, ((h * 11 + r) % 7) / 3.0, ((h + r * 5) % 4) / 2.0) for r in range(40) for h in range(1, 6)]
     df = spark.createDataFrame(rows, "race_id long, horse_no long, finish_pos long, a double, b double")
-    weights, loss = ranking.fit_pl(df, ["a", "b"], l2=0.0, steps=20, tolerance=1e-12)
+    weights, loss = ranking.fit_pl(df, ["a", "b"], l2=0.0, steps=12, tolerance=1e-12)
     scored = df.withColumn("s", ranking.linear_score(["a", "b"], weights))
     out = ranking.pl_gradient(scored, "s", ["a", "b"]).first()
+    terms = ranking.pl_terms(ranking.finish_groups(scored), "s", gradient=True, bounded=True)
+    both = terms.agg(F.sum("nll") / 40, F.sum(F.col("g") * F.col("a")) / 40).first()
+    assert both[0] == pytest.approx(out.nll) and both[1] == pytest.approx(out.g_a, abs=1e-9)
     assert abs(out.g_a) < 1e-3 and abs(out.g_b) < 1e-3 and loss <= ranking.pl_nll(df.withColumn("s", F.lit(0.0)), "s").first().nll
 
 

@@ -69,9 +69,10 @@ def whole_days(later: Column, earlier: Column) -> Column:
 def announce_time(announce: Column, race_time: Column) -> Column:
     """`MMDDhhmm` announcement of a race, its year moved when it is over 180 days off."""
     digits = F.lpad(F.coalesce(announce, F.lit("")), 8, "0")
-    stamp = F.try_to_timestamp(
-        F.concat(F.lpad(F.year(race_time).cast("string"), 4, "0"), digits), F.lit("yyyyMMddHHmm")
-    ).cast("timestamp_ntz")
+    part = lambda start: F.substring(digits, start, 2).try_cast("int")
+    stamp = F.try_make_timestamp_ntz(
+        F.year(race_time), part(1), part(3), part(5), part(7), F.lit(0)
+    )
     days = F.datediff(stamp.cast("date"), race_time.cast("date"))
     year = F.expr("interval '1' year")
     return (
@@ -81,6 +82,18 @@ def announce_time(announce: Column, race_time: Column) -> Column:
     )
 
 
+def stamp_time(ymd: Column, hm: Column) -> Column:
+    """`YYYYMMDD` and `hhmm` as a wall-clock timestamp, null when they are none."""
+    number = lambda text, start, size: F.substring(text, start, size).try_cast("int")
+    clock = F.lpad(F.coalesce(hm, F.lit("")), 4, "0")
+    valid = F.length(ymd) == 8
+    made = F.try_make_timestamp_ntz(
+        number(ymd, 1, 4), number(ymd, 5, 2), number(ymd, 7, 2), number(clock, 1, 2),
+        number(clock, 3, 2), F.lit(0),
+    )
+    return F.when(valid, made)
+
+
 def first_digits(text: Column) -> Column:
     return F.regexp_extract(F.coalesce(text, F.lit("")), r"(\d+)", 1).try_cast("bigint")
 

@@ -212,32 +212,42 @@ def finish_groups(df: DataFrame) -> DataFrame:
     return sized.filter("_runners >= 2").withColumn("_place", place).drop("_runners")
 
 
-def pl_terms(groups: DataFrame, score: str, *, gradient: bool = False) -> DataFrame:
+def pl_terms(
+    groups: DataFrame, score: str, *, gradient: bool = False, bounded: bool = False
+) -> DataFrame:
     """Per runner: `nll` = log of the weight still in the race minus the own score.
 
     With `gradient`, `g` is the derivative of the race's loss by the runner's
-    score. A race with any unknown score is left out.
+    score. A race with any unknown score is left out. With `bounded` the caller
+    has checked that races are small, and windows on the race are used: on rows
+    already placed by race they need no shuffle at all.
     """
     scored = groups.withColumn("_s", S.number(F.col(score)))
-    top = skew.attach_group(
-        scored, ["race_id"], _top=F.max("_s"), _gaps=F.count(F.when(F.col("_s").isNull(), 1))
-    ).filter("_gaps = 0")
-    powered = top.withColumn(
+    whole = {"_top": F.max("_s"), "_gaps": F.count(F.when(F.col("_s").isNull(), 1))}
+    race = Window.partitionBy("race_id")
+    if bounded:
+        top = scored.withColumns({n: c.over(race) for n, c in whole.items()})
+    else:
+        top = skew.attach_group(scored, ["race_id"], **whole)
+    powered = top.filter("_gaps = 0").withColumn(
         "_e", F.exp(F.greatest(F.col("_s") - F.col("_top"), F.lit(-MAX_SPREAD)))
     )
-    left = skew.running_sums(
-        powered, ["race_id"], "_place", descending=True, inclusive=True, _left=F.sum("_e")
-    )
-    out = powered.join(left, ["race_id", "_place"]).withColumn(
-        "nll", F.ln("_left") + F.col("_top") - F.col("_s")
-    )
-    if gradient:
-        past = skew.running_sums(
-            out, ["race_id"], "_place", inclusive=True, _past=F.sum(1.0 / F.col("_left"))
-        )
-        out = out.join(past, ["race_id", "_place"]).withColumn(
-            "g", F.col("_e") * F.col("_past") - 1.0
+
+    def along(df: DataFrame, name: str, value: Column, descending: bool) -> DataFrame:
+        if bounded:
+            order = F.col("_place").desc() if descending else F.col("_place").asc()
+            up_to = race.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            return df.withColumn(name, value.over(up_to))
+        sums = skew.running_sums(
+            df, ["race_id"], "_place", descending=descending, inclusive=True, **{name: value}
         )
+        return df.join(sums, ["race_id", "_place"])
+
+    left = along(powered, "_left", F.sum("_e"), True)
+    out = left.withColumn("nll", F.ln("_left") + F.col("_top") - F.col("_s"))
+    if gradient:
+        past = along(out, "_past", F.sum(1.0 / F.col("_left")), False)
+        out = past.withColumn("g", F.col("_e") * F.col("_past") - 1.0)
     return out
 
 
@@ -282,7 +292,8 @@ def fit_pl(
     """
     rows = finish_groups(
         df.select("race_id", "horse_no", "finish_pos", *features)
-    ).persist()
+    ).repartition("race_id").persist()
+    bounded = skew.hot_keys(rows, ["race_id"]) is None
     try:
         races = rows.select("race_id").distinct().count()
         if races == 0:
@@ -290,7 +301,7 @@ def fit_pl(
 
         def evaluate(weights: list[float]) -> tuple[float, list[float]]:
             scored = rows.withColumn("_score", linear_score(features, weights))
-            out = pl_terms(scored, "_score", gradient=True).agg(
+            out = pl_terms(scored, "_score", gradient=True, bounded=bounded).agg(
                 F.sum("nll"), *[F.sum(F.col("g") * F.col(f)) for f in features]
             ).first()
             penalty = 0.5 * l2 * sum(w * w for w in weights)
