@@ -45,7 +45,14 @@ def as_feed(df: DataFrame, rec_id: str, payload: Column, seq: Column) -> DataFra
     return spread.select(F.lit(rec_id).alias("rec_id"), payload.alias("payload"), seq.alias("seq"))
 
 
-KEY, CUST = F.col("o_orderkey"), F.col("o_custkey")
+def okey() -> Column:
+    return F.col("o_orderkey")
+
+
+def cust() -> Column:
+    return F.col("o_custkey")
+
+
 cte(
     "keyed",
     """
@@ -58,35 +65,35 @@ cte(
 
 def race_key(date: Column = None) -> Column:
     day = F.date_format(F.col("o_orderdate") if date is None else date, "yyyyMMdd")
-    return F.concat(day, digits(1 + CUST % 12, 2), F.lit("0102"), digits(1 + KEY % 12, 2))
+    return F.concat(day, digits(1 + cust() % 12, 2), F.lit("0102"), digits(1 + okey() % 12, 2))
 
 
 def header(rec_id: str) -> list[Part]:
-    return [(0, 2, F.lit(rec_id)), (2, 1, digits(1 + KEY % 4, 1)), (3, 8, F.date_format("o_orderdate", "yyyyMMdd")), (11, 16, race_key())]
+    return [(0, 2, F.lit(rec_id)), (2, 1, digits(1 + okey() % 4, 1)), (3, 8, F.date_format("o_orderdate", "yyyyMMdd")), (11, 16, race_key())]
 
 
 def race_feed(t: Tables) -> DataFrame:
     parts = [
         *header("RA"),
-        (614, 1, F.substring(F.lit("ABCDEFGHL_"), (KEY % 10 + 1).cast("int"), F.lit(1))),
-        (616, 2, digits(11 + KEY % 5, 2)),
-        (621, 1, digits(KEY % 5, 1)),
-        (622, 3, digits(CUST % 3 * 5, 3)),
-        (625, 3, F.when(CUST % 7 == 0, F.lit("   ")).otherwise(digits(CUST % 4 * 6, 3))),
-        (628, 3, digits(CUST % 5 * 7, 3)),
-        (631, 3, digits(CUST % 2 * 8, 3)),
-        (634, 3, digits(KEY % 3 * 10, 3)),
-        (697, 4, F.when(KEY % 3 == 0, digits(10 + KEY % 20, 4)).otherwise(digits(1000 + KEY % 20 * 100, 4))),
-        (705, 2, digits(10 + KEY % 50, 2)),
-        (709, 2, F.when(KEY % 2 == 0, digits(KEY % 10, 1)).otherwise("A")),
-        (873, 4, F.when(KEY % 9 == 0, "2575").otherwise(F.concat(digits(9 + KEY % 8, 2), digits(KEY % 60, 2)))),
+        (614, 1, F.substring(F.lit("ABCDEFGHL_"), (okey() % 10 + 1).cast("int"), F.lit(1))),
+        (616, 2, digits(11 + okey() % 5, 2)),
+        (621, 1, digits(okey() % 5, 1)),
+        (622, 3, digits(cust() % 3 * 5, 3)),
+        (625, 3, F.when(cust() % 7 == 0, F.lit("   ")).otherwise(digits(cust() % 4 * 6, 3))),
+        (628, 3, digits(cust() % 5 * 7, 3)),
+        (631, 3, digits(cust() % 2 * 8, 3)),
+        (634, 3, digits(okey() % 3 * 10, 3)),
+        (697, 4, F.when(okey() % 3 == 0, digits(10 + okey() % 20, 4)).otherwise(digits(1000 + okey() % 20 * 100, 4))),
+        (705, 2, digits(10 + okey() % 50, 2)),
+        (709, 2, F.when(okey() % 2 == 0, digits(okey() % 10, 1)).otherwise("A")),
+        (873, 4, F.when(okey() % 9 == 0, "2575").otherwise(F.concat(digits(9 + okey() % 8, 2), digits(okey() % 60, 2)))),
         (881, 2, F.lit("18")),
-        (883, 2, digits(KEY % 19, 2)),
-        (887, 1, digits(KEY % 4, 1)),
-        (888, 1, digits(KEY % 5, 1)),
-        (889, 1, digits(KEY % 3, 1)),
+        (883, 2, digits(okey() % 19, 2)),
+        (887, 1, digits(okey() % 4, 1)),
+        (888, 1, digits(okey() % 5, 1)),
+        (889, 1, digits(okey() % 3, 1)),
     ]
-    return as_feed(t.read("orders"), "RA", record(890, parts), KEY)
+    return as_feed(t.read("orders"), "RA", record(890, parts), okey())
 
 
 @query(
@@ -125,7 +132,7 @@ def age_condition_side_parse(t: Tables) -> DataFrame:
 
 
 def _lines(t: Tables) -> DataFrame:
-    return t.read("lineitem").join(t.read("orders"), F.col("l_orderkey") == KEY)
+    return t.read("lineitem").join(t.read("orders"), F.col("l_orderkey") == okey())
 
 
 @query(
@@ -188,26 +195,26 @@ def fixed_width_runner(t: Tables) -> DataFrame:
 )
 def fixed_width_blocks(t: Tables) -> DataFrame:
     wide = repeat(10, lambda i: F.concat(
-        digits(1 + i, 2), digits(2 + i + KEY % 5, 2), digits((KEY + i) % 7 * 130, 8), digits((KEY + i) % 30, 4)))
+        digits(1 + i, 2), digits(2 + i + okey() % 5, 2), digits((okey() + i) % 7 * 130, 8), digits((okey() + i) % 30, 4)))
     win = repeat(3, lambda i: F.when(
-        i <= KEY % 3, F.concat(digits(1 + (KEY + i) % 18, 2), digits(100 + KEY % 900, 8))).otherwise("00          "[:10]))
-    trifecta = F.concat(digits(KEY % 100, 6), F.lit("00000070"), F.lit("0009"))
+        i <= okey() % 3, F.concat(digits(1 + (okey() + i) % 18, 2), digits(100 + okey() % 900, 8))).otherwise("00          "[:10]))
+    trifecta = F.concat(digits(okey() % 100, 6), F.lit("00000070"), F.lit("0009"))
     parts = [*header("HR"), (52, 30, win), (293, 160, wide), (603, 18, trifecta)]
-    return extract.payout(as_feed(t.read("orders"), "HR", record(964, parts), KEY))
+    return extract.payout(as_feed(t.read("orders"), "HR", record(964, parts), okey()))
 
 
 def win_odds_feed(t: Tables) -> DataFrame:
-    size = 5 + KEY % 10
+    size = 5 + okey() % 10
     win = repeat(28, lambda i: F.when(i < size, F.concat(
-        digits(i + 1, 2), F.when((KEY + i) % 7 == 0, "****").otherwise(digits(11 + (KEY * 3 + i) % 900, 4)), digits((KEY + i) % 15, 2)
+        digits(i + 1, 2), F.when((okey() + i) % 7 == 0, "****").otherwise(digits(11 + (okey() * 3 + i) % 900, 4)), digits((okey() + i) % 15, 2)
     )).otherwise(" " * 8))
     place = repeat(28, lambda i: F.when(i < size + 1, F.concat(
-        digits(i + 1, 2), digits(10 + (KEY + i) % 50, 4), F.when((KEY + i) % 5 == 0, "----").otherwise(digits(20 + (KEY + i) % 60, 4)),
+        digits(i + 1, 2), digits(10 + (okey() + i) % 50, 4), F.when((okey() + i) % 5 == 0, "----").otherwise(digits(20 + (okey() + i) % 60, 4)),
         F.lit("  "))).otherwise("0" * 12))
-    bracket = repeat(36, lambda i: F.when(i < 3, F.concat(digits(11 + i, 2), digits(30 + (KEY + i) % 9000, 5), digits(i + 1, 2))).otherwise(" " * 9))
+    bracket = repeat(36, lambda i: F.when(i < 3, F.concat(digits(11 + i, 2), digits(30 + (okey() + i) % 9000, 5), digits(i + 1, 2))).otherwise(" " * 9))
     parts = [*header("O1"), (27, 8, F.date_format("o_orderdate", "MMdd1015")), (40, 1, F.lit("7")), (42, 1, F.lit("3")),
-             (43, 224, win), (267, 336, place), (603, 324, bracket), (927, 11, digits(KEY, 11)), (938, 11, F.lit("0" * 11))]
-    return as_feed(t.read("orders"), "O1", record(962, parts), KEY)
+             (43, 224, win), (267, 336, place), (603, 324, bracket), (927, 11, digits(okey(), 11)), (938, 11, F.lit("0" * 11))]
+    return as_feed(t.read("orders"), "O1", record(962, parts), okey())
 
 
 @query(
@@ -258,11 +265,11 @@ def fixed_width_odds_rows(t: Tables) -> DataFrame:
     ["keyed"],
 )
 def fixed_width_wide_odds(t: Tables) -> DataFrame:
-    wide = repeat(153, lambda i: F.when(i < KEY % 20, F.concat(
-        digits(1 + i % 17, 2), digits(2 + i % 16, 2), F.when((KEY + i) % 6 == 0, "*****").otherwise(digits(10 + (KEY + i) % 999, 5)),
-        digits(20 + (KEY + i) % 999, 5), digits((KEY + i) % 150, 3))).otherwise("0" * 17))
-    parts = [*header("O3"), (27, 8, F.lit("01011200")), (37, 2, digits(KEY % 19, 2)), (39, 1, F.lit("7")), (40, 2601, wide), (2641, 11, digits(KEY, 11))]
-    rows = extract.wide_odds(as_feed(t.read("orders"), "O3", record(2654, parts), KEY))
+    wide = repeat(153, lambda i: F.when(i < okey() % 20, F.concat(
+        digits(1 + i % 17, 2), digits(2 + i % 16, 2), F.when((okey() + i) % 6 == 0, "*****").otherwise(digits(10 + (okey() + i) % 999, 5)),
+        digits(20 + (okey() + i) % 999, 5), digits((okey() + i) % 150, 3))).otherwise("0" * 17))
+    parts = [*header("O3"), (27, 8, F.lit("01011200")), (37, 2, digits(okey() % 19, 2)), (39, 1, F.lit("7")), (40, 2601, wide), (2641, 11, digits(okey(), 11))]
+    rows = extract.wide_odds(as_feed(t.read("orders"), "O3", record(2654, parts), okey()))
     return rows.select("seq", "race_id", "kumiban", "min_odds_x10", "max_odds_x10", "popularity", "starters", "sale_flag_wide", "wide_pool_total_100yen")
 
 
@@ -277,15 +284,15 @@ def fixed_width_wide_odds(t: Tables) -> DataFrame:
     ["keyed"],
 )
 def fixed_width_forecasts(t: Tables) -> DataFrame:
-    size = 3 + KEY % 10
+    size = 3 + okey() % 10
     times = repeat(18, lambda i: F.when(i < size, F.concat(
-        digits(i + 1, 2), F.when((KEY + i) % 6 == 0, "99999").otherwise(F.concat(F.lit("1"), digits((KEY + i) % 60, 2), digits(i % 10, 1), F.lit("7"))),
+        digits(i + 1, 2), F.when((okey() + i) % 6 == 0, "99999").otherwise(F.concat(F.lit("1"), digits((okey() + i) % 60, 2), digits(i % 10, 1), F.lit("7"))),
         F.lit("00500050"))).otherwise(" " * 15))
     scores = repeat(18, lambda i: F.when(i < size, F.concat(
-        digits(i + 1, 2), F.when((KEY + i) % 4 == 0, "--  ").otherwise(digits((KEY * 7 + i) % 1000, 4)))).otherwise("000000"))
+        digits(i + 1, 2), F.when((okey() + i) % 4 == 0, "--  ").otherwise(digits((okey() * 7 + i) % 1000, 4)))).otherwise("000000"))
     orders = t.read("orders")
-    time = as_feed(orders, "DM", record(303, [*header("DM"), (27, 4, F.lit("0930")), (31, 270, times)]), KEY)
-    score = as_feed(orders, "TM", record(141, [*header("TM"), (27, 4, F.lit("0930")), (31, 108, scores)]), KEY)
+    time = as_feed(orders, "DM", record(303, [*header("DM"), (27, 4, F.lit("0930")), (31, 270, times)]), okey())
+    score = as_feed(orders, "TM", record(141, [*header("TM"), (27, 4, F.lit("0930")), (31, 108, scores)]), okey())
     left = extract.time_forecast(time).select("seq", "race_id", "horse_no", F.col("dm_time_x10").alias("dm"), "dm_rank")
     right = extract.score_forecast(score).select("seq", "horse_no", F.col("tm_score").alias("tm"), "tm_rank")
     return left.join(right, ["seq", "horse_no"])
@@ -302,10 +309,10 @@ def fixed_width_forecasts(t: Tables) -> DataFrame:
     ["keyed"],
 )
 def fixed_width_body_weight(t: Tables) -> DataFrame:
-    items = repeat(18, lambda i: F.when(i < 3 + KEY % 10, F.concat(
-        digits(i + 1, 2), F.lit(" " * 36), F.when((KEY + i) % 3 == 0, "999").otherwise(digits(430 + (KEY + i) % 90, 3)),
-        F.when((KEY + i) % 3 == 0, "+").when((KEY + i) % 3 == 1, "-").otherwise(" "), digits((KEY + i) % 20, 3))).otherwise(" " * 45))
-    feed = as_feed(t.read("orders"), "WH", record(847, [*header("WH"), (27, 8, F.lit("01011200")), (35, 810, items)]), KEY)
+    items = repeat(18, lambda i: F.when(i < 3 + okey() % 10, F.concat(
+        digits(i + 1, 2), F.lit(" " * 36), F.when((okey() + i) % 3 == 0, "999").otherwise(digits(430 + (okey() + i) % 90, 3)),
+        F.when((okey() + i) % 3 == 0, "+").when((okey() + i) % 3 == 1, "-").otherwise(" "), digits((okey() + i) % 20, 3))).otherwise(" " * 45))
+    feed = as_feed(t.read("orders"), "WH", record(847, [*header("WH"), (27, 8, F.lit("01011200")), (35, 810, items)]), okey())
     return extract.body_weight(feed).drop("seq", "data_kbn", "announce_mmddhhmi")
 
 
@@ -322,12 +329,12 @@ def fixed_width_body_weight(t: Tables) -> DataFrame:
 )
 def fixed_width_workouts(t: Tables) -> DataFrame:
     orders = t.read("orders")
-    start = [(2, 1, F.lit("1")), (11, 1, F.lit("0")), (12, 8, F.date_format("o_orderdate", "yyyyMMdd")), (20, 4, F.lit("0700")), (24, 10, KEY.cast("string"))]
-    slope = record(60, [(0, 2, F.lit("HC")), *start, (34, 4, digits(KEY % 800, 4)), (55, 3, digits(KEY % 150, 3))])
-    wood = record(105, [(0, 2, F.lit("WC")), *start, (34, 2, F.lit("21")), (79, 4, digits(KEY % 700, 4)), (100, 3, digits(KEY % 150, 3))])
+    start = [(2, 1, F.lit("1")), (11, 1, F.lit("0")), (12, 8, F.date_format("o_orderdate", "yyyyMMdd")), (20, 4, F.lit("0700")), (24, 10, okey().cast("string"))]
+    slope = record(60, [(0, 2, F.lit("HC")), *start, (34, 4, digits(okey() % 800, 4)), (55, 3, digits(okey() % 150, 3))])
+    wood = record(105, [(0, 2, F.lit("WC")), *start, (34, 2, F.lit("21")), (79, 4, digits(okey() % 700, 4)), (100, 3, digits(okey() % 150, 3))])
     columns = ["seq", "horse_id", "training_date", "total_4f", "lap_1f"]
-    left = extract.slope_workout(as_feed(orders, "HC", slope, KEY)).select(F.lit("HC").alias("kind"), *columns)
-    right = extract.wood_workout(as_feed(orders, "WC", wood, KEY)).select(F.lit("WC").alias("kind"), *columns)
+    left = extract.slope_workout(as_feed(orders, "HC", slope, okey())).select(F.lit("HC").alias("kind"), *columns)
+    right = extract.wood_workout(as_feed(orders, "WC", wood, okey())).select(F.lit("WC").alias("kind"), *columns)
     return left.unionByName(right)
 
 
@@ -348,9 +355,9 @@ def fixed_width_masters(t: Tables) -> DataFrame:
     trainers = extract.trainer(as_feed(supplier, "CH", person, F.col("s_suppkey")))
     animal = record(100, [(2, 1, F.lit("1")), (10, 10, F.col("p_partkey").cast("string")), (20, 36, F.col("p_name"))])
     horses = extract.horse(as_feed(t.read("part"), "UM", animal, F.col("p_partkey")))
-    out = record(60, [(2, 1, F.lit("2")), (11, 8, F.date_format("o_orderdate", "yyyyMMdd")), (19, 2, digits(1 + CUST % 12, 2)), (25, 2, F.lit("11")),
-                      (27, 10, KEY.cast("string")), (37, 18, F.lit("　ななし")), (55, 5, F.lit("00110"))])
-    gone = extract.exclusion(as_feed(t.read("orders"), "JG", out, KEY)).filter("horse_name = 'ななし' and flags = '00110'")
+    out = record(60, [(2, 1, F.lit("2")), (11, 8, F.date_format("o_orderdate", "yyyyMMdd")), (19, 2, digits(1 + cust() % 12, 2)), (25, 2, F.lit("11")),
+                      (27, 10, okey().cast("string")), (37, 18, F.lit("　ななし")), (55, 5, F.lit("00110"))])
+    gone = extract.exclusion(as_feed(t.read("orders"), "JG", out, okey())).filter("horse_name = 'ななし' and flags = '00110'")
     row = lambda df, kind, key, name: df.select(F.lit(kind).alias("kind"), key.cast("string").alias("id"), name.alias("name"))
     parts = [
         row(jockeys, "jockey", F.col("jockey_id"), F.col("jockey_name")),
@@ -398,16 +405,16 @@ def fixed_width_stats(t: Tables) -> DataFrame:
 )
 def fixed_width_changes(t: Tables) -> DataFrame:
     key = [(2, 1, F.lit("1")), (3, 8, F.lit("20240101")), (11, 16, race_key()), (27, 8, F.lit("01011200"))]
-    meeting = [(2, 1, F.lit("1")), (11, 14, F.substring(race_key(), 1, 14)), (25, 8, F.lit("01011200")), (34, 1, digits(KEY % 9, 1))]
+    meeting = [(2, 1, F.lit("1")), (11, 14, F.substring(race_key(), 1, 14)), (25, 8, F.lit("01011200")), (34, 1, digits(okey() % 9, 1))]
     kinds = {
-        "WE": (42, meeting), "AV": (78, [*key, (35, 2, digits(1 + KEY % 18, 2))]),
-        "JC": (161, [*key, (76, 5, F.concat(F.lit("J"), (KEY % 1000).cast("string")))]),
-        "TC": (45, [*key, (35, 4, digits(900 + KEY % 60, 4))]), "CC": (50, [*key, (35, 4, digits(10 + KEY % 20, 4))]),
+        "WE": (42, meeting), "AV": (78, [*key, (35, 2, digits(1 + okey() % 18, 2))]),
+        "JC": (161, [*key, (76, 5, F.concat(F.lit("J"), (okey() % 1000).cast("string")))]),
+        "TC": (45, [*key, (35, 4, digits(900 + okey() % 60, 4))]), "CC": (50, [*key, (35, 4, digits(10 + okey() % 20, 4))]),
     }
     feed = None
     for i, (kind, (width, parts)) in enumerate(kinds.items()):
-        rows = t.read("orders").filter(KEY % 5 == i)
-        part = as_feed(rows, kind, record(width, [(0, 2, F.lit(kind)), *parts]), KEY)
+        rows = t.read("orders").filter(okey() % 5 == i)
+        part = as_feed(rows, kind, record(width, [(0, 2, F.lit(kind)), *parts]), okey())
         feed = part if feed is None else feed.unionByName(part)
     out = extract.changes(feed)
     names = F.array(*[F.lit(n) for n in ("weather_now", "horse_no", "jockey_code_after", "post_time_after", "distance_m_after")])
