@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turfspark.llm import exact, warc
+from turfspark.llm import exact, langid, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,6 +46,16 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@_query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_query("op5_language_id")
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.language_of(table(spark, folder, "documents"))
+
+
 @_query(
     "op6_exact_dedup",
     r"""
