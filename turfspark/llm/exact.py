@@ -46,12 +46,14 @@ def groups(rows: DataFrame) -> DataFrame:
     at = FIRST_BYTES
     found = split(rows.select("doc_id", row, size.alias("n"), digit(0, at)), "n")
     result = found.where(F.col("n") <= at)
+    # the texts still in question, moved once; later rounds read runs of bytes from them
+    bodies = common.stored(rows.where(size > at).select(row, "body").join(found.select(row), row))
     while True:
         alive = found.where(F.col("n") > at)
         if alive.isEmpty():
             return result.select(row, "head", "group_size")
         width = at * (GROWTH - 1)
-        runs = rows.where(size > at).select(row, digit(at, width))
+        runs = bodies.where(size > at).select(row, digit(at, width))
         found = split(alive.select("doc_id", row, "n", "gid").join(runs, row), "gid")
         at += width
         result = result.union(found.where(F.col("n") <= at))
