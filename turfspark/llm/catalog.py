@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turfspark.llm import exact, langid, toxicity, warc
+from turfspark.llm import decontam, exact, importance, langid, packing, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,6 +51,11 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@_query("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
 @_query("op5_language_id")
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.language_of(table(spark, folder, "documents"))
@@ -67,3 +72,13 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, folder, "documents"))
+
+
+@_query("op9_benchmark_decontamination")
+def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@_query("op10_importance_resampling")
+def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
