@@ -45,20 +45,24 @@ def _plain(value):
     return None if value is None or value != value else value
 
 
-def _member(row) -> bytes:
-    """One gzip member with one WARC record; no time stamp, so equal rows give equal bytes."""
+def _member(row, told=None) -> bytes:
+    """One gzip member with one WARC record, a revisit if `told` says of what.
+
+    There is no time stamp, so equal rows give equal bytes.
+    """
     payload = (row.html or "").encode("utf-8", "surrogatepass")
     sha = hashlib.sha1(payload)
     if sha.hexdigest() != row.digest:
         raise ValueError(f"page {row.page_id}: the payload changed since its digest was taken")
-    page, refers, revisit = _plain(row.page_id), _plain(row.refers_to), row.record_type == "revisit"
+    page, revisit = _plain(row.page_id), told is not None
+    refers = _plain(told.refers_to) if revisit else None
     http = (
         f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
     ).encode()
     block = http if revisit else http + payload
     digests = [base64.b32encode(d).decode() for d in (hashlib.sha1(block).digest(), sha.digest())]
     head = {
-        "WARC-Type": row.record_type,
+        "WARC-Type": "revisit" if revisit else "response",
         "WARC-Record-ID": _record_id(page, row.url, row.digest),
         "WARC-Date": DATE,
         "WARC-Target-URI": (row.url or "").replace("\r", "%0D").replace("\n", "%0A"),
@@ -71,7 +75,7 @@ def _member(row) -> bytes:
     }
     if revisit:
         head["WARC-Profile"] = _PROFILE
-        head["WARC-Refers-To"] = _record_id(refers, row.refers_url, row.digest)
+        head["WARC-Refers-To"] = _record_id(refers, told.refers_url, row.digest)
         head["WARC-X-Refers-To-Page-Id"] = "" if refers is None else str(int(refers))
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items())
     return gzip.compress(f"WARC/1.1\r\n{lines}\r\n".encode() + block + b"\r\n\r\n", compresslevel=6, mtime=0)
@@ -106,15 +110,21 @@ def _writer(folder: str, roll: int):
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         attempt = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
-        file, done = None, []
+        file, done, told = None, [], None
         for batch in batches:
             for row in batch.astype(object).itertuples(index=False):
+                if not row.told:
+                    told = row
+                    continue
+                same = told is not None and (told.shard, told.page_key, told.url, told.digest) == (
+                    row.shard, row.page_key, row.url, row.digest
+                )
                 if file is not None and (file.shard != row.shard or file.bytes >= roll):
                     done.append(file.close())
                     file = _File(folder, row.shard, file.part + 1 if file.shard == row.shard else 0, attempt)
                 elif file is None:
                     file = _File(folder, row.shard, 0, attempt)
-                file.write(_member(row))
+                file.write(_member(row, told if same else None))
             if done:
                 yield pd.DataFrame(done, columns=names)
                 done = []
@@ -143,31 +153,23 @@ def _publish(folder: str):
     return publish
 
 
-def with_kinds(pages: DataFrame, threshold: int = REVISIT_BYTES) -> DataFrame:
-    """Adds payload_bytes, digest, record_type, refers_to, refers_url to page_id, url, html.
+def revisits(pages: DataFrame, threshold: int = REVISIT_BYTES) -> DataFrame:
+    """Rows of page_id, url, key, page_key, digest that revisit another page: with refers_to, refers_url.
 
     Of equal payloads of at least `threshold` bytes the largest page_id is the response (all rows that
-    have it, if several do; null ids come first, and are responses if no row has an id). The partner is
-    found by one aggregate over digests with map-side combining.
+    have it, if several do; null ids come last, and are responses if no row has an id). The partner is
+    found by one aggregate over digests with map-side combining; no payload is moved.
     """
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.withColumns({"payload_bytes": F.octet_length(payload).cast("long"), "digest": F.sha1(payload)})
-    large = F.col("payload_bytes") >= threshold
-    best = F.max(F.struct(F.col("page_id"), F.col("url")))
+    narrow = pages.where(F.col("payload_bytes") >= threshold).select("page_id", "url", "key", "page_key", "digest")
     last = common.cut(
-        rows.where(large)
-        .groupBy("digest", "payload_bytes")
-        .agg(best.alias("best"), F.count(F.lit(1)).alias("copies"))
+        narrow.groupBy("digest")
+        .agg(F.max(F.struct(F.col("page_id"), F.col("url"))).alias("best"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1")
-        .select("digest", "payload_bytes", "best")
+        .select("digest", "best")
     )
-    revisit = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best.page_id"))
-    kinds = {
-        "record_type": F.when(revisit, "revisit").otherwise("response"),
-        "refers_to": F.when(revisit, F.col("best.page_id")),
-        "refers_url": F.when(revisit, F.col("best.url")),
-    }
-    return rows.join(last, ["digest", "payload_bytes"], "left").withColumns(kinds).drop("best")
+    found = narrow.join(last, "digest").where(~F.col("page_id").eqNullSafe(F.col("best.page_id")))
+    refers = [F.col("best.page_id").alias("refers_to"), F.col("best.url").alias("refers_url")]
+    return found.select("page_id", "url", "key", "page_key", "digest", *refers).distinct()
 
 
 def shard_bounds(rows: DataFrame, shards: int) -> list[tuple[str, int]]:
@@ -212,19 +214,30 @@ def write_warc(
     )
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#:]+)", 1), F.lit("")))
     key = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(" "), F.coalesce("url", F.lit("")))
-    rows = with_kinds(plain).withColumns({"key": key, "page_key": F.coalesce("page_id", F.lit(-(2**63)))})
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    rows = plain.withColumns({
+        "key": key,
+        "page_key": F.coalesce("page_id", F.lit(-(2**63))),
+        "payload_bytes": F.octet_length(payload).cast("long"),
+        "digest": F.sha1(payload),
+    })
     total = plain.agg(F.sum(F.octet_length(F.coalesce("html", F.lit(""))))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes), min(spark.sparkContext.defaultParallelism, total >> 20))
-    keys = plain.select(key.alias("key"), F.coalesce("page_id", F.lit(-(2**63))).alias("page_key"))
-    bounds = shard_bounds(keys, shards)
+    bounds = shard_bounds(rows, shards)
     cuts = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(p).alias("page_key")) for k, p in bounds])
     place = F.struct("key", "page_key")
     shard = F.lit(0) if not bounds else F.size(F.filter(cuts, lambda c: c <= place))
+    # one shuffle for the payloads; what a revisit refers to comes as a row of its own before its page
+    told = revisits(rows).withColumns({"html": F.lit(None).cast("string"), "told": F.lit(0)})
+    none = {"refers_to": F.lit(None).cast("long"), "refers_url": F.lit(None).cast("string"), "told": F.lit(1)}
     ordered = (
-        rows.withColumn("shard", shard.cast("int"))
+        rows.drop("payload_bytes")
+        .withColumns(none)
+        .unionByName(told)
+        .withColumn("shard", shard.cast("int"))
         .repartition(shards, "shard")
-        .sortWithinPartitions("shard", "key", "page_key", "digest")
-        .select("shard", "page_id", "url", "html", "digest", "record_type", "refers_to", "refers_url")
+        .sortWithinPartitions("shard", "key", "page_key", "digest", "told")
+        .select("shard", "page_id", "url", "page_key", "html", "digest", "refers_to", "refers_url", "told")
     )
     listed = f"{folder}/_manifest"
     ordered.mapInPandas(_writer(folder, roll_bytes), _MANIFEST).write.mode("overwrite").parquet(listed)
