@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turfspark.llm import decontam, exact, importance, langid, packing, toxicity, warc
+from turfspark.llm import decontam, exact, importance, langid, lines, minhash, packing, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +30,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query("op1_minhash_near_dedup")
+def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents")).drop("row")
+
+
 @_query(
     "op2_warc",
     """
@@ -74,6 +80,12 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, folder, "documents"))
 
 
+@_query("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.line_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @_query("op9_benchmark_decontamination")
 def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
