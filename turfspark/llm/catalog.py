@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfspark.llm import decontam, exact, importance, langid, lines, minhash, packing, toxicity, warc
+from turfspark.llm import decontam, exact, importance, langid, lines, minhash, packing, suffix, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,6 +80,11 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, folder, "documents"))
 
 
+@_query("op7_suffix_array_dedup")
+def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.repeated_strings(table(spark, folder, "documents"))
+
+
 @_query("op8_line_dedup")
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = lines.line_duplicates(table(spark, folder, "documents"))
