@@ -94,11 +94,12 @@ class Parser:
             for state, row in enumerate(states):
                 table[state, list(row)] = list(row.values())
             table = np.where(table >= 0, (table + base) * self.width, -1).astype(np.int32)
-            again = np.where(table[0] >= 0, table[0], base * self.width) | _NEW
-            table = np.where(table >= 0, table, again[None, :])
-            self.roots.append(base * self.width)
-            tables.append(table)
-            base += len(states)
+            # where a phrase can't go on the next one begins; the row added at the end is where none has begun
+            outside = (base + len(states)) * self.width
+            again = np.where(table[0] >= 0, table[0], outside) | _NEW
+            tables.append(np.concatenate([np.where(table >= 0, table, again[None, :]), again[None, :]]))
+            self.roots.append(outside)
+            base += len(states) + 1
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, dtype=np.int32)
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,9 +112,10 @@ class Parser:
         codes = np.where(points < 65536, self.classes[np.minimum(points, 65535)], 1).astype(np.uint8)
         keep = codes > 0
         keep[1:] |= codes[:-1] > 0
-        ends = np.cumsum(np.array([len(t) + 1 for t in small], dtype=np.int64))
+        past = np.cumsum(np.array([len(t) + 1 for t in small], dtype=np.int64))
+        keep[past[:-1] - 1] = False  # no text has the space that joins it to the next
         kept = np.concatenate([[0], np.cumsum(keep)])
-        return codes[keep], kept[np.minimum(ends, len(points))]
+        return codes[keep], kept[np.minimum(past, len(points))]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by language and text, and letters by text."""
@@ -130,7 +132,7 @@ class Parser:
         owner, start, size = owner[order], start[order], size[order]
         left = np.searchsorted(-size, -np.arange(SEGMENT), side="left")  # pieces longer than each step
         state = np.repeat(np.array(self.roots, dtype=np.int32)[:, None], len(owner), axis=1)
-        found = np.ones(state.shape, dtype=np.int32)
+        found = np.zeros(state.shape, dtype=np.int32)
         for k in range(SEGMENT):
             n = int(left[k])
             if not n:
