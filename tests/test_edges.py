@@ -1,6 +1,7 @@
 """Hand-computed answers for the rules that are easy to get wrong."""
 
 import datetime as dt
+import itertools
 import math
 
 import pytest
@@ -129,7 +130,7 @@ def test_ranking_fit_reaches_zero_gradient(spark):
     weights, loss = ranking.fit_pl(df, ["a", "b"], l2=0.0, steps=12, tolerance=1e-12)
     scored = df.withColumn("s", ranking.linear_score(["a", "b"], weights))
     out = ranking.pl_gradient(scored, "s", ["a", "b"]).first()
-    terms = ranking.pl_terms(ranking.finish_groups(scored), "s", gradient=True, bounded=True)
+    terms = ranking.pl_terms(ranking.finish_groups(scored), "s", gradient=True)
     both = terms.agg(F.sum("nll") / 40, F.sum(F.col("g") * F.col("a")) / 40).first()
     assert both[0] == pytest.approx(out.nll) and both[1] == pytest.approx(out.g_a, abs=1e-9)
     assert abs(out.g_a) < 1e-3 and abs(out.g_b) < 1e-3 and loss <= ranking.pl_nll(df.withColumn("s", F.lit(0.0)), "s").first().nll
@@ -219,3 +220,52 @@ def test_unsorted_file_is_found(spark, tmp_path):
     rows = [(1, 1), (1, 3), (1, 2), (2, 1)]
     spark.createDataFrame(rows, "race_id long, horse_no long").coalesce(1).write.parquet(str(tmp_path / "a"))
     assert [tuple(r) for r in quality.unsorted_rows(spark, str(tmp_path / "a")).collect()] == [(1, 2)]
+
+
+def _plackett_luce(scores):
+    """Top-3 and pair probabilities by adding up all orders of three, in logs."""
+    def log_sum(values):
+        high = max(values)
+        return high + math.log(sum(math.exp(v - high) for v in values))
+
+    n, one, two = len(scores), [0.0] * len(scores), {}
+    for i, j, k in itertools.permutations(range(n), 3):
+        left = [log_sum([s for x, s in enumerate(scores) if x not in gone]) for gone in ((), (i,), (i, j))]
+        p = math.exp(scores[i] + scores[j] + scores[k] - sum(left))
+        for x in (i, j, k):
+            one[x] += p
+        for x, y in itertools.combinations(sorted((i, j, k)), 2):
+            two[x, y] = two.get((x, y), 0.0) + p
+    return one, two
+
+
+def test_scores_thousands_apart(spark):
+    races = [[0, -400, -800, -1200, -1600], [0.0, 0.1, -0.2, 0.3], [5000, 4999, -5000, -5001, -4999.5, 0], [-3.0, -3.0, 700, 701, 2]]
+    rows = [(r, i + 1, i + 1, float(s)) for r, scores in enumerate(races) for i, s in enumerate(scores)]
+    df = spark.createDataFrame(rows, "race_id long, horse_no int, finish_pos int, s double")
+    single = {(r.race_id, r.horse_no): r.p_top3 for r in ranking.top3_probabilities(df, "s").collect()}
+    pair = {(r.race_id, r.horse_no_1, r.horse_no_2): r.p_wide for r in ranking.pair_probabilities(df, "s").collect()}
+    for r, scores in enumerate(races):
+        one, two = _plackett_luce([float(s) for s in scores])
+        assert [single[r, i + 1] for i in range(len(scores))] == pytest.approx(one, abs=1e-9)
+        assert all(pair[r, i + 1, j + 1] == pytest.approx(p, abs=1e-9) for (i, j), p in two.items())
+    steep = df.filter("race_id = 0")
+    assert ranking.pl_nll(steep, "s").first().nll == pytest.approx(0.0, abs=1e-9)
+    terms = ranking.pl_terms(ranking.finish_groups(steep), "s", gradient=True).orderBy("horse_no").collect()
+    assert [t.g for t in terms] == pytest.approx([0.0] * 5, abs=1e-9)
+
+
+def test_more_runners_than_numbers_is_an_error(spark):
+    df = spark.range(100).selectExpr("1L AS race_id", "int(id) AS horse_no", "int(id) + 1 AS finish_pos", "double(id) AS s")
+    for frame in (ranking.pl_nll(df, "s"), ranking.pair_probabilities(df, "s")):
+        with pytest.raises(Exception, match="more than 99 runners"):
+            frame.collect()
+
+
+def test_floor_of_chosen_bets_counts_inside_the_day(spark):
+    """Day cap 20,000: the first race keeps 16,600 after the floor, so the second may take 3,400."""
+    rules = (0, "2024-01-01", 1_000_000, 0.02, 100, 100, "selected", 0.1)
+    bets = [(1, "a", 16_600, 0.2), (1, "b", 3_300, 0.05), (2, "a", 5_000, 0.3), (3, "a", 400, 0.3)]
+    names = "strategy_id int, race_date string, bankroll long, day_cap double, unit int, min_bet int, min_p_stage string, min_p double"
+    df = spark.createDataFrame([(*rules, *b) for b in bets], names + ", race_id long, kumiban string, bet long, p_wide double")
+    assert sorted((r.race_id, r.kumiban, r.bet) for r in wager.daily_cap(df).collect()) == [(1, "a", 16_600), (2, "a", 3_400)]

@@ -10,12 +10,14 @@ from turfspark.functions import market as M
 from turfspark.operators import joins, wager
 from turfspark.plans import backtest
 
-# two strategies: the defaults, and few small bets with a tight daily cap
+# the defaults, few small bets with a tight daily cap, and a floor on the bets that were chosen
 STRATEGIES = (
     {"ev_threshold": 0.05},
     {"ev_threshold": 0.0, "max_bets": 2, "kelly_scale": 0.5, "day_cap": 0.02, "race_cap": 0.01,
      "min_p": 0.1, "max_bet": 9000, "min_bet": 300},
+    {"ev_threshold": 0.02, "max_bets": 4, "day_cap": 0.03, "min_p": 0.06, "min_p_stage": "selected"},
 )
+MOST_BETS = max(int(s.get("max_bets", wager.DEFAULTS["max_bets"])) for s in STRATEGIES)
 
 cte(
     "wide_log",
@@ -45,9 +47,10 @@ cte(
 cte(
     "strategy",
     """
-    SELECT * FROM (VALUES (0, 0.25e0, 5, 50000, 200000, 0, 100, 0.05e0, 0e0),
-                          (1, 0.5e0, 2, 10000, 20000, 9000, 300, 0e0, 0.1e0))
-        s(strategy_id, scale, max_bets, race_cap, day_cap, max_bet, min_bet, threshold, min_p)
+    SELECT * FROM (VALUES (0, 0.25e0, 5, 50000, 200000, 0, 100, 0.05e0, 0e0, 0e0),
+                          (1, 0.5e0, 2, 10000, 20000, 9000, 300, 0e0, 0.1e0, 0e0),
+                          (2, 0.25e0, 4, 50000, 30000, 0, 100, 0.02e0, 0e0, 0.06e0))
+        s(strategy_id, scale, max_bets, race_cap, day_cap, max_bet, min_bet, threshold, min_p, late_p)
     """,
 )
 cte(
@@ -86,7 +89,8 @@ cte(
     "capped",
     """
     WITH RECURSIVE day_race AS (
-        SELECT strategy_id, race_date, race_id, day_cap, min_bet, list(bet) AS bets, sum(bet) AS total,
+        SELECT strategy_id, race_date, race_id, day_cap, min_bet, list(bet) FILTER (p_wide >= late_p) AS bets,
+               sum(bet) AS total, coalesce(sum(bet) FILTER (p_wide >= late_p), 0) AS uses,
                row_number() OVER (PARTITION BY strategy_id, race_date ORDER BY race_id) AS n
         FROM raced GROUP BY strategy_id, race_date, race_id, day_cap, min_bet),
     spent AS (
@@ -95,7 +99,7 @@ cte(
         FROM day_race WHERE n = 1
         UNION ALL
         SELECT d.strategy_id, d.race_date, d.n, d.race_id,
-               CAST(s.used + CASE WHEN d.day_cap - s.used <= 0 THEN 0 WHEN d.total <= d.day_cap - s.used THEN d.total
+               CAST(s.used + CASE WHEN d.day_cap - s.used <= 0 THEN 0 WHEN d.total <= d.day_cap - s.used THEN d.uses
                     ELSE coalesce(list_sum(list_filter(list_transform(d.bets,
                          lambda b: floor(b * ((d.day_cap - s.used)::DOUBLE / d.total) / 100) * 100),
                          lambda x: x >= d.min_bet)), 0) END AS BIGINT),
@@ -105,7 +109,7 @@ cte(
     SELECT r.* REPLACE (CASE WHEN d.total > s.room THEN CAST(floor(r.bet * (s.room::DOUBLE / d.total) / 100) * 100 AS BIGINT)
                              ELSE r.bet END AS bet)
     FROM raced r JOIN spent s USING (strategy_id, race_id) JOIN day_race d USING (strategy_id, race_id)
-    WHERE s.room > 0 AND (d.total <= s.room OR floor(r.bet * (s.room::DOUBLE / d.total) / 100) * 100 >= r.min_bet)
+    WHERE s.room > 0 AND r.p_wide >= r.late_p AND (d.total <= s.room OR floor(r.bet * (s.room::DOUBLE / d.total) / 100) * 100 >= r.min_bet)
     """,
     "raced",
 )
@@ -208,7 +212,7 @@ def candidates_ev(t: Tables) -> DataFrame:
     ["raced"],
 )
 def kelly_topk_racecap(t: Tables) -> DataFrame:
-    return wager.race_stakes(candidates(t), most=5).select("strategy_id", "race_id", "kumiban", "bet")
+    return wager.race_stakes(candidates(t), most=MOST_BETS).select("strategy_id", "race_id", "kumiban", "bet")
 
 
 @query(
@@ -217,7 +221,7 @@ def kelly_topk_racecap(t: Tables) -> DataFrame:
     ["capped"],
 )
 def daily_cap_fold(t: Tables) -> DataFrame:
-    staked = wager.race_stakes(candidates(t), most=5)
+    staked = wager.race_stakes(candidates(t), most=MOST_BETS)
     return wager.daily_cap(staked).select("strategy_id", "race_id", "kumiban", "bet")
 
 

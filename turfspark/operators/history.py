@@ -41,8 +41,8 @@ def rolling_stats(
     """Mean, population deviation and count of values over [time - width, time) per key.
 
     Columns come out as `mean_<value>`, `std_<value>` and `n_<value>`. Values
-    have at most `digits` decimals; sums are kept as whole numbers, so the
-    deviation has no cancellation error.
+    have at most `digits` decimals, and one with more is an error; sums are kept
+    as whole numbers, so the deviation has no cancellation error.
     """
     zero = F.lit(0).cast("bigint")
     sums = {}
@@ -51,7 +51,13 @@ def rolling_stats(
         sums[f"n_{v}"] = F.count(x)
         sums[f"_s_{v}"] = F.coalesce(F.sum(x), zero)
         sums[f"_q_{v}"] = F.coalesce(F.sum(x * x), zero)
-    scaled = {f"_x_{v}": F.round(F.col(v) * 10**digits).cast("bigint") for v in values}
+
+    def whole(v: str) -> Column:
+        x = F.col(v) * 10**digits
+        off = F.abs(x - F.round(x)) > 1e-6 * F.greatest(F.lit(1.0), F.abs(x) * 1e-6)
+        return F.when(off, F.raise_error(F.lit(f"{v} has more than {digits} decimals"))).otherwise(F.round(x))
+
+    scaled = {f"_x_{v}": whole(v).cast("bigint") for v in values}
     rolled = skew.rolling_sums(df.withColumns(scaled), keys, time, width, **sums)
     out = []
     for v in values:

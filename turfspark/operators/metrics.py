@@ -154,14 +154,15 @@ def race_bin_sums(
     )
 
 
-def poisson_weight(uniform: Column, most: int = 12) -> Column:
-    """Poisson(1) count from a uniform number, by its distribution function."""
-    term, total, out = 0.36787944117144233, 0.0, None
-    for k in range(most):
+def poisson_weight(uniform: Column) -> Column:
+    """Poisson(1) count from a uniform number, by its distribution function up to the last double below 1."""
+    term, total, k, out = 0.36787944117144233, 0.0, 0, None
+    while total + term > total:
         total += term
         out = F.when(uniform < total, k) if out is None else out.when(uniform < total, k)
-        term /= k + 1
-    return out.otherwise(most)
+        k += 1
+        term /= k
+    return out.otherwise(k)
 
 
 def bootstrap_diff_ci(

@@ -2,13 +2,15 @@
 
 A race has a bounded number of runners: numbers have two digits in every pair
 key, so at most 99, and 18 in the target segment. Work inside one race may
-therefore use a window on `race_id`. Sums along the finish order go through the
-splitting running sum, so even a malformed race does not overload a task.
+therefore use a window or an array per race; a race with more runners is refused
+with an error, never cut. All sums of powers are kept as logarithms, each stage
+of a race by its own largest score, so scores may lie thousands apart.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +21,9 @@ from turfspark.functions import market as M
 from turfspark.functions import scalars as S
 from turfspark.operators import ingroup, skew
 
-# exp(-700) is the smallest power that still divides cleanly in a double
-MAX_SPREAD = 700.0
+# two-digit runner numbers: pair keys and the work inside a race rest on this bound
+MOST_RUNNERS = 99
+_NOTHING = float("-inf")
 
 
 # --- pairs and top-k ---------------------------------------------------------
@@ -43,11 +46,36 @@ def pairs(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _bounded(size: Column, value: Column) -> Column:
+    """`value`, or an error for a race that breaks the bound on runners."""
+    return F.when(size > MOST_RUNNERS, F.raise_error(F.lit(f"a race has more than {MOST_RUNNERS} runners"))).otherwise(value)
+
+
+def _log_add(a: Column, b: Column) -> Column:
+    high = F.greatest(a, b)
+    return F.when(high == _NOTHING, high).otherwise(high + F.log1p(F.exp(F.least(a, b) - high)))
+
+
+def _log_less(total: Column, *parts: Column) -> Column:
+    """Log of a total without some of its parts; nothing left gives minus infinity."""
+    gone = F.lit(0.0)
+    for part in parts:
+        gone = gone + F.exp(part - total)
+    return F.when(gone < 1.0, total + F.log1p(-gone)).otherwise(F.lit(_NOTHING))
+
+
+def _log_total(terms: Column) -> Column:
+    """Log of the sum of powers of an array of logs."""
+    high = F.array_max(terms)
+    return high + F.ln(F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + F.exp(x - high)))
+
+
 def _weights(df: DataFrame, score: str) -> DataFrame:
-    """Per runner: weight, place by weight, and the race totals without the top one or two.
+    """Per runner: score, place by score, and the logs of the race totals without the top one or two.
 
-    Totals that leave out the heaviest runners are summed, not subtracted, so a
-    dominant score does not cancel the rest.
+    Totals that leave out the heaviest runners are summed, not subtracted, and
+    each is scaled by its own largest score, so a dominant score neither cancels
+    nor hides the rest.
     """
     race = Window.partitionBy("race_id")
     down = race.orderBy(F.col("_s").desc(), F.col("horse_no"))
@@ -55,31 +83,27 @@ def _weights(df: DataFrame, score: str) -> DataFrame:
         df.withColumn("_s", S.number(F.col(score)))
         .filter(F.col("_s").isNotNull())
         .select("race_id", "horse_no", "_s")
-        .withColumn("_pos", F.row_number().over(down))
+        .withColumns({"_pos": F.row_number().over(down), "_n": F.count(F.lit(1)).over(race)})
+        .withColumn("_pos", _bounded(F.col("_n"), F.col("_pos")))
     )
-    shifted = F.greatest(F.col("_s") - F.max("_s").over(race), F.lit(-MAX_SPREAD / 2))
-    powered = scored.withColumn("_w", F.exp(shifted))
-    total = lambda after: F.sum(F.when(F.col("_pos") > after, F.col("_w"))).over(race)
-    return powered.select(
-        "race_id",
-        "horse_no",
-        "_pos",
-        "_w",
-        F.count(F.lit(1)).over(race).alias("_n"),
-        total(0).alias("_s0"),
-        total(1).alias("_s1"),
-        total(2).alias("_s2"),
-    ).withColumn("_rest", F.when(F.col("_pos") == 1, F.col("_s1")).otherwise(F.col("_s0") - F.col("_w")))
-
-
-def _rest_of_two(p1: Column, w1: Column, p2: Column, w2: Column) -> Column:
-    """Weight of the race without two runners."""
+    rest = lambda after: F.when(F.col("_pos") > after, F.col("_s"))
+    topped = scored.withColumns({f"_m{k}": F.max(rest(k)).over(race) for k in range(3)})
+    logs = {
+        f"_l{k}": F.col(f"_m{k}") + F.ln(F.sum(F.exp(rest(k) - F.col(f"_m{k}"))).over(race)) for k in range(3)
+    }
+    totals = topped.withColumns(logs).drop("_m0", "_m1", "_m2")
+    own = _log_less(F.col("_l0"), F.col("_s"))
+    return totals.withColumn("_rest", F.when(F.col("_pos") == 1, F.col("_l1")).otherwise(own))
+
+
+def _rest_of_two(p1: Column, s1: Column, p2: Column, s2: Column) -> Column:
+    """Log of the weight of the race without two runners."""
     top, second = F.least(p1, p2), F.greatest(p1, p2)
-    lighter = F.when(p1 > p2, w1).otherwise(w2)
+    lighter = F.when(p1 > p2, s1).otherwise(s2)
     return (
-        F.when((top == 1) & (second == 2), F.col("_s2"))
-        .when(top == 1, F.col("_s1") - lighter)
-        .otherwise(F.col("_s0") - w1 - w2)
+        F.when((top == 1) & (second == 2), F.col("_l2"))
+        .when(top == 1, _log_less(F.col("_l1"), lighter))
+        .otherwise(_log_less(F.col("_l0"), s1, s2))
     )
 
 
@@ -96,47 +120,53 @@ def pair_probabilities(df: DataFrame, score: str) -> DataFrame:
         F.col("race_id").alias("_race"),
         F.col("horse_no").alias("_no"),
         F.col("_pos").alias("_pos_k"),
-        F.col("_w").alias("_w_k"),
+        F.col("_s").alias("_s_k"),
         F.col("_rest").alias("_rest_k"),
     )
-    rest = _rest_of_two(F.col("_pos"), F.col("_w"), F.col("_pos_k"), F.col("_w_k"))
+    rest = _rest_of_two(F.col("_pos"), F.col("_s"), F.col("_pos_k"), F.col("_s_k"))
     heaviest = F.col("_pos_k") == F.when(F.col("_pos") == 1, 2).otherwise(1)
-    after = F.col("_w_k") / F.col("_r2")
-    ahead = after / F.col("_rest_k")
+    after = F.col("_s_k") - F.col("_r2")
+    ahead = after - F.col("_rest_k")
     totals = (
         base.filter("_n > 3")
         .join(rival, (F.col("race_id") == F.col("_race")) & (F.col("horse_no") != F.col("_no")))
         .withColumn("_r2", rest)
         .groupBy("race_id", "horse_no")
         .agg(
-            F.sum(F.when(~heaviest, after)).alias("_after"),
+            F.collect_list(F.when(~heaviest, after)).alias("_after"),
             F.max(F.when(heaviest, after)).alias("_after_top"),
-            F.sum(F.when(~heaviest, ahead)).alias("_ahead"),
+            F.collect_list(F.when(~heaviest, ahead)).alias("_ahead"),
             F.max(F.when(heaviest, ahead)).alias("_ahead_top"),
         )
+        .withColumns({name: _log_total(F.col(name)) for name in ("_after", "_ahead")})
     )
     full = base.join(totals, ["race_id", "horse_no"], "left")
-    carry = ["_pos", "_w", "_rest", "_after", "_after_top", "_ahead", "_ahead_top"]
-    races = full.select("race_id", "_n", "_s0", "_s1", "_s2").distinct()
-    both = pairs(full, carry).join(races, "race_id")
-    w1, w2 = F.col("_w_1"), F.col("_w_2")
-    r2 = _rest_of_two(F.col("_pos_1"), w1, F.col("_pos_2"), w2)
+    carry = ["_pos", "_s", "_rest", "_after", "_after_top", "_ahead", "_ahead_top"]
+    races = full.select("race_id", "_n", "_l0", "_l1", "_l2").distinct()
+    s1, s2 = F.col("_s_1"), F.col("_s_2")
+    shared = _rest_of_two(F.col("_pos_1"), s1, F.col("_pos_2"), s2)
+    both = pairs(full, carry).join(races, "race_id").withColumn("_r2", shared)
+    r2 = F.col("_r2")
 
     def without(total: str, side: int, own: Column) -> Column:
         """A runner's total over its rivals, without the other member of the pair."""
         other = 3 - side
         is_top = F.col(f"_pos_{other}") == F.when(F.col(f"_pos_{side}") == 1, 2).otherwise(1)
         kept = F.col(f"{total}_{side}")
-        return F.when(is_top, kept).otherwise((kept - own) + F.col(f"{total}_top_{side}"))
-
-    in_two = 1.0 / F.col("_rest_1") + 1.0 / F.col("_rest_2")
-    third = (
-        without("_after", 1, w2 / r2) / F.col("_rest_1")
-        + without("_after", 2, w1 / r2) / F.col("_rest_2")
-        + without("_ahead", 1, w2 / r2 / F.col("_rest_2"))
-        + without("_ahead", 2, w1 / r2 / F.col("_rest_1"))
+        return F.when(is_top, kept).otherwise(_log_add(_log_less(kept, own), F.col(f"{total}_top_{side}")))
+
+    stages = (
+        -F.col("_rest_1"),
+        -F.col("_rest_2"),
+        without("_after", 1, s2 - r2) - F.col("_rest_1"),
+        without("_after", 2, s1 - r2) - F.col("_rest_2"),
+        without("_ahead", 1, s2 - r2 - F.col("_rest_2")),
+        without("_ahead", 2, s1 - r2 - F.col("_rest_1")),
     )
-    p = w1 * w2 / F.col("_s0") * (in_two + third)
+    both = both.withColumns({f"_t{k}": stage for k, stage in enumerate(stages)})
+    p = F.lit(0.0)
+    for k in range(len(stages)):
+        p = p + F.exp(s1 + s2 - F.col("_l0") + F.col(f"_t{k}"))
     return both.select(
         "race_id",
         "horse_no_1",
@@ -212,43 +242,54 @@ def finish_groups(df: DataFrame) -> DataFrame:
     return sized.filter("_runners >= 2").withColumn("_place", place).drop("_runners")
 
 
-def pl_terms(
-    groups: DataFrame, score: str, *, gradient: bool = False, bounded: bool = False
-) -> DataFrame:
+def _running_log_totals(terms: Column) -> Column:
+    """Logs of the running sums of powers of an array of logs, in its order."""
+    start = F.struct(
+        F.lit(_NOTHING).alias("high"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out")
+    )
+
+    def add(acc: Column, x: Column) -> Column:
+        high = F.greatest(acc["high"], x)
+        total = acc["sum"] * F.exp(acc["high"] - high) + F.exp(x - high)
+        return F.struct(
+            high.alias("high"), total.alias("sum"), F.array_append(acc["out"], high + F.ln(total)).alias("out")
+        )
+
+    return F.aggregate(terms, start, add, lambda acc: acc["out"])
+
+
+def pl_terms(groups: DataFrame, score: str, *, gradient: bool = False) -> DataFrame:
     """Per runner: `nll` = log of the weight still in the race minus the own score.
 
     With `gradient`, `g` is the derivative of the race's loss by the runner's
-    score. A race with any unknown score is left out. With `bounded` the caller
-    has checked that races are small, and windows on the race are used: on rows
-    already placed by race they need no shuffle at all.
+    score. A race with any unknown score is left out. The runners of a race, at
+    most MOST_RUNNERS, are put in order in an array after one shuffle; rows that
+    are placed by race already need none.
     """
     scored = groups.withColumn("_s", S.number(F.col(score)))
-    whole = {"_top": F.max("_s"), "_gaps": F.count(F.when(F.col("_s").isNull(), 1))}
-    race = Window.partitionBy("race_id")
-    if bounded:
-        top = scored.withColumns({n: c.over(race) for n, c in whole.items()})
-    else:
-        top = skew.attach_group(scored, ["race_id"], **whole)
-    powered = top.filter("_gaps = 0").withColumn(
-        "_e", F.exp(F.greatest(F.col("_s") - F.col("_top"), F.lit(-MAX_SPREAD)))
+    rest = F.struct(*[c for c in scored.columns if c not in ("race_id", "_place", "_s")])
+    rows = F.collect_list(F.struct("_place", "_s", rest.alias("_row")))
+    gaps = F.count(F.when(F.col("_s").isNull(), 1))
+    races = scored.groupBy("race_id").agg(rows.alias("_rows"), gaps.alias("_gaps"), F.count(F.lit(1)).alias("_size"))
+    placed = races.filter("_gaps = 0").withColumn(
+        "_rows", _bounded(F.col("_size"), F.array_sort("_rows", lambda a, b: (a["_place"] - b["_place"]).cast("int")))
     )
-
-    def along(df: DataFrame, name: str, value: Column, descending: bool) -> DataFrame:
-        if bounded:
-            order = F.col("_place").desc() if descending else F.col("_place").asc()
-            up_to = race.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            return df.withColumn(name, value.over(up_to))
-        sums = skew.running_sums(
-            df, ["race_id"], "_place", descending=descending, inclusive=True, **{name: value}
-        )
-        return df.join(sums, ["race_id", "_place"])
-
-    left = along(powered, "_left", F.sum("_e"), True)
-    out = left.withColumn("nll", F.ln("_left") + F.col("_top") - F.col("_s"))
+    left = placed.withColumn(
+        "_left", F.reverse(_running_log_totals(F.reverse(F.transform("_rows", lambda r: r["_s"]))))
+    )
+    lists = ["_rows", "_left"]
     if gradient:
-        past = along(out, "_past", F.sum(1.0 / F.col("_left")), False)
-        out = past.withColumn("g", F.col("_e") * F.col("_past") - 1.0)
-    return out
+        left = left.withColumn("_past", _running_log_totals(F.transform("_left", lambda x: -x)))
+        lists.append("_past")
+    each = left.select("race_id", F.inline(F.arrays_zip(*lists)))
+    out = each.select(
+        "race_id",
+        F.col("_rows._place").alias("_place"),
+        F.col("_rows._s").alias("_s"),
+        "_rows._row.*",
+        *lists[1:],
+    ).withColumn("nll", F.col("_left") - F.col("_s"))
+    return out.withColumn("g", F.exp(F.col("_s") + F.col("_past")) - 1.0) if gradient else out
 
 
 def pl_nll(df: DataFrame, score: str) -> DataFrame:
@@ -293,7 +334,6 @@ def fit_pl(
     rows = finish_groups(
         df.select("race_id", "horse_no", "finish_pos", *features)
     ).repartition("race_id").persist()
-    bounded = skew.hot_keys(rows, ["race_id"]) is None
     try:
         races = rows.select("race_id").distinct().count()
         if races == 0:
@@ -301,7 +341,7 @@ def fit_pl(
 
         def evaluate(weights: list[float]) -> tuple[float, list[float]]:
             scored = rows.withColumn("_score", linear_score(features, weights))
-            out = pl_terms(scored, "_score", gradient=True, bounded=bounded).agg(
+            out = pl_terms(scored, "_score", gradient=True).agg(
                 F.sum("nll"), *[F.sum(F.col("g") * F.col(f)) for f in features]
             ).first()
             penalty = 0.5 * l2 * sum(w * w for w in weights)
@@ -331,6 +371,8 @@ def fit_pl(
                 memory = [*memory, (moved, turned)][-8:]
             if gain <= tolerance * abs(loss):
                 break
+        else:
+            warnings.warn(f"the ranking fit still gained after {steps} steps", RuntimeWarning, stacklevel=2)
         return weights, loss
     finally:
         rows.unpersist()

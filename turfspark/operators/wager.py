@@ -72,7 +72,8 @@ def race_stakes(rows: DataFrame, *, most: int | None = None) -> DataFrame:
     """Best candidates of each race with their stakes, scaled to the race cap.
 
     The ranking keeps `max_bets` rows per race and strategy. Give the largest
-    `max_bets` in use as `most` and tasks drop the rest before the shuffle.
+    `max_bets` in use as `most` and tasks drop the rest before the shuffle; a
+    strategy that allows more than `most` is an error.
     """
     group = [STRATEGY, "race_id"]
     best = Window.partitionBy(*group).orderBy(
@@ -82,7 +83,8 @@ def race_stakes(rows: DataFrame, *, most: int | None = None) -> DataFrame:
     limit = F.col("max_bets")
     ranked = known.withColumn("_rn", F.row_number().over(best))
     if most:
-        ranked = ranked.filter(F.col("_rn") <= most)
+        short = F.raise_error(F.lit(f"a strategy allows more than {most} bets per race"))
+        ranked = ranked.filter(F.when((limit <= 0) | (limit > most), short.cast("boolean")).otherwise(F.col("_rn") <= most))
     top = ranked.filter((limit <= 0) | (F.col("_rn") <= limit))
     raw = F.col("kelly_f") * F.col("bankroll")
     capped = F.when(F.col("max_bet") > 0, F.least(raw, F.col("max_bet").cast("double"))).otherwise(raw)
@@ -105,46 +107,56 @@ def scale_to(df: DataFrame, total: str, cap: str) -> DataFrame:
     )
 
 
+def _passes() -> Column:
+    """Whether a chosen bet meets the probability floor, where the strategy applies it to chosen bets."""
+    late = (F.col("min_p_stage") == "selected") & (F.col("min_p") > 0)
+    return ~late | (F.col("p_wide") >= F.col("min_p"))
+
+
 def _placed(remaining: Column) -> Column:
-    """What a race stakes when `remaining` is left for the day, from its array of bets."""
+    """What a race takes from the day when `remaining` is left, from its array of (bet, passes).
+
+    The whole race is scaled, but only bets that pass the floor use up the day.
+    """
     scale = remaining / F.col("_total")
-    cut = F.aggregate(
-        "_bets",
-        F.lit(0).cast("bigint"),
-        lambda acc, bet: acc
-        + F.when(
-            M.floor_to_unit(bet * scale, F.col("unit")) >= F.col("min_bet"),
-            M.floor_to_unit(bet * scale, F.col("unit")),
-        ).otherwise(0),
-    )
+
+    def add(acc: Column, b: Column) -> Column:
+        bet = M.floor_to_unit(b["bet"] * scale, F.col("unit"))
+        return acc + F.when(b["passes"] & (bet >= F.col("min_bet")), bet).otherwise(0)
+
     return (
         F.when(remaining <= 0, F.lit(0).cast("bigint"))
-        .when(F.col("_total") <= remaining, F.col("_total"))
-        .otherwise(cut)
+        .when(F.col("_total") <= remaining, F.col("_uses"))
+        .otherwise(F.aggregate("_bets", F.lit(0).cast("bigint"), add))
     )
 
 
 def daily_cap(bets: DataFrame) -> DataFrame:
     """Apply the daily cap in race order: a race gets at most what the day has left.
 
-    Races before the cap is reached are untouched, and where that is follows
-    from a running sum. The first race over the cap is scaled down. What is left
-    then is less than one unit per bet of that race, so at most that many
-    further races can still place something: each round finds the next one of
-    every day as a minimum, and no day is ever gathered in one place. Rounds end
-    when no race places anything; the state between them is a checkpoint of one
-    row per strategy and day.
+    A race uses up what its bets that pass the strategy's floor for chosen bets
+    stake; the others are scaled with the race and dropped. Races before the cap
+    is reached are untouched, and where that is follows from a running sum. The
+    first race over the cap is scaled down. After it, each round finds the next
+    race of every day that still takes something as a minimum, and no day is
+    ever gathered in one place. Rounds end when no race takes anything: without
+    a late floor what is left is less than a unit per bet, so there are few. The
+    state between them is a checkpoint of one row per strategy and day.
     """
     day = [STRATEGY, "race_date"]
     race = [*day, "race_id"]
     rules = ["bankroll", "day_cap", "unit", "min_bet"]
+    floored = "min_p_stage" in bets.columns
+    passes = F.coalesce(_passes(), F.lit(False)) if floored else F.lit(True)
     bets = materialize(bets)
     races = bets.groupBy(*race, *rules).agg(
-        F.sum("bet").alias("_total"), F.sort_array(F.collect_list("bet")).alias("_bets")
+        F.sum("bet").alias("_total"),
+        F.coalesce(F.sum(F.when(passes, F.col("bet"))), F.lit(0)).cast("bigint").alias("_uses"),
+        F.sort_array(F.collect_list(F.struct("bet", passes.alias("passes")))).alias("_bets"),
     )
     cap = M.floor_to_unit(F.col("bankroll") * F.col("day_cap"), F.col("unit"))
     races = materialize(races.withColumn("_cap", cap))
-    before = skew.running_sums(races, day, "race_id", _before=F.sum("_total"))
+    before = skew.running_sums(races, day, "race_id", _before=F.sum("_uses"))
     placed = races.join(before, race)
     fits = F.col("_before") + F.col("_total") <= F.col("_cap")
     # first race of the day that does not fit as it is
@@ -178,13 +190,13 @@ def daily_cap(bets: DataFrame) -> DataFrame:
         )
     totals = races.select(*race, "_total")
     fitted = bets.join(kept.join(totals, race), race)
-    return scale_to(fitted, "_total", "_room").drop("_total", "_room")
+    scaled = scale_to(fitted, "_total", "_room").drop("_total", "_room")
+    return selected_floor(scaled) if floored else scaled
 
 
 def selected_floor(bets: DataFrame) -> DataFrame:
     """Probability floor applied to the bets that were chosen."""
-    late = F.col("min_p_stage") == "selected"
-    return bets.filter(~(late & (F.col("min_p") > 0)) | (F.col("p_wide") >= F.col("min_p")))
+    return bets.filter(_passes())
 
 
 def settle(bets: DataFrame, payouts: DataFrame) -> DataFrame:

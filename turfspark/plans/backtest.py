@@ -30,15 +30,15 @@ def settled_bets(
         wager.with_strategies(pair, strategies), wager.latest_pair_odds(odds)
     )
     bets = wager.race_stakes(priced, most=max(most) if min(most) > 0 else None)
-    if cap_days:
-        bets = wager.daily_cap(bets)
+    # the daily cap applies the floor of chosen bets itself, race by race
+    bets = wager.daily_cap(bets) if cap_days else wager.selected_floor(bets)
     paid = payouts
     if "selection" in payouts.columns:
         paid = payouts.filter(F.col("bet_type") == C.BET_TYPES["wide"]).withColumnRenamed(
             "selection", "kumiban"
         )
     # the ledger feeds every report
-    return materialize(wager.settle(wager.selected_floor(bets), paid))
+    return materialize(wager.settle(bets, paid))
 
 
 def report(settled: DataFrame, considered: DataFrame | None = None) -> dict[str, DataFrame]:
