@@ -269,3 +269,28 @@ def test_floor_of_chosen_bets_counts_inside_the_day(spark):
     names = "strategy_id int, race_date string, bankroll long, day_cap double, unit int, min_bet int, min_p_stage string, min_p double"
     df = spark.createDataFrame([(*rules, *b) for b in bets], names + ", race_id long, kumiban string, bet long, p_wide double")
     assert sorted((r.race_id, r.kumiban, r.bet) for r in wager.daily_cap(df).collect()) == [(1, "a", 16_600), (2, "a", 3_400)]
+
+
+def test_identity_follows_the_holder_of_a_number(spark):
+    names = "race_id long, horse_no int, horse_id string, sex int, seq long"
+    rows = [(1, 1, "A", 1, 1), (1, 2, "A", None, 2), (1, 1, "B", 2, 3), (1, 2, "C", 3, 4), (1, 3, "A", None, 5), (1, 2, "C", 9, 6)]
+    merged = merge.merge_runner(spark.createDataFrame(rows, names))
+    got = {(r.horse_id, r.horse_no, r.sex) for r in merged.collect()}
+    # A takes 2 and frees 1 for B; record 4 is A's; A moves to 3, so C takes 2
+    assert got == {("A", 3, 3), ("B", 1, 2), ("C", 2, 9)}
+
+
+def test_stream_keeps_late_records(spark, tmp_path):
+    """Four batches out of order, a first-seen key that comes late, a deletion, a repeated delivery."""
+    from turfspark.streaming import odds
+
+    names = "race_id long, horse_no int, value double, seq long, is_deleted boolean"
+    batches = [[(1, 1, 5.0, 5, False)], [(1, 1, 9.0, 9, False), (3, 1, 1.0, 8, False)], [(2, 1, 2.0, 2, False), (1, 1, 5.0, 5, False)], [(3, 1, 1.0, 10, True), (3, 1, 7.0, 7, False)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, names).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(names).parquet(str(tmp_path / "in"))
+        job = odds.current_snapshot(stream, str(tmp_path / "out"), ["race_id", "horse_no"], str(tmp_path / "state"))
+        job.awaitTermination()
+        assert job.lastProgress.batchId == i
+    got = {(r.race_id, r.value) for r in odds.read_snapshot(spark, str(tmp_path / "out"), 3).collect()}
+    assert got == {(1, 9.0), (2, 2.0)}

@@ -67,3 +67,15 @@ def test_group_values_reach_null_keys(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (1, 5)], "k int, v int")
     got = skew.attach_group(df, ["k"], s=F.sum("v")).collect()
     assert sorted(r.s for r in got) == [3, 3, 5]
+
+
+@pytest.mark.parametrize("limit", [10**9, 50])
+@pytest.mark.parametrize("descending", [False, True])
+def test_row_numbers_with_null_keys_and_values(spark, limit, descending):
+    rows = [(None if i % 2 else i % 3, None if i % 5 == 0 else (i * 37) % 101, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k bigint, p bigint, id bigint")
+    p = F.col("p")
+    order = [p.desc() if descending else p.asc(), F.col("id")]
+    got = skew.number_rows(df, ["k"], order, -p if descending else p, "rn", limit=limit, nulls_last=descending)
+    want = df.withColumn("rn", F.row_number().over(W.partitionBy("k").orderBy(*order)).cast("bigint"))
+    assert same(got.select(want.columns), want)

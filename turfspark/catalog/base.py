@@ -193,7 +193,7 @@ class Tables:
         )
         price = F.col("l_extendedprice")
         placed = skew.number_rows(
-            numbered, ["l_orderkey"], [price.desc(), F.col("horse_no")], -price, "finish_pos"
+            numbered, ["l_orderkey"], [price.desc(), F.col("horse_no")], -price, "finish_pos", nulls_last=True
         )
         birth = (1990 + F.col("l_partkey") % 8).cast("string")
         return placed.select(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -361,10 +360,8 @@ def stream_current_snapshot(t: Tables) -> DataFrame:
     """,
 )
 def stream_asof_snapshot(t: Tables) -> DataFrame:
-    name = f"asof_{uuid.uuid4().hex}"
+    root = shared_folder(t.spark)
     chosen = stream_odds.asof_stream(_event_stream(t), 10, ["value"])
-    job = (
-        chosen.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    )
-    job.awaitTermination()
-    return t.spark.table(name).select("race_id", "horse_no", F.col("race_ts").cast("date").alias("day"), "value")
+    stream_odds.write_updates(chosen, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    rows = stream_odds.read_updates(t.spark, f"{root}/table", ["race_id", "horse_no", "race_ts"])
+    return rows.select("race_id", "horse_no", F.col("race_ts").cast("date").alias("day"), "value")

@@ -111,15 +111,37 @@ def guarded_merge(t: Tables) -> DataFrame:
     return _race(t).select("race_id", "surface", "distance_m")
 
 
+# replay the records of each race one after another
+cte(
+    "pinned",
+    """
+    WITH RECURSIVE placed AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY seq) AS n FROM feed),
+    replay AS (
+        SELECT DISTINCT race_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(no VARCHAR, id BIGINT)[]) AS held,
+               CAST(NULL AS BIGINT) AS who
+        FROM feed
+        UNION ALL
+        SELECT race_id, n,
+               CASE WHEN holder IS NULL AND going IS NOT NULL
+                    THEN list_append(list_filter(held, lambda h: h.id <> going), {'no': event_type, 'id': going})
+                    ELSE held END,
+               coalesce(holder, going)
+        FROM (SELECT p.race_id, p.n, p.event_type, p.going, r.held,
+                     list_filter(r.held, lambda h: h.no = p.event_type)[1].id AS holder
+              FROM replay r JOIN placed p ON p.race_id = r.race_id AND p.n = r.n + 1))
+    SELECT race_id, event_type, who, value, seq FROM replay JOIN placed USING (race_id, n)
+    """,
+    "feed",
+)
+
+
 @query(
     "first_key_pin",
     """
-    SELECT race_id, event_type, first, count(*) AS records, max_by(value, seq) AS value
-    FROM (SELECT *, min_by(going, seq) FILTER (going IS NOT NULL) OVER (PARTITION BY race_id, event_type) AS first
-          FROM feed)
-    GROUP BY race_id, event_type, first
+    SELECT race_id, event_type, who AS first, count(*) AS records, max_by(value, seq) AS value
+    FROM pinned GROUP BY race_id, event_type, who
     """,
-    ["feed"],
+    ["pinned"],
 )
 def first_key_pin(t: Tables) -> DataFrame:
     pinned = merge.pin_identity(feed(t), ["race_id", "event_type"], "going")

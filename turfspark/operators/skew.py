@@ -51,14 +51,24 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> Da
     return hot if found else None
 
 
+def _join_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null equal to null; the keys come from the left."""
+    renamed = right.withColumnsRenamed({key: f"_j_{key}" for key in keys})
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_j_{key}"))
+    return left.join(renamed, condition, how).drop(*[f"_j_{key}" for key in keys])
+
+
 def with_buckets(
-    df: DataFrame, keys: Sequence[str], order: Column, *, limit: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Column, *, limit: int | None = None, nulls_last: bool = False
 ) -> tuple[DataFrame, bool]:
     """Add `_bucket` and `_hot` when some key is hot; otherwise return the frame as it is.
 
     Buckets are 0 for ordinary keys and 0..255, in the order of `order`, for hot
     ones. `order` is a number that grows with the wanted order; equal values
-    share a bucket.
+    share a bucket. Null values of it get a bucket of their own, before all
+    others or after them. Null keys are keys like any other.
     """
     hot = hot_keys(df, keys, limit)
     if hot is None:
@@ -68,14 +78,16 @@ def with_buckets(
     slim = ordered.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], "_order")
     steps = F.array(*[F.lit(step / BUCKETS) for step in range(1, BUCKETS)])
     cuts = (
-        slim.join(F.broadcast(hot), names)
+        _join_safe(slim, F.broadcast(hot), names)
         .groupBy(*names)
-        .agg(F.percentile_approx("_order", steps, 10_000).alias("_cuts"))
+        .agg(F.coalesce(F.percentile_approx("_order", steps, 10_000), F.array().cast("array<double>")).alias("_cuts"))
     )
     condition = F.lit(True)
     for key, name in zip(keys, names, strict=True):
-        condition = condition & (F.col(key) == F.col(name))
-    below = F.size(F.filter("_cuts", lambda cut: cut < F.col("_order")))
+        condition = condition & F.col(key).eqNullSafe(F.col(name))
+    below = F.when(F.col("_order").isNull(), BUCKETS if nulls_last else -1).otherwise(
+        F.size(F.filter("_cuts", lambda cut: cut < F.col("_order")))
+    )
     marked = (
         ordered.join(F.broadcast(cuts), condition, "left")
         .withColumn("_hot", F.col("_cuts").isNotNull())
@@ -148,13 +160,15 @@ def number_rows(
     name: str,
     *,
     limit: int | None = None,
+    nulls_last: bool = False,
 ) -> DataFrame:
     """Row number 1, 2, … within the keys in the order of `order_by`.
 
     `order` is a number that never falls along `order_by`; it decides how a hot
-    key is cut into buckets.
+    key is cut into buckets. Say with `nulls_last` where `order_by` puts the rows
+    whose `order` is null: first for an ascending column, last for a descending one.
     """
-    parts, split = with_buckets(df, keys, order, limit=limit)
+    parts, split = with_buckets(df, keys, order, limit=limit, nulls_last=nulls_last)
     if not split:
         alone = Window.partitionBy(*keys).orderBy(*order_by)
         return parts.withColumn(name, F.row_number().over(alone).cast("bigint"))
@@ -168,7 +182,7 @@ def number_rows(
     )
     numbered = parts.withColumn("_rn", F.row_number().over(inside).cast("bigint"))
     return (
-        numbered.join(carry, [*keys, BUCKET], "left")
+        _join_safe(numbered, carry, [*keys, BUCKET], "left")
         .withColumn(name, F.col("_rn") + F.coalesce("_before", F.lit(0)))
         .drop("_rn", "_before", "_hot", BUCKET)
     )
