@@ -85,32 +85,25 @@ def components(edges: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
         .where("u <> v")
         .distinct()
     )
-    nodes = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-    both = cut(links.select("u", "v").union(links.select(F.col("v"), F.col("u"))))
-    label = cut(nodes.select("node", F.col("node").alias("label")))
+    both = links.union(links.select(F.col("v"), F.col("u")))
+    label = both.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()
     while True:
         # hook: the smallest label among the neighbours ...
-        near = cut(
-            both.join(label.withColumnRenamed("node", "v"), "v")
-            .groupBy(F.col("u").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        hooked = label.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("to"))
-        hooked = cut(hooked)
+        near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node"))
+        hooked = label.join(near.agg(F.min("label").alias("near")), "node")
+        hooked = cut(hooked.select("node", "label", F.least("label", "near").alias("to")))
         # ... goes to the root of the own tree, then every node follows its root once more
-        root = cut(hooked.groupBy(F.col("label").alias("root")).agg(F.min("to").alias("best")))
-        moved = hooked.join(root, hooked.label == root.root).select("node", F.least("to", "best").alias("mid"))
+        root = hooked.groupBy(F.col("label").alias("root")).agg(F.min("to").alias("best"))
+        moved = hooked.join(root, hooked.label == root.root).select(
+            "node", F.col("label").alias("was"), F.least("to", "best").alias("mid")
+        )
         jump = root.select(F.col("root").alias("mid"), F.col("best").alias("next"))
         moved = cut(
-            moved.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("next", "mid")).alias("label"))
-        )
-        changed = (
-            moved.withColumnRenamed("label", "now").join(label, "node").where(F.col("now") != F.col("label")).limit(1)
+            moved.join(jump, "mid", "left").select("node", "was", F.least("mid", F.coalesce("next", "mid")).alias("label"))
         )
-        done = changed.isEmpty()
-        label = moved
-        if done:
-            return label.select("node", "label")
+        label = moved.select("node", "label")
+        if moved.where("was <> label").isEmpty():
+            return label
 
 
 def packed(df: DataFrame, **columns: str | Column) -> DataFrame:

@@ -9,11 +9,13 @@ automata of all languages run over many pieces in step, as table look-ups on arr
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -183,7 +185,16 @@ def sample_texts(docs: DataFrame, training: Column, text: str = "text", lang: st
     parts: dict[str, list[str]] = {}
     for r in sorted(taken.collect(), key=lambda r: (r.lang, r.n)):
         parts.setdefault(r.lang, []).append(r.part)
-    return cleaned(parts)
+    if not parts:
+        return {}
+    # in a task: the automata need more memory than a driver should spend
+    rows = docs.sparkSession.createDataFrame([(json.dumps(parts),)], "parts string").coalesce(1)
+    return json.loads(rows.mapInPandas(_clean, "samples string").first().samples)
+
+
+def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"samples": [json.dumps(cleaned(json.loads(p))) for p in batch["parts"]]})
 
 
 def cleaned(parts: dict[str, list[str]]) -> dict[str, str]:
