@@ -28,6 +28,7 @@ ROLL_BYTES = 64 << 20
 SHARD_BYTES = 256 << 20
 REVISIT_BYTES = 1000
 SAMPLE_PER_SHARD = 64
+MOST_TASKS = 100_000
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "shard int, part int, temporary string, final string, records long, bytes long, sha256 string"
@@ -242,12 +243,17 @@ def write_warc(
     listed = f"{folder}/_manifest"
     ordered.mapInPandas(_writer(folder, roll_bytes), _MANIFEST).write.mode("overwrite").parquet(listed)
     manifest = spark.read.schema(_MANIFEST).parquet(listed)
-    manifest.repartition("final").mapInPandas(_publish(folder), _MANIFEST).write.mode("overwrite").parquet(
+    _by_file(manifest).mapInPandas(_publish(folder), _MANIFEST).write.mode("overwrite").parquet(
         f"{folder}/_committed"
     )
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/_committed")
 
 
+def _by_file(manifest: DataFrame) -> DataFrame:
+    """Files dealt to as many tasks as there are files, up to a bound; names are small, so AQE would put all in one."""
+    return manifest.repartition(min(max(1, manifest.count()), MOST_TASKS), "final")
+
+
 def _members(stream) -> Iterator[tuple[int, bytes]]:
     """Offset and content of each gzip member, holding one member at a time."""
     offset, rest = 0, b""
@@ -331,7 +337,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     record_type, refers_to, record_id, file, offset.
     """
     manifest = spark.read.schema(_MANIFEST).parquet(f"{folder}/_committed")
-    return manifest.select("final").repartition("final").mapInPandas(_reader(folder), _RECORDS)
+    return _by_file(manifest.select("final")).mapInPandas(_reader(folder), _RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
