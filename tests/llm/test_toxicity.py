@@ -6,7 +6,7 @@ from turfspark.llm import toxicity
 
 
 def test_fold():
-    assert toxicity.fold("1D10T, мorоn!") == " idiot moroni "
+    assert toxicity.fold("1D10T, мorоn!") == " idiot moron "
     assert toxicity.fold("") == "  "
 
 

@@ -34,7 +34,7 @@ HOMOGLYPHS = str.maketrans(
     "аеорсухіјѕԁһӏкмтвнαοερντικυχ",
     "aeopcyxijsdhlkmtbhaoepvtikux",
 )
-SUBSTITUTES = str.maketrans("013457@$!", "oieastasi")
+SUBSTITUTES = str.maketrans("013457@$", "oieastas")
 # Harmless phrases that have a lexicon word in them.
 EXCEPTIONS = (
     "trash can", "trash bin", "trash bag", "clown fish", "clownfish", "pathetic fallacy", "idiot proof",
