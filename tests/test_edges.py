@@ -294,3 +294,12 @@ def test_stream_keeps_late_records(spark, tmp_path):
         assert job.lastProgress.batchId == i
     got = {(r.race_id, r.value) for r in odds.read_snapshot(spark, str(tmp_path / "out"), 3).collect()}
     assert got == {(1, 9.0), (2, 2.0)}
+
+
+def test_drawn_top3_is_near_the_exact_one(spark):
+    rows = [(r, i + 1, s) for r, scores in enumerate([[0.0, 0.5, 1.0, -0.3, 0.2], [2.0, 0.0], [0.0, -900.0, -1800.0, -2700.0]]) for i, s in enumerate(scores)]
+    df = spark.createDataFrame(rows, "race_id long, horse_no int, s double")
+    drawn = {(r.race_id, r.horse_no): r.p_topk for r in ranking.gumbel_topk(df, "s").collect()}
+    exact = {(r.race_id, r.horse_no): r.p_top3 for r in ranking.top3_probabilities(df, "s").collect()}
+    assert drawn.keys() == exact.keys()
+    assert all(drawn[k] == pytest.approx(exact[k], abs=0.025) for k in exact)

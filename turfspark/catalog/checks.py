@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,14 +198,22 @@ def fold_membership(t: Tables) -> DataFrame:
 @query(
     "fold_integrity",
     """
-    SELECT 'race in train and valid' AS rule, count(*) AS rows FROM (
-        SELECT l_orderkey FROM lineitem WHERE year(l_shipdate) < 1998
-        INTERSECT SELECT l_orderkey FROM lineitem WHERE year(l_shipdate) = 1998) HAVING count(*) > 0
+    SELECT 'race in train and valid' AS rule, y AS valid_year, count(DISTINCT k) AS rows
+    FROM (SELECT l_orderkey AS k, year(l_shipdate) AS y, min(year(l_shipdate)) OVER (PARTITION BY l_orderkey) AS first
+          FROM lineitem)
+    WHERE first < y GROUP BY y
     """,
 )
 def fold_integrity(t: Tables) -> DataFrame:
     rows = t.read("lineitem").select(F.col("l_orderkey").alias("race_id"), F.year("l_shipdate").alias("year"))
-    return folds.integrity_violations(rows.filter("year < 1998"), rows.filter("year = 1998"), 1998)
+    years = sorted(r.year for r in rows.select("year").distinct().collect())
+    found = [
+        folds.integrity_violations(rows.filter(F.col("year") < y), rows.filter(F.col("year") == y), y).withColumn(
+            "valid_year", F.lit(y)
+        )
+        for y in years[1:]
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query(

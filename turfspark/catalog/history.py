@@ -644,9 +644,10 @@ def union_race_keys(t: Tables) -> DataFrame:
 @query(
     "concat_fold_outputs",
     """
-    SELECT race_id, 1 AS fold_id, CAST(post_minute AS BIGINT) AS post_minute, CAST(NULL AS BIGINT) AS weather
-    FROM race WHERE year(race_date) = 1996
-    UNION ALL SELECT race_id, 2, NULL, weather FROM race WHERE year(race_date) = 1997
+    SELECT race_id, CAST(dense_rank() OVER (ORDER BY year(race_date)) AS INTEGER) AS fold_id,
+           CASE WHEN year(race_date) % 2 = 0 THEN CAST(post_minute AS BIGINT) END AS post_minute,
+           CASE WHEN year(race_date) % 2 = 1 THEN CAST(weather AS BIGINT) END AS weather
+    FROM race
     """,
     ["race"],
 )
@@ -654,7 +655,9 @@ def concat_fold_outputs(t: Tables) -> DataFrame:
     of = lambda year, fold, column: t.race.filter(F.year("race_date") == year).select(
         "race_id", F.lit(fold).alias("fold_id"), column
     )
-    return filters.concat_folds([of(1996, 1, "post_minute"), of(1997, 2, "weather")])
+    # the folds differ in their columns
+    years = sorted(r.y for r in t.race.select(F.year("race_date").alias("y")).distinct().collect())
+    return filters.concat_folds([of(y, k, "weather" if y % 2 else "post_minute") for k, y in enumerate(years, 1)])
 
 
 @query(

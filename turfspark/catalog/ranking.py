@@ -75,7 +75,7 @@ def pl_top3_exact(t: Tables) -> DataFrame:
 
 @query("gumbel_topk")
 def gumbel_topk(t: Tables) -> DataFrame:
-    return ranking.gumbel_topk(t.scored, "score", draws=100)
+    return ranking.gumbel_topk(t.scored, "score")
 
 
 # --- likelihood --------------------------------------------------------------
@@ -212,7 +212,7 @@ def beta_grid(t: Tables) -> DataFrame:
 
 @query("win_scores_at_best_beta")
 def win_scores_at_best_beta(t: Tables) -> DataFrame:
-    best = ranking.fit_beta(t.scored, "score", rounds=3)
+    best = ranking.fit_beta(t.scored, "score")
     return ranking.add_win_scores(t.scored, "p", best).select(
         "race_id", "horse_no", "score_p", "c_p_beta1", "c_p_betahat"
     )
@@ -321,7 +321,7 @@ def race_bin_sums(t: Tables) -> DataFrame:
 
 @query("poisson_bootstrap_ci")
 def poisson_bootstrap_ci(t: Tables) -> DataFrame:
-    return metrics.bootstrap_diff_ci(t.pair, "p_wide", "y_wide", replicates=200)
+    return metrics.bootstrap_diff_ci(t.pair, "p_wide", "y_wide")
 
 
 cte(

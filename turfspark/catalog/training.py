@@ -104,7 +104,7 @@ def ranking_interactions(t: Tables) -> DataFrame:
 def pl_fit_score(t: Tables) -> DataFrame:
     rows = materialize(_ranking_inputs(t))
     names = ["z_win_stack", "z_win_stack_race_centered", "carried_weight"]
-    scored = train.rank_holdout(rows, names, holdout_year=HOLDOUT, steps=8)
+    scored = train.rank_holdout(rows, names, holdout_year=HOLDOUT)
     return scored.select("race_id", "horse_no", F.round("pl_score", 4).alias("pl_score"))
 
 

@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,26 +211,39 @@ def gumbel_topk(
 ) -> DataFrame:
     """Monte-Carlo estimate of top-k inclusion: perturb scores, keep the k best of each draw.
 
-    Noise is a hash of (seed, race, runner, draw), so a lost task redraws the
-    same values. Runners are placed by race before they are multiplied by the
-    draws: ranking and counting then need no further shuffle.
+    A race, at most MOST_RUNNERS, is an array after one shuffle; its draws are made
+    and counted there, so no row is multiplied. Noise comes from a counter-based
+    generator keyed by seed, race and runner, so a lost task redraws the same values.
     """
     scored = df.withColumn("_s", S.number(F.col(score))).filter(F.col("_s").isNotNull())
-    drawn = scored.repartition("race_id").select(
-        "race_id", "horse_no", "_s", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw")
-    )
-    bits = F.pmod(F.xxhash64(F.lit(seed), "race_id", "horse_no", "_draw"), F.lit(2**52))
-    uniform = (bits + 0.5) / float(2**52)
-    noisy = drawn.withColumn("_g", F.col("_s") - F.ln(-F.ln(uniform)))
-    best = Window.partitionBy("race_id", "_draw").orderBy(F.col("_g").desc(), F.col("horse_no"))
-    hits = (
-        noisy.withColumn("_rn", F.row_number().over(best))
-        .filter(F.col("_rn") <= top_k)
-        .groupBy("race_id", "horse_no")
-        .agg((F.count(F.lit(1)) / F.lit(float(draws))).alias("p_topk"))
-    )
-    keys = scored.select("race_id", "horse_no")
-    return keys.join(hits, ["race_id", "horse_no"], "left").fillna(0.0, ["p_topk"])
+    runners = F.array_sort(F.collect_list(F.struct("horse_no", "_s")))
+    races = scored.groupBy("race_id").agg(runners.alias("_runners"))
+    races = races.select("race_id", _bounded(F.size("_runners"), F.col("_runners")).alias("_runners"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, numbers, shares = [], [], []
+            for race, runners in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = [r["horse_no"] for r in runners]
+                key = zlib.crc32(repr(race).encode())
+                noise = np.stack([
+                    np.random.Generator(np.random.Philox(key=[seed, key << 32 | int(no or 0)])).gumbel(size=draws)
+                    for no in own
+                ])
+                value = np.array([r["_s"] for r in runners])[:, None] + noise
+                best = np.argsort(-value, axis=0, kind="stable")[:top_k]
+                share = np.bincount(best.ravel(), minlength=len(own)) / float(draws)
+                ids += [race] * len(own)
+                numbers += own
+                shares += share.tolist()
+            fields = [batch.schema.field(0).type, batch.schema.field(1).type.value_type.field("horse_no").type]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, fields[0]), pa.array(numbers, fields[1]), pa.array(shares, pa.float64())],
+                names=["race_id", "horse_no", "p_topk"],
+            )
+
+    return races.mapInArrow(draw, f"race_id {kinds['race_id']}, horse_no {kinds['horse_no']}, p_topk double")
 
 
 # --- likelihood and gradient -------------------------------------------------
