@@ -227,10 +227,8 @@ def gumbel_topk(
             for race, runners in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = [r["horse_no"] for r in runners]
                 key = zlib.crc32(repr(race).encode())
-                noise = np.stack([
-                    np.random.Generator(np.random.Philox(key=[seed, key << 32 | int(no or 0)])).gumbel(size=draws)
-                    for no in own
-                ])
+                keys = [np.array([seed, key << 32 | int(no or 0)], dtype=np.uint64) for no in own]
+                noise = np.stack([np.random.Generator(np.random.Philox(key=k)).gumbel(size=draws) for k in keys])
                 value = np.array([r["_s"] for r in runners])[:, None] + noise
                 best = np.argsort(-value, axis=0, kind="stable")[:top_k]
                 share = np.bincount(best.ravel(), minlength=len(own)) / float(draws)
