@@ -303,3 +303,9 @@ def test_drawn_top3_is_near_the_exact_one(spark):
     exact = {(r.race_id, r.horse_no): r.p_top3 for r in ranking.top3_probabilities(df, "s").collect()}
     assert drawn.keys() == exact.keys()
     assert all(drawn[k] == pytest.approx(exact[k], abs=0.025) for k in exact)
+
+
+def test_roles_by_name():
+    roles = {"x_TE": "encoding", "te_id": "key", "odds_target": "odds", "p_target": "prediction", "te_date": "time", "anything": "other"}
+    assert {c: registry.role_of(c) for c in roles} == roles
+    assert registry.role_of(registry.ENTITY_IDS[0]) == "key"

@@ -32,7 +32,6 @@ MAX_TARGET_HORSE_NO = 18
 
 # --- fixed values: input files and tables ------------------------------------
 DATASPECS = ("RACE", "DIFF", "MING", "0B41", "0B13", "0B17")
-HISTORY_TABLES = ("race", "horse", "jockey", "trainer", "runner", "result")
 TARGET_TABLES = (
     "payout",
     "o1_header",
