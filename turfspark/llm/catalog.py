@@ -80,7 +80,28 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, folder, "documents"))
 
 
-@_query("op7_suffix_array_dedup")
+@_query(
+    "op7_suffix_array_dedup",
+    """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+         starts AS (SELECT doc_id, unnest(range(length(h) // 2 - 49)) AS p FROM d WHERE length(h) >= 100),
+         strings AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM starts JOIN d USING (doc_id)),
+         seen AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS first FROM strings),
+         gone AS (SELECT doc_id, p, p - lag(p) OVER w AS step FROM seen WHERE first < doc_id
+                  WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+         numbered AS (SELECT *, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS n
+                      FROM gone),
+         spans AS (SELECT doc_id, n, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, n),
+         gaps AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM spans),
+         kept AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+                         string_agg(substr(h, CAST(2 * since + 1 AS BIGINT), CAST(2 * (a - since) AS BIGINT)), '' ORDER BY a) AS head
+                  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+           coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(head || substr(h, CAST(2 * last + 1 AS BIGINT)), h))) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)
+    """,
+)
 def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.repeated_strings(table(spark, folder, "documents"))
 
