@@ -89,23 +89,30 @@ def components(edges: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
     label = both.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()
     while True:
         # hook: the smallest label among the neighbours ...
-        near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node"))
-        hooked = label.join(near.agg(F.min("label").alias("near")), "node")
+        near = sorted_join(both, label.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node"))
+        hooked = sorted_join(label, near.agg(F.min("label").alias("near")), "node")
         hooked = cut(hooked.select("node", "label", F.least("label", "near").alias("to")))
         # ... goes to the root of the own tree, then every node follows its root once more
         root = hooked.groupBy(F.col("label").alias("root")).agg(F.min("to").alias("best"))
-        moved = hooked.join(root, hooked.label == root.root).select(
+        moved = sorted_join(hooked, root, hooked.label == root.root).select(
             "node", F.col("label").alias("was"), F.least("to", "best").alias("mid")
         )
         jump = root.select(F.col("root").alias("mid"), F.col("best").alias("next"))
         moved = cut(
-            moved.join(jump, "mid", "left").select("node", "was", F.least("mid", F.coalesce("next", "mid")).alias("label"))
+            sorted_join(moved, jump, "mid", "left").select(
+                "node", "was", F.least("mid", F.coalesce("next", "mid")).alias("label")
+            )
         )
         label = moved.select("node", "label")
         if moved.where("was <> label").isEmpty():
             return label
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A sort-merge join, for the loops: many small broadcasts would fill the driver, and AQE splits hot keys."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def packed(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Like `numbered`, with `text` as zstd bytes in `packed`: texts that are moved several times stay small.
 
