@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +73,26 @@ def first_id(doc_id: str = "doc_id", row: str = ROW) -> Column:
     return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(row).alias(row))
 
 
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of a partition as links to the smallest node that the partition joins them with."""
+    parent: dict[int, int] = {}
+
+    def root(node: int) -> int:
+        top = node
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[node] != top:
+            parent[node], node = top, parent[node]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
+            low, high = sorted((root(u), root(v)))
+            parent[high] = low
+    found = [(root(node), node) for node in parent if root(node) != node]
+    yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+
 def components(edges: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, label), label = smallest node.
 
@@ -85,21 +106,23 @@ def components(edges: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
         .where("u <> v")
         .distinct()
     )
+    # each partition alone first: what it links becomes stars, so few rounds are left
+    links = cut(links.mapInPandas(_stars, "u long, v long"))
     both = links.union(links.select(F.col("v"), F.col("u")))
-    label = both.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()
+    label = both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label"))
     while True:
         # hook: the smallest label among the neighbours ...
-        near = sorted_join(both, label.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node"))
-        hooked = sorted_join(label, near.agg(F.min("label").alias("near")), "node")
+        near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node"))
+        hooked = label.join(near.agg(F.min("label").alias("near")), "node")
         hooked = cut(hooked.select("node", "label", F.least("label", "near").alias("to")))
         # ... goes to the root of the own tree, then every node follows its root once more
         root = hooked.groupBy(F.col("label").alias("root")).agg(F.min("to").alias("best"))
-        moved = sorted_join(hooked, root, hooked.label == root.root).select(
+        moved = hooked.join(root, hooked.label == root.root).select(
             "node", F.col("label").alias("was"), F.least("to", "best").alias("mid")
         )
         jump = root.select(F.col("root").alias("mid"), F.col("best").alias("next"))
         moved = cut(
-            sorted_join(moved, jump, "mid", "left").select(
+            moved.join(jump, "mid", "left").select(
                 "node", "was", F.least("mid", F.coalesce("next", "mid")).alias("label")
             )
         )
@@ -108,11 +131,6 @@ def components(edges: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
             return label
 
 
-def sorted_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    """A sort-merge join, for the loops: many small broadcasts would fill the driver, and AQE splits hot keys."""
-    return left.hint("merge").join(right.hint("merge"), on, how)
-
-
 def packed(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Like `numbered`, with `text` as zstd bytes in `packed`: texts that are moved several times stay small.
 
