@@ -26,6 +26,50 @@ def test_slots(spark):
     assert got[0][1] == [7] and got[3][1] == [8] and got[9][2] == 13
 
 
+def test_literal_copy_of_an_item_that_is_mostly_slots(spark):
+    item = "Add 3 kg and 14 lbs to 15 oz 92 g 65 mg 35 kg 89 lbs 79 oz 32 g"
+    texts = [f"see: {item}", f"see: {item.replace('92', '93').replace('65', '66')}", f"see: {item} {item}"]
+    got = ids(spark, texts, [(1, item)])
+    assert got[0] == (True, [1], 21) and got[2][0] and not got[1][0]
+
+
+def test_consistent_stretch_beside_a_broken_slot(spark):
+    words = [f"word{chr(97 + i)}" for i in range(26)]
+    item = " ".join(["lead", "with", "3", *words[:7], "3", *words[7:26], "5", "end"])
+    literal = item.replace(" 3 word", " 4 word", 1)  # 3 -> 4, 3 -> 3: the rest is equal
+    changed = literal.replace("5 end", "6 end")
+    apart = " ".join(["3", *words[:8], "3", *words[8:16], "3", *words[16:]])
+    twice = " ".join(["4", *words[:8], "4", *words[8:16], "5", *words[16:20]])
+    once = " ".join(["4", *words[:8], "5", *words[8:16], "4", *words[16:20]])
+    got = ids(spark, [literal, changed, twice, once], [(1, item), (2, apart)])
+    assert [got[i][1] for i in range(4)] == [[1], [1], [2], []]
+    # by item 1: from behind the broken slot to the end
+    assert got[0][2] == got[1][2] == 29
+
+
+def test_stretches_against_plain_search():
+    rng = random.Random(8)
+    for _ in range(300):
+        n = rng.randrange(4, 30)
+        slot = [rng.random() < 0.5 for _ in range(n)]
+        pairs = [(rng.randrange(3), rng.randrange(3)) if s else (9, 9) for s in slot]
+
+        def fits(a, b):
+            own = {pairs[i] for i in range(a, b) if slot[i]}
+            return len({x for x, _ in own}) == len({y for _, y in own}) == len(own)
+
+        ranges = [(a, b) for a in range(n) for b in range(a + 4, n + 1)]
+        good = [r for r in ranges if fits(*r)]
+        want = [r for r in good if not any(o != r and o[0] <= r[0] and o[1] >= r[1] for o in good)]
+        assert sorted(decontam._one_to_one(pairs, slot, 4)) == want
+        balance = [0]
+        for s in slot:
+            balance.append(balance[-1] + (-1 if s else 1))
+        half = [(a, b) for a, b in ranges if balance[b] >= balance[a]]
+        found = decontam._half_literal(balance, 0, n, 4)
+        assert set(found) <= set(half) and max((b - a for a, b in found), default=0) == max((b - a for a, b in half), default=0)
+
+
 def test_literal_passages_against_plain_search(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(4))

@@ -5,7 +5,8 @@ Numbers, names and units become typed placeholders, in benchmark items and docum
 at the same distance form runs. A run counts if it covers `RUN` tokens (or the whole item, if that is
 shorter) and its slots are consistent: every value of the item stands for one value of the document and
 the other way round. So a question with other numbers or names is found, a text that only looks
-similar is not.
+similar is not. At least half of a run is literal, unless it equals the item word for word. Of a run that
+fails, the longest stretches of `RUN` tokens that meet one of these rules count.
 
 The windows of a bounded block of items (`BLOCK_CHARS`) go to the tasks; a larger benchmark is taken
 block by block within the same pass over the documents, which are never shuffled.
@@ -13,6 +14,8 @@ block by block within the same pass over the documents, which are never shuffled
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,21 +129,104 @@ class Index:
                 if at <= high - size + 1 and size:
                     high = at + size
                     continue
-                if high - low >= need and self.consistent(item, low, high, tokens, values, shift):
-                    out.append({"item_id": self.ids[item], "start": low + shift - begin, "tokens": high - low})
+                if high - low >= need:
+                    for start, end in self.accepted(item, low, high, need, tokens, values, shift):
+                        out.append({"item_id": self.ids[item], "start": start + shift - begin, "tokens": end - start})
                 low, high = at, at + size
         return out
 
-    def consistent(self, item: int, low: int, high: int, tokens, values, shift: int) -> bool:
-        """Slots map one to one, and at least half of the run is literal."""
+    def accepted(self, item: int, low: int, high: int, need: int, tokens, values, shift: int) -> list[tuple[int, int]]:
+        """The whole run, or its longest stretches of `need` tokens that are literal or consistent; none overlap."""
         own = self.tokens[item][low:high]
         slot = (own == NUMBER) | (own == NAME) | (own == UNIT)
-        if 2 * slot.sum() > len(own):
-            return False
-        ours = self.values[item][low:high][slot].tolist()
-        theirs = values[low + shift : high + shift][slot].tolist()
-        there, back = {}, {}
-        return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in zip(ours, theirs, strict=True))
+        ours, theirs = self.values[item][low:high], values[low + shift : high + shift]
+        equal = ours == theirs
+        if equal.all():
+            return [(low, high)]
+        contested = _contested(ours, theirs, slot)
+        if not contested.any() and 2 * slot.sum() <= len(own):
+            return [(low, high)]
+        found = [(a, b) for a, b in _stretches(equal) if b - a >= need]
+        pairs = list(zip(ours.tolist(), theirs.tolist(), strict=True))
+        balance = np.concatenate([[0], np.cumsum(np.where(slot, -1, 1))]).tolist()
+        todo = _one_to_one(pairs, slot.tolist(), need) if contested.any() else [(0, len(own))]
+        doubtful = contested & ~equal
+        while todo:
+            a, b = todo.pop()
+            # a value that the run contradicts elsewhere must come twice to count as put in for another
+            seen = Counter(pairs[i] for i in np.flatnonzero(doubtful[a:b]) + a)
+            once = [i for i in np.flatnonzero(doubtful[a:b]) + a if seen[pairs[i]] == 1]
+            if once:
+                edges = [a - 1, *once, b]
+                todo += [(x + 1, y) for x, y in zip(edges, edges[1:], strict=False) if y - x - 1 >= need]
+            else:
+                found += _half_literal(balance, a, b, need)
+        taken: list[tuple[int, int]] = []
+        for a, b in sorted(set(found), key=lambda r: (r[0] - r[1], r[0])):
+            k = bisect_left(taken, (a, b))
+            if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= b):
+                taken.insert(k, (a, b))
+        return [(low + a, low + b) for a, b in taken]
+
+
+def _contested(ours: np.ndarray, theirs: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Slots whose value stands for several, or is put for several, in the run."""
+    there: dict[int, set] = {}
+    back: dict[int, set] = {}
+    for a, b in zip(ours[slot].tolist(), theirs[slot].tolist(), strict=True):
+        there.setdefault(a, set()).add(b)
+        back.setdefault(b, set()).add(a)
+    out = np.zeros(len(slot), dtype=bool)
+    out[slot] = [
+        len(there[a]) > 1 or len(back[b]) > 1 for a, b in zip(ours[slot].tolist(), theirs[slot].tolist(), strict=True)
+    ]
+    return out
+
+
+def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of true flags."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def _one_to_one(pairs: list[tuple[int, int]], slot: list[bool], need: int) -> list[tuple[int, int]]:
+    """Longest ranges of `need` tokens in which the slots map one to one, by moving both ends."""
+    out, start = [], 0
+    there: dict[int, list[int]] = {}  # value of the item: value of the document, slots in the range
+    back: dict[int, list[int]] = {}
+    for end in range(len(pairs)):
+        if not slot[end]:
+            continue
+        a, b = pairs[end]
+        if there.get(a, (b,))[0] != b or back.get(b, (a,))[0] != a:
+            if end - start >= need:
+                out.append((start, end))
+            while there.get(a, (b,))[0] != b or back.get(b, (a,))[0] != a:
+                if slot[start]:
+                    for side, key in ((there, pairs[start][0]), (back, pairs[start][1])):
+                        side[key][1] -= 1
+                        if not side[key][1]:
+                            del side[key]
+                start += 1
+        there.setdefault(a, [b, 0])[1] += 1
+        back.setdefault(b, [a, 0])[1] += 1
+    if len(pairs) - start >= need:
+        out.append((start, len(pairs)))
+    return out
+
+
+def _half_literal(balance: list[int], a: int, b: int, need: int) -> list[tuple[int, int]]:
+    """Of each end in the range the longest part of `need` tokens that is at least half literal."""
+    if balance[b] >= balance[a]:
+        return [(a, b)]
+    first: dict[int, int] = {}  # literal less slot words so far: the first place
+    out = []
+    for end in range(a, b + 1):
+        first.setdefault(balance[end], end)
+        start = a if balance[end] >= balance[a] else first[balance[end]]
+        if end - start >= need:
+            out.append((start, end))
+    return out
 
 
 def _find(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[list[dict]]:
