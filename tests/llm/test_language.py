@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from turfspark.llm import langid
 
 LANGS = {"xx": "ba da ga lo mi ne pu", "yy": "sto kra vli zhu prem", "zz": "äo üe öi ßa äüs"}
@@ -67,6 +69,17 @@ def test_held_out_accuracy_and_edges(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_language_that_is_mostly_one_copied_text(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_TEXTS", 10)
+    rng = random.Random(6)
+    rows = [(i, text(rng, "xx"), "xx") for i in range(60)] + [(100 + i, text(rng, "yy"), "yy") for i in range(30)]
+    copied = text(rng, "yy")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    copies = spark.range(200_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(copied).alias("text"), F.lit("yy").alias("lang"))
+    alone = langid.sample_texts(docs.union(copies.limit(1)), F.lit(True))
+    assert langid.sample_texts(docs.union(copies), F.lit(True)) == alone and set(alone) == {"xx", "yy"}
+
+
 def test_no_languages_and_empty_table(spark):
     schema = "doc_id long, text string, lang string"
     assert langid.language_of(spark.createDataFrame([], schema)).count() == 0

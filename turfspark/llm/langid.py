@@ -163,23 +163,26 @@ class Parser:
 def sample_texts(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang") -> dict[str, str]:
     """A bounded sample of labelled text per language: at most SAMPLE_TEXTS distinct texts of each.
 
-    Which texts are taken depends on a hash of the text alone. One pass counts the texts of each
-    language, a second one takes a share that gives four times the bound, of which the bound is kept.
+    Which texts are taken depends on a hash of the text alone. One pass counts the distinct texts of each
+    language, a second one takes a share that gives four times the bound, of which the bound is kept: the
+    first by hash, whatever the share.
     """
     rows = docs.where(training & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").rlike(r"\p{L}")).select(
         F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("h")
     )
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    distinct = rows.select("lang", "h").distinct()
+    counts = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
     bar = F.lit(0)
     for name, n in sorted(counts.items()):
         bar = F.when(F.col("lang") == name, min(1 << 20, 1 + (4 * SAMPLE_TEXTS << 20) // n)).otherwise(bar)
+    share = F.pmod(F.col("h"), F.lit(1 << 20))
     taken = (
-        rows.where(F.pmod(F.col("h"), F.lit(1 << 20)) < bar)
+        rows.where(share < bar)
         .groupBy("lang", "h")
         .agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("part"))
-        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part")))
+        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(share, "h")))
         .where(F.col("n") <= SAMPLE_TEXTS)
     )
     parts: dict[str, list[str]] = {}
