@@ -80,6 +80,17 @@ def test_language_that_is_mostly_one_copied_text(spark, monkeypatch):
     assert langid.sample_texts(docs.union(copies), F.lit(True)) == alone and set(alone) == {"xx", "yy"}
 
 
+def test_emoji_are_no_letters(spark):
+    emoji = "\U0001f600\U0001f680 \U0001f4a9"
+    rows = [(i, "ba da ga lo mi", "xx") for i in range(9)] + [(10, emoji, None), (11, "\U00010400\U00010401", None)]
+    got = {r.doc_id: r for r in langid.language_of(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (got[10].lang_pred, got[10].score) == ("und", 0.0)
+    assert got[11].lang_pred == "xx"  # letters, though of no script in the sample
+    parser = langid.Parser({"xx": "ba da ga", "yy": "sto kra"})
+    total, letters = parser.phrases(["ba da ga", f"ba {emoji} da ga"])
+    assert letters.tolist() == [6, 6] and total[:, 0].tolist() == total[:, 1].tolist()
+
+
 def test_no_languages_and_empty_table(spark):
     schema = "doc_id long, text string, lang string"
     assert langid.language_of(spark.createDataFrame([], schema)).count() == 0

@@ -27,6 +27,7 @@ SAMPLE_CHARS = 400  # characters taken of each
 MODEL_CHARS = 240_000  # characters of all languages together
 LETTERS = 62  # letters told apart; rarer ones count as one
 SEGMENT = 256
+POINTS = 0x110000
 BATCH_CHARS = 1 << 21
 SENTENCE = re.compile(r"[.!?\n]\s*")
 _NEW = np.int32(-(2**31))
@@ -36,9 +37,9 @@ _BUILT: dict[tuple, Parser] = {}
 
 
 def _alpha() -> np.ndarray:
-    """Which code points below 65536 are letters."""
+    """Which code points are letters."""
     if not _ALPHA:
-        _ALPHA.append(np.array([chr(i).isalpha() for i in range(65536)]))
+        _ALPHA.append(np.array([chr(i).isalpha() for i in range(POINTS)]))
     return _ALPHA[0]
 
 
@@ -77,12 +78,11 @@ class Parser:
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.languages = sorted(samples)
-        counts = np.zeros(65536, dtype=np.int64)
+        counts = np.zeros(POINTS, dtype=np.int64)
         points = {}
         for name in self.languages:
             points[name] = np.frombuffer(samples[name].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            found = points[name][points[name] < 65536]
-            counts += np.bincount(found[_alpha()[found]], minlength=65536)
+            counts += np.bincount(points[name][_alpha()[points[name]]], minlength=POINTS)
         common_letters = np.argsort(-counts, kind="stable")[:LETTERS]
         common_letters = common_letters[counts[common_letters] > 0]
         self.classes = np.where(_alpha(), 1, 0).astype(np.uint8)  # 0: no letter, 1: a rare letter
@@ -111,7 +111,7 @@ class Parser:
         """
         small = [". ".join(dict.fromkeys(SENTENCE.split(t.lower()))) for t in texts]
         points = np.frombuffer(" ".join(small).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        codes = np.where(points < 65536, self.classes[np.minimum(points, 65535)], 1).astype(np.uint8)
+        codes = self.classes[points]
         keep = codes > 0
         keep[1:] |= codes[:-1] > 0
         past = np.cumsum(np.array([len(t) + 1 for t in small], dtype=np.int64))
