@@ -81,6 +81,27 @@ def test_against_brute_force(spark, tau):
     assert sorted(map(tuple, got), key=str) == sorted(brute(docs, tau), key=str)
 
 
+def test_defaults_link_two_edits_short_lines_and_short_copies(spark):
+    long = "All rights reserved by the owner of these pages. " * 10
+    texts = [
+        long + "2021", long + "2034", "Page printed on 12 May", "Page printed on 30 May", "Contact us", "Contact us", "Contact it",
+        "\n\n",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in lines.line_duplicates(docs).collect()}
+    assert [got[i] for i in range(8)] == [0, 1, 0, 1, 0, 1, 0, 0]
+
+
+def test_passes_give_the_same(spark, monkeypatch):
+    rng = random.Random(77)
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(40)) for _ in range(10)]
+    docs = spark.createDataFrame([(i, edited(rng, rng.choice(base), i % 3)) for i in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(lines, "PASSES", 1)
+    want = sorted(map(tuple, lines.line_duplicates(docs).collect()))
+    monkeypatch.setattr(lines, "PASSES", 3)
+    assert sorted(map(tuple, lines.line_duplicates(docs).collect())) == want
+
+
 def test_empty_table_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert lines.line_duplicates(spark.createDataFrame([], schema)).count() == 0

@@ -9,6 +9,7 @@ form classes; the first line of a class stays, the others are removed from their
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from turfspark.llm import common
 from turfspark.llm import words as W
 
-TAU = 1
-SHORT = 20  # shorter lines are left alone
-FUZZY = 30  # shorter ones must be equal
+TAU = 2
+SHORT = 1  # empty lines are left alone
+FUZZY = 20  # shorter ones must be equal
+PASSES = 2  # parts of the keys that are joined one after the other, so that their shuffles share the disk
 PIECE = 1 << 20
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -92,12 +94,12 @@ def segments(length: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     return k * base + extra, base + (k >= tau + 1 - longer)
 
 
-def _keys(tau: int):
+def _keys(tau: int, part: int = 0, parts: int = 1):
     def tagged(length: np.ndarray, k: int, h: np.ndarray) -> np.ndarray:
         return W.mix(h ^ W.mix(length.astype(U64) * U64(64) + U64(k)))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Index entries and probes of the different lines of each block."""
+        """Index entries and probes of the different lines of each block, of one part of the keys."""
         for _, block in _blocks(batches):
             some = np.flatnonzero(block.end - block.start >= FUZZY)
             line = block.hash(block.start[some], block.end[some])
@@ -106,10 +108,15 @@ def _keys(tau: int):
             start, size = block.start[some], block.end[some] - block.start[some]
             letters = block.letters(some)
             out = []
+
+            def add(h: np.ndarray, line: np.ndarray, letters: np.ndarray, probe: bool) -> None:
+                own = h % U64(parts) == U64(part)
+                out.append((h[own], line[own], letters[own], probe))
+
             begin, width = segments(size, tau)
             for k in range(tau + 1):
                 a = start + begin[k]
-                out.append((tagged(size, k, block.hash(a, a + width[k])), line, letters, False))
+                add(tagged(size, k, block.hash(a, a + width[k])), line, letters, False)
             for less in range(tau + 1):  # the indexed line is so much shorter
                 begin, width = segments(size - less, tau)
                 for k in range(tau + 1):
@@ -120,7 +127,7 @@ def _keys(tau: int):
                         fits = (a >= 0) & (a + width[k] <= size)
                         a = start[fits] + a[fits]
                         h = tagged(size[fits] - less, k, block.hash(a, a + width[k][fits]))
-                        out.append((h, line[fits], letters[fits], True))
+                        add(h, line[fits], letters[fits], True)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([o[0] for o in out]).view(np.int64)),
@@ -247,14 +254,28 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def links(rows: DataFrame, first: DataFrame, tau: int = TAU) -> DataFrame:
-    """(a, b): hashes of different lines within `tau` edits. `first` has line, head (row, place)."""
-    entries = rows.select("row", "packed").mapInArrow(_keys(tau), "key long, line long, letters int, probe boolean")
+def _candidates(rows: DataFrame, tau: int, part: int) -> DataFrame:
+    """(a, b): pairs of different lines that hold one key of this part and have near letter counts."""
+    entries = rows.select("row", "packed").mapInArrow(
+        _keys(tau, part, PASSES), "key long, line long, letters int, probe boolean"
+    )
     index = entries.where(~F.col("probe")).groupBy("key", F.col("line").alias("b")).agg(F.min("letters").alias("letters_b"))
     probes = entries.where("probe").select("key", F.col("line").alias("a"), F.col("letters").alias("letters_a"))
     near = (F.col("a") != F.col("b")) & (letter_distance(F.col("letters_a"), F.col("letters_b")) <= 2 * tau)
     pairs = probes.join(index, "key").where(near)
-    pairs = common.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return common.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def links(rows: DataFrame, first: DataFrame, tau: int = TAU) -> DataFrame:
+    """(a, b): hashes of different lines within `tau` edits. `first` has line, head (row, place)."""
+    pairs = None
+    for part in range(PASSES):
+        found = _candidates(rows, tau, part)
+        pairs = found if pairs is None else pairs.union(found)
+        # the shuffles of a pass go with their last reference
+        gc.collect()
+        rows.sparkSession._jvm.System.gc()
+    pairs = common.cut(pairs.distinct())
     some = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
     where = (
         some.join(first, "line")
