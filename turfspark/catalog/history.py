@@ -847,7 +847,11 @@ def core_tables(t: Tables) -> dict[str, DataFrame]:
 
 @query("feature_table")
 def feature_table(t: Tables) -> DataFrame:
-    return features.base_features(core_tables(t), "1997-01-01", "1999-12-31", with_te=True)
+    # from where the history window is full to the last race
+    first, last = t.race.agg(F.date_add(F.min("race_date"), C.HISTORY_DAYS).cast("string"), F.max("race_date").cast("string")).first()
+    if first is None:
+        first = last = "1970-01-01"
+    return features.base_features(core_tables(t), first, last, with_te=True)
 
 
 @query(
@@ -861,5 +865,6 @@ def feature_table(t: Tables) -> DataFrame:
     ["history"],
 )
 def output_contract(t: Tables) -> DataFrame:
-    table = feature_table(t)
+    # the dates of its SQL
+    table = features.base_features(core_tables(t), "1997-01-01", "1999-12-31", with_te=True)
     return table.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(table.columns)).alias("columns"))
