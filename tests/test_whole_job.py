@@ -3,7 +3,7 @@
 import datetime
 from types import SimpleNamespace
 
-from turfspark.catalog import history
+from turfspark.catalog import history, training
 
 
 def test_feature_table_runs_to_the_last_race(spark, monkeypatch):
@@ -14,3 +14,12 @@ def test_feature_table_runs_to_the_last_race(spark, monkeypatch):
     history.feature_table(SimpleNamespace(race=spark.createDataFrame(days, "race_date date")))
     history.feature_table(SimpleNamespace(race=spark.createDataFrame([], "race_date date")))
     assert seen == [("1996-12-31", "2001-08-02"), ("1970-01-01", "1970-01-01")]
+
+
+def test_training_uses_the_learners_settings(monkeypatch):
+    seen = []
+    monkeypatch.setattr(training, "_folds", lambda rows: None)
+    monkeypatch.setattr(training.train, "cross_validate", lambda *a, **k: seen.append((a[2], k.get("params"))))
+    for name in ("gbt", "forest", "logistic"):
+        training._oof(None, name)
+    assert seen == [("gbt", None), ("forest", None), ("logistic", None)]

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from turfspark.catalog.base import Tables, query
 from turfspark.operators import calibrate, filters, folds, ingroup, joins, metrics, ranking, train
-from turfspark.plans import features
+from turfspark.plans import features, registry
 from turfspark.session import materialize
 
 HOLDOUT = 2001
 FEATURES = ["carried_weight", "price", "distance_m", "going", "final3f_c"]
-SMALL = {"rounds": 4, "depth": 3, "trees": 8}
 
 
 def model_rows(t: Tables) -> DataFrame:
@@ -25,9 +24,7 @@ def _folds(rows: DataFrame) -> DataFrame:
 
 
 def _oof(rows: DataFrame, learner: str) -> DataFrame:
-    return train.cross_validate(
-        rows, _folds(rows), learner, FEATURES, "y", f"p_{learner}", holdout_year=HOLDOUT, params=SMALL
-    )
+    return train.cross_validate(rows, _folds(rows), learner, FEATURES, "y", f"p_{learner}", holdout_year=HOLDOUT)
 
 
 @query("gbt_oof")
@@ -44,7 +41,7 @@ def oof_fold_metrics(t: Tables) -> DataFrame:
 @query("stacker_oof")
 def stacker_oof(t: Tables) -> DataFrame:
     rows = model_rows(t)
-    inputs = {f"p_{n}": materialize(_oof(rows, n)) for n in ("forest", "logistic")}
+    inputs = {f"p_{n}": materialize(_oof(rows, n)) for n in ("gbt", "forest", "logistic")}
     stacked = train.stack(
         rows, inputs, [*inputs, "distance_m", "going"], "y", "p_stack", holdout_year=HOLDOUT, name="logistic"
     )
@@ -70,7 +67,7 @@ def final_and_holdout(t: Tables) -> DataFrame:
 @query("parameter_search")
 def parameter_search(t: Tables) -> DataFrame:
     rows = model_rows(t)
-    grid = [{"penalty": 1e-3, "rounds": 20}, {"penalty": 1e-1, "rounds": 20}]
+    grid = [{"penalty": p, "rounds": n} for p in (1e-4, 1e-3, 1e-2, 1e-1) for n in (20, 50, 100)]
     return train.search(rows, _folds(rows), "logistic", FEATURES, "y", grid, holdout_year=HOLDOUT)
 
 
@@ -103,7 +100,7 @@ def ranking_interactions(t: Tables) -> DataFrame:
 @query("pl_fit_score")
 def pl_fit_score(t: Tables) -> DataFrame:
     rows = materialize(_ranking_inputs(t))
-    names = ["z_win_stack", "z_win_stack_race_centered", "carried_weight"]
+    names = registry.ranking_features(rows.columns, profile="stack_default")
     scored = train.rank_holdout(rows, names, holdout_year=HOLDOUT)
     return scored.select("race_id", "horse_no", F.round("pl_score", 4).alias("pl_score"))
 
