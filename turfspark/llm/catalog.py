@@ -10,7 +10,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfspark.llm import decontam, exact, importance, langid, lines, minhash, packing, suffix, toxicity, warc
+from turfspark.llm import (
+    decontam,
+    exact,
+    importance,
+    langid,
+    lines,
+    minhash,
+    packing,
+    periodic,
+    suffix,
+    toxicity,
+    warc,
+    whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -120,3 +133,44 @@ def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 @_query("op10_importance_resampling")
 def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return importance.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+@_query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", repeating("doc_id", "text").alias("text"))
+    return run_digests(periodic.periodic_runs(docs))
+
+
+def repeating(doc_id: str, text: str) -> F.Column:
+    """The text to search: of every tenth document by the hash of its id, a tail is overwritten by a repetition."""
+    h = F.crc32(F.col(doc_id).cast("string"))
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n, g = F.size(words), F.floor(h / 10)
+    start = (g % n).cast("int")
+    period = (1 + F.floor((n - start) / (3 + g % 8))).cast("int")
+    moved = F.transform(words, lambda w, i: F.when(i < start, w).otherwise(F.get(words, start + (i - start) % period)))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(moved, " ")).otherwise(F.col(text))
+
+
+def run_digests(found: DataFrame) -> DataFrame:
+    """Runs as one row of numbers and digests per document."""
+    longest = F.array_min(
+        F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))
+    )
+    lines_of = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines_of, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("top"), "runs", "collapsed").select(
+        "doc_id",
+        "n_runs",
+        F.col("top.start").alias("start"),
+        (-F.col("top.less")).alias("length"),
+        F.col("top.period").alias("period"),
+        F.floor(-1000 * F.col("top.less") / F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
