@@ -23,6 +23,7 @@ from turfspark.llm import (
     toxicity,
     warc,
     whitening,
+    wrapper,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +136,21 @@ def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return importance.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@_query(
+    "op11_html_extraction",
+    r"""
+    WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+         plain AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(h1|p|br)>', ' ', 'g'), '<[^>]+>', '', 'g') AS t FROM a),
+         decoded AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'),
+                            '&lt;', '<'), '&gt;', '>') AS t FROM plain),
+         clean AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(t, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM decoded)
+    SELECT page_id, url, text, length(text) AS n_chars FROM clean
+    """,
+)
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return wrapper.main_text(table(spark, folder, "pages"))
+
+
 @_query("op12_embedding_whitening")
 def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(table(spark, folder, "embeddings"))
