@@ -166,11 +166,13 @@ def repeating(doc_id: str, text: str) -> F.Column:
     """The text to search: of every tenth document by the hash of its id, a tail is overwritten by a repetition."""
     h = F.crc32(F.col(doc_id).cast("string"))
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    n, g = F.size(words), F.floor(h / 10)
+    n, g = F.greatest(F.size(words), F.lit(1)), F.floor(h / 10)
     start = (g % n).cast("int")
     period = (1 + F.floor((n - start) / (3 + g % 8))).cast("int")
-    moved = F.transform(words, lambda w, i: F.when(i < start, w).otherwise(F.get(words, start + (i - start) % period)))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(moved, " ")).otherwise(F.col(text))
+    times = F.ceil((n - start) / period).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice(words, start + 1, period), times))
+    moved = F.slice(F.concat(F.slice(words, F.lit(1), start), tail), F.lit(1), F.size(words))
+    return F.when((h % 10 == 0) & (F.size(words) > 0), F.array_join(moved, " ")).otherwise(F.col(text))
 
 
 def run_digests(found: DataFrame) -> DataFrame:
