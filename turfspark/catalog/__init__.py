@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turfspark.catalog import base
 
-MODULES = ("history", "market", "ingest", "merging", "ranking", "training", "wagering", "checks")
+MODULES = ("history", "market", "ingest", "merging", "ranking", "training", "layers", "wagering", "checks")
 
 
 class Catalog:

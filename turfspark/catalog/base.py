@@ -127,6 +127,9 @@ def with_ctes(uses: Sequence[str], sql: str) -> str:
     for name in uses:
         visit(name)
     head = ", ".join(f"{name} AS ({CTES[name][0]})" for name in order)
+    own = sql.lstrip()
+    if head and own.upper().startswith("WITH "):  # the query's own expressions follow
+        return f"WITH {head}, {own[5:]}"
     return f"WITH {head} {sql}" if head else sql
 
 

@@ -68,7 +68,8 @@ def final_and_holdout(t: Tables) -> DataFrame:
 def parameter_search(t: Tables) -> DataFrame:
     rows = model_rows(t)
     grid = [{"penalty": p, "rounds": n} for p in (1e-4, 1e-3, 1e-2, 1e-1) for n in (20, 50, 100)]
-    return train.search(rows, _folds(rows), "logistic", FEATURES, "y", grid, holdout_year=HOLDOUT)
+    trials = train.search_trials(rows, _folds(rows), "logistic", FEATURES, "y", grid)
+    return trials.select("trial", "state", "mean_logloss", "params")
 
 
 def _ranking_inputs(t: Tables) -> DataFrame:

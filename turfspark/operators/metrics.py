@@ -213,11 +213,12 @@ def age_segment(flag: Column) -> Column:
     return F.when(flag == 1, F.lit("3yo")).when(flag == 0, F.lit("4up"))
 
 
-def segment_metrics(df: DataFrame, y: str, p: str, segment: Column) -> DataFrame:
-    """Binary metrics and number of races for all rows and for each segment."""
+def segment_metrics(df: DataFrame, y: str, p: str, segment: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Binary metrics and number of races for all rows and for each segment, within each group of `by`."""
     parts = with_segments(df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()), segment)
-    races = parts.groupBy("segment").agg(F.count_distinct("race_id").alias("races"))
-    return binary_metrics(parts, y, p, by=["segment"]).join(races, "segment")
+    keys = [*by, "segment"]
+    races = parts.groupBy(*keys).agg(F.count_distinct("race_id").alias("races"))
+    return binary_metrics(parts, y, p, by=keys).join(races, keys)
 
 
 def summary_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

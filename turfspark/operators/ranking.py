@@ -12,7 +12,8 @@ from __future__ import annotations
 import math
 import warnings
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Generator, Iterator, Mapping, Sequence
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from turfspark.operators import ingroup, skew
 # two-digit runner numbers: pair keys and the work inside a race rest on this bound
 MOST_RUNNERS = 99
 _NOTHING = float("-inf")
+Descent = Generator[list[float], tuple[float, list[float]], tuple[list[float], float, bool]]
 
 
 # --- pairs and top-k ---------------------------------------------------------
@@ -181,7 +183,11 @@ def pair_probabilities(df: DataFrame, score: str) -> DataFrame:
 
 def top3_probabilities(df: DataFrame, score: str) -> DataFrame:
     """Exact probability of a first-three finish; a runner in the first three makes two pairs."""
-    pair = pair_probabilities(df, score)
+    return top3_from_pairs(df, score, pair_probabilities(df, score))
+
+
+def top3_from_pairs(df: DataFrame, score: str, pair: DataFrame) -> DataFrame:
+    """Probability of a first-three finish per runner with a score, from the pairs of its race."""
     ends = pair.select(
         "race_id", F.explode(F.array("horse_no_1", "horse_no_2")).alias("horse_no"), "p_wide"
     )
@@ -194,16 +200,13 @@ def top3_probabilities(df: DataFrame, score: str) -> DataFrame:
     )
 
 
-def pair_probabilities_with_members(df: DataFrame, score: str) -> DataFrame:
-    """Pair probabilities with the top-3 probability of both members."""
-    single = top3_probabilities(df, score)
-    one = single.select("race_id", F.col("horse_no").alias("horse_no_1"), F.col("p_top3").alias("p_top3_1"))
-    two = single.select("race_id", F.col("horse_no").alias("horse_no_2"), F.col("p_top3").alias("p_top3_2"))
-    return (
-        pair_probabilities(df, score)
-        .join(one, ["race_id", "horse_no_1"])
-        .join(two, ["race_id", "horse_no_2"])
-    )
+def with_members(pair: DataFrame, horses: DataFrame) -> DataFrame:
+    """Pairs with the top-3 probability of both members, `p_top3_1` and `p_top3_2`."""
+    out = pair
+    for side in (1, 2):
+        member = horses.select("race_id", F.col("horse_no").alias(f"horse_no_{side}"), F.col("p_top3").alias(f"p_top3_{side}"))
+        out = out.join(member, ["race_id", f"horse_no_{side}"])
+    return out
 
 
 def gumbel_topk(
@@ -362,36 +365,103 @@ def fit_pl(
             slope = [out[i + 1] / races + l2 * w for i, w in enumerate(weights)]
             return out[0] / races + penalty, slope
 
-        weights = [0.0] * len(features)
-        loss, slope = evaluate(weights)
-        memory: list[tuple[list[float], list[float]]] = []
-        for _ in range(steps):
-            step = _quasi_newton_direction(slope, memory)
-            descent = sum(a * b for a, b in zip(step, slope, strict=True))
-            size = 1.0 if memory else min(1.0, 1.0 / max(math.sqrt(-descent), 1e-12))
-            while True:
-                trial = [w + size * d for w, d in zip(weights, step, strict=True)]
-                trial_loss, trial_slope = evaluate(trial)
-                if trial_loss <= loss + 1e-4 * size * descent or size < 1e-6:
-                    break
-                size /= 2.0
-            moved = [a - b for a, b in zip(trial, weights, strict=True)]
-            turned = [a - b for a, b in zip(trial_slope, slope, strict=True)]
-            gain = loss - trial_loss
-            if gain < 0:
-                break
-            weights, loss, slope = trial, trial_loss, trial_slope
-            if sum(a * b for a, b in zip(moved, turned, strict=True)) > 1e-12:
-                memory = [*memory, (moved, turned)][-8:]
-            if gain <= tolerance * abs(loss):
-                break
-        else:
+        weights, loss, converged = _drive(_descent(len(features), steps, tolerance), evaluate)
+        if not converged:
             warnings.warn(f"the ranking fit still gained after {steps} steps", RuntimeWarning, stacklevel=2)
         return weights, loss
     finally:
         rows.unpersist()
 
 
+def _descent(size: int, steps: int, tolerance: float) -> Descent:
+    """Quasi-Newton steps with backtracking: yields weights, is sent their loss and slope.
+
+    Returns the weights, their loss and whether the last step gained no more than the tolerance.
+    """
+    weights = [0.0] * size
+    loss, slope = yield weights
+    memory: list[tuple[list[float], list[float]]] = []
+    for _ in range(steps):
+        step = _quasi_newton_direction(slope, memory)
+        descent = sum(a * b for a, b in zip(step, slope, strict=True))
+        length = 1.0 if memory else min(1.0, 1.0 / max(math.sqrt(-descent), 1e-12))
+        while True:
+            trial = [w + length * d for w, d in zip(weights, step, strict=True)]
+            trial_loss, trial_slope = yield trial
+            if trial_loss <= loss + 1e-4 * length * descent or length < 1e-6:
+                break
+            length /= 2.0
+        moved = [a - b for a, b in zip(trial, weights, strict=True)]
+        turned = [a - b for a, b in zip(trial_slope, slope, strict=True)]
+        gain = loss - trial_loss
+        if gain < 0:
+            return weights, loss, True
+        weights, loss, slope = trial, trial_loss, trial_slope
+        if sum(a * b for a, b in zip(moved, turned, strict=True)) > 1e-12:
+            memory = [*memory, (moved, turned)][-8:]
+        if gain <= tolerance * abs(loss):
+            return weights, loss, True
+    return weights, loss, False
+
+
+def _drive(search: Descent, evaluate) -> tuple[list[float], float, bool]:
+    answer = None
+    while True:
+        try:
+            answer = evaluate(search.send(answer))
+        except StopIteration as done:
+            return done.value
+
+
+def by_key(key: str, values: Mapping[Any, Any]) -> Column:
+    """A value per group as a column; groups are few (folds)."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col(key))
+
+
+def fit_pl_by(
+    df: DataFrame, features: Sequence[str], by: str, *, l2: float = 1e-5, steps: int = 30, tolerance: float = 1e-7
+) -> dict[Any, tuple[list[float], float, bool]]:
+    """Ranking weights of every group of `by` (a fold): {group: (weights, loss, converged)}.
+
+    All groups take their next step from the same aggregate (loss and gradient keyed by group); a group that
+    has converged is no longer read. A race may be in several groups.
+    """
+    vector = F.array(*[F.col(f).cast("double") for f in features])
+    keyed = df.select(F.struct(by, "race_id").alias("race_id"), by, "horse_no", "finish_pos", vector.alias("_x"))
+    rows = finish_groups(keyed).repartition("race_id").persist()
+    try:
+        races = dict(rows.groupBy(by).agg(F.count_distinct("race_id")).collect())
+        if not races:
+            raise ValueError("no race with two or more finishers")
+        searches = {key: _descent(len(features), steps, tolerance) for key in races}
+        wanted = {key: next(search) for key, search in searches.items()}
+        fitted: dict[Any, tuple[list[float], float, bool]] = {}
+        while wanted:
+            # weights are data, not part of the generated code, which is compiled once
+            own = by_key(by, {key: F.array(*[F.lit(w) for w in weights]) for key, weights in wanted.items()})
+            products = F.zip_with("_x", own, lambda x, w: x * w)
+            score = F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+            open_ = rows.filter(F.col(by).isin(list(wanted))).withColumn("_score", score)
+            sums = pl_terms(open_, "_score", gradient=True).groupBy(by).agg(
+                F.sum("nll"), *[F.sum(F.col("g") * F.get("_x", F.lit(i))) for i in range(len(features))]
+            )
+            answers = {row[0]: row[1:] for row in sums.collect()}
+            missing = sorted(set(wanted) - set(answers))
+            if missing:
+                raise ValueError(f"no usable race in groups {missing}")
+            for key, (total, *slopes) in answers.items():
+                weights = wanted.pop(key)
+                loss = total / races[key] + 0.5 * l2 * sum(w * w for w in weights)
+                slope = [g / races[key] + l2 * w for g, w in zip(slopes, weights, strict=True)]
+                try:
+                    wanted[key] = searches[key].send((loss, slope))
+                except StopIteration as done:
+                    fitted[key] = done.value
+        return fitted
+    finally:
+        rows.unpersist()
+
+
 def _quasi_newton_direction(
     slope: list[float], memory: list[tuple[list[float], list[float]]]
 ) -> list[float]:
@@ -449,6 +519,78 @@ def standardize(df: DataFrame, stats: dict[str, tuple[float, float, float]]) ->
     )
 
 
+def feature_stats_by(df: DataFrame, features: Sequence[str], by: str) -> DataFrame:
+    """(by, feature, median, mean, std) per group: exact median, then moments after filling with it.
+
+    All features and groups are found together, each value once in a narrow row. A feature without any value
+    in a group has the median 0; one without deviation has the deviation 1.
+    """
+    values = df.select(by, *[S.number(F.col(n)).alias(n) for n in features])
+    narrow = values.unpivot([by], list(features), "feature", "_x")
+    medians = skew.exact_percentile(narrow, [by, "feature"], "_x", 0.5, "median")
+    filled = narrow.join(medians, [by, "feature"], "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
+    moments = filled.withColumn("_x", F.coalesce("_x", "median")).groupBy(by, "feature").agg(
+        F.first("median").alias("median"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std")
+    )
+    return moments.withColumn("std", F.when(F.col("std") > 0, F.col("std")).otherwise(F.lit(1.0)))
+
+
+def model_table(
+    stats: DataFrame, fits: Mapping[Any, tuple[list[float], float, bool]], features: Sequence[str], by: str
+) -> DataFrame:
+    """A fitted ranking layer as a table: per group and feature the place, moments and weight, and how the fit ended."""
+    rows = [
+        (key, name, at, float(weight), float(loss), converged)
+        for key, (weights, loss, converged) in fits.items()
+        for at, (name, weight) in enumerate(zip(features, weights, strict=True))
+    ]
+    kind = dict(stats.dtypes)[by]
+    schema = f"{by} {kind}, feature string, at int, weight double, loss double, converged boolean"
+    return stats.join(stats.sparkSession.createDataFrame(rows, schema), [by, "feature"])
+
+
+def read_model(model: DataFrame, by: str) -> dict[Any, list[Any]]:
+    """The rows of a model table per group, in the order of its features (a few rows per fold)."""
+    out: dict[Any, list[Any]] = {}
+    for row in model.orderBy(by, "at").collect():
+        out.setdefault(row[by], []).append(row)
+    names = {tuple(r["feature"] for r in rows) for rows in out.values()}
+    if len(names) != 1:
+        raise ValueError("the groups of a model table differ in their features")
+    return out
+
+
+def standardize_by(df: DataFrame, rows: Mapping[Any, Sequence[Any]], by: str) -> DataFrame:
+    """Features filled and scaled with the moments of their own group; `rows` as of `read_model` or of stats."""
+    names = [r["feature"] for r in next(iter(rows.values()))]
+    value = lambda at, field: by_key(by, {k: float(r[at][field]) for k, r in rows.items()})
+    return df.withColumns(
+        {
+            n: (F.coalesce(S.number(F.col(n)), value(at, "median")) - value(at, "mean")) / value(at, "std")
+            for at, n in enumerate(names)
+        }
+    )
+
+
+def score_by(df: DataFrame, model: DataFrame, by: str, output: str = "pl_score") -> DataFrame:
+    """Rows with the score of their group's model; a group without a model is an error.
+
+    Filling, scaling and weights of a group are one factor per feature and one constant, kept as data beside the
+    plan, so its size doesn't grow with the number of groups.
+    """
+    rows = read_model(model, by)
+    names = [r["feature"] for r in next(iter(rows.values()))]
+    lists = lambda value: by_key(by, {k: F.array(*[F.lit(value(r)) for r in own]) for k, own in rows.items()})
+    constant = by_key(by, {k: -sum(r["weight"] * r["mean"] / r["std"] for r in own) for k, own in rows.items()})
+    filled = F.zip_with(
+        F.array(*[S.number(F.col(n)) for n in names]), lists(lambda r: r["median"]), lambda x, median: F.coalesce(x, median)
+    )
+    products = F.zip_with(filled, lists(lambda r: r["weight"] / r["std"]), lambda x, factor: x * factor)
+    score = F.aggregate(products, F.lit(0.0), lambda total, x: total + x) + constant
+    lost = F.raise_error(F.concat(F.lit("no model for "), F.col(by).cast("string"))).cast("double")
+    return df.withColumn(output, F.when(F.col(by).isin(list(rows)), score).otherwise(lost))
+
+
 # --- win model evaluation ----------------------------------------------------
 
 
@@ -546,6 +688,87 @@ def fit_beta(df: DataFrame, score: str, *, rounds: int = 4, y: str = "y_win") ->
         kept.unpersist()
 
 
+def beta_losses_by(
+    df: DataFrame, score: str, betas: Mapping[Any, Sequence[float]], by: str, *, y: str = "y_win"
+) -> DataFrame:
+    """(by, idx, beta, nll, races): the losses of each group (fold) at its own temperatures, in one pass over all groups."""
+    won, many = F.col(y) == 1, len(next(iter(betas.values())))
+    known = df.withColumn("_s", S.number(F.col(score))).filter(F.col(by).isin(list(betas)))
+    top = skew.attach_group(known, [by, "race_id"], _top=F.max("_s"))
+    gap = F.col("_s") - F.col("_top")
+    lists = by_key(by, {k: F.array(*[F.lit(float(b)) for b in own]) for k, own in betas.items()})
+    beta = [F.get("_b", i) for i in range(many)]
+    per_race = (
+        top.withColumn("_b", lists)
+        .groupBy(by, "race_id")
+        .agg(
+            F.first("_b").alias("_b"),
+            F.count(F.when(won, 1)).alias("_winners"),
+            F.max(F.when(won, gap)).alias("_won"),
+            F.max(S.number(F.col("field_size"))).alias("_field"),
+            *[F.sum(F.exp(gap * b)).alias(f"_z{i}") for i, b in enumerate(beta)],
+        )
+        .filter("_winners = 1 and _won is not null and _field > 1")
+    )
+    most = F.lit(-math.log(C.PROB_EPS))
+    losses = per_race.groupBy(by).agg(
+        F.count(F.lit(1)).alias("races"),
+        F.first("_b").alias("_b"),
+        *[F.sum(F.least(F.ln(f"_z{i}") - F.col("_won") * b, most)).alias(f"_nll{i}") for i, b in enumerate(beta)],
+    )
+    table = F.array(
+        *[F.struct(F.lit(i).alias("idx"), b.alias("beta"), F.col(f"_nll{i}").alias("nll")) for i, b in enumerate(beta)]
+    )
+    return losses.select(by, "races", F.inline(table))
+
+
+def fit_betas(df: DataFrame, score: str, by: str, *, rounds: int = 4, y: str = "y_win") -> dict[Any, float]:
+    """Temperature with the least loss of every group: one grid for all, then narrower grids of their own.
+
+    A group without a usable race has the temperature 1.
+    """
+    kept = df.select(by, "race_id", score, y, "field_size").persist()
+    try:
+        groups = [row[0] for row in kept.select(by).distinct().collect()]
+        best = dict.fromkeys(groups, 1.0)
+        grids = {key: beta_grid() for key in groups}
+        for _ in range(rounds if groups else 0):
+            known: dict[Any, dict[int, float]] = {}
+            for row in beta_losses_by(kept, score, grids, by, y=y).collect():
+                if row["nll"] is not None:
+                    known.setdefault(row[by], {})[row["idx"]] = row["nll"]
+            if not known:
+                break
+            for key, losses in known.items():
+                at, points = min(losses, key=lambda i: (losses[i], i)), grids[key]
+                best[key] = min(max(points[at], C.BETA_MIN), C.BETA_MAX)
+                grids[key] = beta_grid(points[max(at - 1, 0)], points[min(at + 1, len(points) - 1)], 41)
+            grids = {key: grids[key] for key in known}
+        return best
+    finally:
+        kept.unpersist()
+
+
+def add_win_scores_by(df: DataFrame, p: str, betas: Mapping[Any, float], by: str, *, eps: float = C.LOGIT_EPS) -> DataFrame:
+    """Logit score and race probabilities at temperature 1 and at the one of the row's group, with it as `beta_hat`."""
+    scored = df.withColumns({f"score_{p}": M.logit(F.col(p), eps), "beta_hat": by_key(by, dict(betas))})
+    one = ingroup.add_softmax(scored, f"score_{p}", f"c_{p}_beta1", 1.0)
+    warm = one.withColumn("_warm", F.col(f"score_{p}") * F.col("beta_hat"))
+    return ingroup.add_softmax(warm, "_warm", f"c_{p}_betahat", 1.0).drop("_warm")
+
+
+def win_r2_by(df: DataFrame, c_prob: str, by: str, *, y: str = "y_win") -> DataFrame:
+    """(by, nll_model, nll_null, races, r2) per group; a race belongs to one group."""
+    groups = df.groupBy("race_id").agg(F.first(by).alias(by))
+    model, null = F.sum("nll_model"), F.sum("nll_null")
+    return race_fit(df, c_prob, y=y).join(groups, "race_id").groupBy(by).agg(
+        model.alias("nll_model"),
+        null.alias("nll_null"),
+        F.count(F.lit(1)).alias("races"),
+        F.when(null > 0, 1.0 - model / null).alias("r2"),
+    )
+
+
 def add_win_scores(df: DataFrame, p: str, beta: float, *, eps: float = C.LOGIT_EPS) -> DataFrame:
     """Logit score and race probabilities at beta 1 and at the fitted beta."""
     scored = df.withColumn(f"score_{p}", M.logit(F.col(p), eps))
