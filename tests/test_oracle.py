@@ -10,6 +10,13 @@ from tools import check
 FOLDER = "/root/testdata/sf0.001"
 # model fits and sampled estimates are covered by tests of their own
 SLOW = {"gbt_oof", "stacker_oof", "parameter_search", "oof_fold_metrics", "pl_fit_score", "win_scores_at_best_beta"}
+# fits whose operators tests/test_layers.py covers; minutes together
+SLOW |= {
+    "early_stopping_folds", "early_stopping_report", "final_fit_rounds", "final_model_holdout", "boosted_win_evaluation",
+    "learner_predictions", "stacker_win_oof", "stacker_place_oof", "stacker_reports", "search_best",
+    "ranking_cv_horses", "ranking_cv_pairs", "ranking_cv_metrics", "ranking_cv_segments", "ranking_cv_models",
+    "ranking_holdout_pairs", "ranking_holdout_metrics",
+}
 
 
 def test_every_sql_has_a_query():
