@@ -79,3 +79,43 @@ def test_row_numbers_with_null_keys_and_values(spark, limit, descending):
     got = skew.number_rows(df, ["k"], order, -p if descending else p, "rn", limit=limit, nulls_last=descending)
     want = df.withColumn("rn", F.row_number().over(W.partitionBy("k").orderBy(*order)).cast("bigint"))
     assert same(got.select(want.columns), want)
+
+
+@pytest.mark.parametrize("limit", [10**9, 50])
+def test_null_keys(spark, limit):
+    """Many rows with a null key: no lags, sums and numbers of a key of their own, whatever the limit."""
+    rows = [(None if i % 3 else i % 4, i % 59, i, i % 11) for i in range(600)]
+    df = spark.createDataFrame(rows, "k bigint, t bigint, id bigint, v bigint").persist()
+    order = W.partitionBy("k").orderBy("t", "id")
+    lagged = skew.lagged(df, "k", ["t", "id"], F.col("t"), ["id"], 2, limit=limit)
+    got = lagged.select("id", *[F.col(f"_lag{i}.id").alias(f"l{i}") for i in (1, 2)])
+    want = df.select("id", *[F.when(F.col("k").isNotNull(), F.lag("id", i).over(order)).alias(f"l{i}") for i in (1, 2)])
+    assert same(got, want)
+    got = skew.running_sums(df, ["k"], "t", limit=limit, v=F.sum("v"))
+    before = W.partitionBy("k").orderBy("t").rangeBetween(W.unboundedPreceding, -1)
+    assert same(got, df.select("k", "t", F.coalesce(F.sum("v").over(before), F.lit(0)).alias("v")).distinct())
+    got = skew.number_rows(df, ["k"], [F.col("t"), F.col("id")], F.col("t"), "rn", limit=limit)
+    assert same(got.select("id", "rn"), df.select("id", F.row_number().over(order).cast("bigint").alias("rn")))
+
+
+@pytest.mark.parametrize("limit", [10**9, 50])
+@pytest.mark.parametrize("days", [1, 7])
+def test_drawdown_of_a_day_with_all_bets(spark, limit, days):
+    import datetime
+    import random
+
+    from turfspark.operators import wager
+
+    rng, rows, deepest = random.Random(days), [], {}
+    for strategy in ("a", "b"):
+        level = peak = fall = 0
+        for race in range(400):
+            day = datetime.date(2024, 1, 1) + datetime.timedelta(days=race * days // 400)
+            profits = [rng.randrange(-300, 310) for _ in range(rng.randrange(1, 3))]
+            rows += [(strategy, day, race, p) for p in profits]
+            level += sum(profits)
+            peak = max(peak, level)
+            fall = max(fall, peak - level)
+        deepest[strategy] = fall
+    bets = spark.createDataFrame(rows, f"{wager.STRATEGY} string, race_date date, race_id long, profit long")
+    assert dict(wager.max_drawdown(bets.repartition(5), limit=limit).collect()) == deepest

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from turfspark.catalog.base import Tables, cte, query
 from turfspark.catalog.market import TYPES
 from turfspark.functions import scalars as S
-from turfspark.operators import folds, merge, quality, selection
+from turfspark.operators import folds, joins, merge, quality, selection
 from turfspark.session import shared_folder
 from turfspark.streaming import odds as stream_odds
 
@@ -375,3 +375,59 @@ def stream_asof_snapshot(t: Tables) -> DataFrame:
     stream_odds.write_updates(chosen, f"{root}/table", f"{root}/checkpoint").awaitTermination()
     rows = stream_odds.read_updates(t.spark, f"{root}/table", ["race_id", "horse_no", "race_ts"])
     return rows.select("race_id", "horse_no", F.col("race_ts").cast("date").alias("day"), "value")
+
+
+# --- checked joins -----------------------------------------------------------
+# lines of one order and part come more than once in the test data; suppliers divisible by 10 are left out on the right
+
+
+@query(
+    "join_violations",
+    """
+    WITH l AS (SELECT l_orderkey AS race_id, l_partkey AS part, count(*) AS left_rows FROM lineitem GROUP BY ALL),
+         r AS (SELECT l_orderkey AS race_id, l_partkey AS part, count(*) AS right_rows FROM lineitem WHERE l_suppkey % 10 <> 0 GROUP BY ALL),
+         b AS (SELECT race_id, part, left_rows, coalesce(right_rows, 0) AS right_rows FROM l LEFT JOIN r USING (race_id, part))
+    SELECT 'repeated left key' AS rule, * FROM b WHERE left_rows > 1
+    UNION ALL SELECT 'repeated right key', * FROM b WHERE right_rows > 1
+    UNION ALL SELECT 'row without a match', * FROM b WHERE right_rows = 0
+    """,
+)
+def join_violations(t: Tables) -> DataFrame:
+    lines = t.read("lineitem").select(F.col("l_orderkey").alias("race_id"), F.col("l_partkey").alias("part"), "l_suppkey")
+    return joins.key_violations(lines, lines.filter("l_suppkey % 10 <> 0"), ["race_id", "part"])
+
+
+@query(
+    "one_to_one_join",
+    "SELECT race_id, horse_no, finish_pos, jockey_id FROM runner",
+    ["runner"],
+)
+def one_to_one_join(t: Tables) -> DataFrame:
+    keys = ["race_id", "horse_no"]
+    return joins.one_to_one(t.runner.select(*keys, "finish_pos"), t.runner.select(*keys, "jockey_id"), keys)
+
+
+@query(
+    "prediction_join",
+    """
+    SELECT s.race_id, s.horse_no, CASE WHEN part % 3 <> 0 THEN p END AS p_win_gbt, CASE WHEN part % 5 <> 0 THEN score END AS p_win_forest
+    FROM scored s
+    """,
+    ["scored"],
+)
+def prediction_join(t: Tables) -> DataFrame:
+    rows = t.scored
+    found = {
+        "p_win_gbt": rows.filter("part % 3 <> 0").select("race_id", "horse_no", F.col("p").alias("p_win_gbt")),
+        "p_win_forest": rows.filter("part % 5 <> 0").select("race_id", "horse_no", F.col("score").alias("p_win_forest")),
+    }
+    return joins.add_predictions(rows.select("race_id", "horse_no"), found)
+
+
+@query(
+    "columns_by_pattern",
+    "SELECT race_id, horse_no, price, trainer_id, jockey_id FROM runner",
+    ["runner"],
+)
+def columns_by_pattern(t: Tables) -> DataFrame:
+    return joins.add_columns_like(t.runner.select("race_id", "horse_no", "price"), t.runner, r"^(jockey|trainer)_id$|^price$")

@@ -53,12 +53,32 @@ def label_pairs(pair: DataFrame, first_three: DataFrame) -> DataFrame:
     return joined.withColumn("y_wide", hit.cast("int")).drop("_a", "_b")
 
 
+def key_violations(left: DataFrame, right: DataFrame, on: Sequence[str], *, total: bool = True) -> DataFrame:
+    """(rule, left_rows, right_rows, keys) of the keys that break a one-to-one join, one row per key.
+
+    Rules: repeated left key, repeated right key, and (with `total`) a left row without a match. Both sides are
+    counted in one aggregate over narrow rows; null keys never match, so they are rows without a match.
+    """
+    side = lambda df, one, two: df.select(*on, F.lit(one).alias("_l"), F.lit(two).alias("_r"))
+    counts = side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(*on).agg(
+        F.sum("_l").alias("left_rows"), F.sum("_r").alias("right_rows")
+    )
+    no_key = F.lit(False)
+    for key in on:
+        no_key = no_key | F.col(key).isNull()
+    unmatched = (F.col("left_rows") > 0) & ((F.col("right_rows") == 0) | no_key)
+    rules = [
+        F.when((F.col("left_rows") > 1) & ~no_key, F.lit("repeated left key")),
+        F.when((F.col("right_rows") > 1) & ~no_key, F.lit("repeated right key")),
+        F.when(unmatched, F.lit("row without a match")) if total else F.lit(None).cast("string"),
+    ]
+    broken = F.filter(F.array(*rules), lambda rule: rule.isNotNull())
+    return counts.select(F.explode(broken).alias("rule"), *on, "left_rows", "right_rows")
+
+
 def one_to_one(left: DataFrame, right: DataFrame, on: Sequence[str], *, label: str = "join") -> DataFrame:
-    """Left join after checking that keys are unique on both sides and none is missing."""
-    quality.require_empty(quality.duplicate_keys(left, on), f"{label}: repeated left key")
-    quality.require_empty(quality.duplicate_keys(right, on), f"{label}: repeated right key")
-    missing = left.select(*on).join(right.select(*on), list(on), "left_anti")
-    quality.require_empty(missing, f"{label}: rows without a match")
+    """Left join after checking, in one pass, that keys are unique on both sides and no left row is without a match."""
+    quality.require_empty(key_violations(left, right, on), label)
     return left.join(right, list(on), "left")
 
 
@@ -82,9 +102,16 @@ def columns_like(df: DataFrame, pattern: str) -> list[str]:
 def add_columns_like(
     df: DataFrame, extra: DataFrame, pattern: str, on: Sequence[str] = RUNNER
 ) -> DataFrame:
-    """Left-join the columns of `extra` whose names match a pattern."""
-    names = [c for c in columns_like(extra, pattern) if c not in on]
-    return df.join(extra.select(*on, *names), list(on), "left") if names else df
+    """Left-join the columns of `extra` whose names match a pattern.
+
+    Columns that `df` has already stay as they are. A repeated key in `extra` is refused.
+    """
+    names = [c for c in columns_like(extra, pattern) if c not in on and c not in df.columns]
+    if not names:
+        return df
+    slim = extra.select(*on, *names)
+    quality.require_empty(quality.duplicate_keys(slim, on), f"columns like {pattern}: repeated key")
+    return df.join(slim, list(on), "left")
 
 
 def carry_race_values(detail: DataFrame, source: DataFrame, columns: Sequence[str]) -> DataFrame:

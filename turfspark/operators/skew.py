@@ -115,7 +115,7 @@ def running_sums(
 
     Rows are first combined to one per (key, order value), so ties never count
     for one another. With `inclusive` the row's own value is added. `order` is
-    a numeric column; keys must not be null.
+    a numeric column. Null keys are keys like any other.
     """
     base, keys_ = _with_global_key(df, keys)
     # repeated values collapse before the ordered shuffle
@@ -145,7 +145,7 @@ def running_sums(
         .agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
         .select(*group, *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums])
     )
-    return local.join(carry, group, "left").select(
+    return _join_safe(local, carry, group, "left").select(
         *keys,
         order,
         *[(F.col(f"_p_{n}") + F.coalesce(f"_c_{n}", F.col(n) * 0)).alias(n) for n in sums],
@@ -201,9 +201,19 @@ def lagged(
     """Add struct columns `_lag1`..`_lagN` with `values` of the N rows before in the key.
 
     Inside a bucket this is `lag`; the first rows of a later bucket of a hot key
-    take the last `depth` rows of the buckets before it.
+    take the last `depth` rows of the buckets before it. A row with a null key has
+    no rows before it, however many such rows there are.
     """
     payload = F.struct(*values)
+    known = df.filter(F.col(key).isNotNull())
+    none = {f"_lag{k}": F.when(F.lit(False), payload) for k in range(1, depth + 1)}
+    alone = df.filter(F.col(key).isNull()).withColumns(none)
+    return _lagged_known(known, key, order_by, order, payload, depth, limit).unionByName(alone)
+
+
+def _lagged_known(
+    df: DataFrame, key: str, order_by: Sequence[str], order: Column, payload: Column, depth: int, limit: int | None
+) -> DataFrame:
     parts, split = with_buckets(df, [key], order, limit=limit)
     if not split:
         alone = Window.partitionBy(key).orderBy(*order_by)

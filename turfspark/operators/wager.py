@@ -277,31 +277,27 @@ def monthly(settled: DataFrame) -> DataFrame:
     return settled.groupBy(STRATEGY, month).agg(*_totals()).withColumn("roi", F.bround(roi, 4))
 
 
-def max_drawdown(settled: DataFrame) -> DataFrame:
+def max_drawdown(settled: DataFrame, *, limit: int | None = None) -> DataFrame:
     """Deepest fall of the equity curve from its peak, per strategy, in race order.
 
-    Races first collapse to a day: its sum, its highest and lowest point and its
-    own deepest fall. Days then combine in order, so a strategy is never put in
-    order bet by bet in one task. The curve starts at zero before the first race.
+    A stretch of races is summed up by its sum, its highest and lowest point and its own deepest fall; summaries of
+    stretches that follow one another give that of both. A stretch is a day, or a bucket of a day with more races
+    than one task should put in order. The curve starts at zero before the first race.
     """
     day = [STRATEGY, "race_date"]
     races = settled.groupBy(*day, "race_id").agg(F.sum("profit").alias("_p"))
-    curve = skew.running_sums(races, day, "race_id", inclusive=True, _e=F.sum("_p"))
-    inside = Window.partitionBy(*day).orderBy("race_id").rowsBetween(Window.unboundedPreceding, 0)
+    parts, split = skew.with_buckets(races, day, F.col("race_id"), limit=limit)
+    stretch = [*day, skew.BUCKET] if split else day
+    inside = Window.partitionBy(*stretch).orderBy("race_id").rowsBetween(Window.unboundedPreceding, 0)
+    curve = parts.withColumn("_e", F.sum("_p").over(inside))
     fall = F.greatest(F.max("_e").over(inside), F.lit(0)) - F.col("_e")
-    days = (
-        curve.withColumn("_fall", fall)
-        .groupBy(*day)
-        .agg(
-            F.max("_e").alias("_high"),
-            F.min("_e").alias("_low"),
-            F.max("_fall").alias("_fall"),
-        )
-        .join(races.groupBy(*day).agg(F.sum("_p").alias("_sum")), day)
+    stretches = curve.withColumn("_fall", fall).groupBy(*stretch).agg(
+        F.max("_e").alias("_high"), F.min("_e").alias("_low"), F.max("_fall").alias("_fall"), F.sum("_p").alias("_sum")
     )
-    order = Window.partitionBy(STRATEGY).orderBy("race_date")
+    # one row per day or bucket is left to put in order
+    order = Window.partitionBy(STRATEGY).orderBy(*stretch[1:])
     past = order.rowsBetween(Window.unboundedPreceding, -1)
-    opened = days.withColumn("_open", F.coalesce(F.sum("_sum").over(past), F.lit(0)))
+    opened = stretches.withColumn("_open", F.coalesce(F.sum("_sum").over(past), F.lit(0)))
     peaked = opened.withColumn(
         "_peak", F.greatest(F.coalesce(F.max(F.col("_open") + F.col("_high")).over(past), F.lit(0)), F.lit(0))
     )
