@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from turfspark.llm import packing
 
 
@@ -67,3 +69,11 @@ def test_pack(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_long_documents_in_late_partitions(spark):
+    """Bins of whole pieces stay apart and in range, whatever the number of input partitions."""
+    docs = spark.range(1300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 4100).alias("text")).repartition(1300)
+    rows = packing.pack(docs).collect()
+    whole = [r.bin for r in rows if r.n_tokens == 2048]
+    assert len(whole) == 2 * 1300 and len(set(whole)) == len(whole) and max(whole) < 0

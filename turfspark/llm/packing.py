@@ -122,8 +122,8 @@ def pack(
     packed = dealt.groupBy("pack").applyInPandas(_pack(capacity), _PACKED)
     ids = rows.select("doc_id", common.ROW)
     placed = packed.join(ids, common.ROW).select("doc_id", "piece", F.col("length").alias("n_tokens"), "bin", "at")
-    # whole pieces: a bin of their own, numbered apart from the groups; empty documents: none
-    own = F.when(size > 0, -1 - F.col(common.ROW) * 1_000_003 - F.col("piece"))
+    # whole pieces: a bin of their own, numbered apart from the groups (from -1 down); empty documents: none
+    own = F.when(size > 0, -1 - F.monotonically_increasing_id())
     alone = whole.select(
         "doc_id", "piece", size.alias("n_tokens"), own.alias("bin"), F.when(size > 0, F.lit(0).cast("long")).alias("at")
     )
