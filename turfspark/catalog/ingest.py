@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turfspark.catalog.base import Tables, cte, query
-from turfspark.sources import extract
+from turfspark.plans import rebuild
+from turfspark.session import shared_folder
+from turfspark.sources import extract, feed
 
 Part = tuple[int, int, Column]
 
@@ -420,3 +422,83 @@ def fixed_width_changes(t: Tables) -> DataFrame:
     names = F.array(*[F.lit(n) for n in ("weather_now", "horse_no", "jockey_code_after", "post_time_after", "distance_m_after")])
     kind_no = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("record_type")).cast("int")
     return out.select("record_type", "race_id", "seq", F.try_element_at("detail", F.element_at(names, kind_no)).alias("detail"))
+
+
+# --- feed files --------------------------------------------------------------
+
+_FEEDS: dict[tuple[str, str], str] = {}
+
+
+def _write_lines(lines: DataFrame, folder: str, kind: str) -> None:
+    """Lines as files `<kind>_<n>.jsonl`, one per task that wrote some."""
+    spark, part = lines.sparkSession, f"{folder}/_{kind}"
+    lines.write.text(part)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(part).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(f.getPath().getName() for f in files.listStatus(path(part)) if f.getPath().getName().startswith("part-"))
+    for n, name in enumerate(found):
+        if not files.rename(path(f"{part}/{name}"), path(f"{folder}/{kind}_{n}.jsonl")):
+            raise OSError(f"can't name {name}")
+    files.delete(path(part), True)
+
+
+def feed_folder(t: Tables) -> str:
+    """A feed of the orders as files: race records with unreadable lines among them, odds, and a kind that isn't read."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _FEEDS:
+        folder = shared_folder(t.spark)
+        line = F.to_json(F.struct("rec_id", "payload"))
+        races, odds = race_feed(t), win_odds_feed(t)
+        broken = races.filter(F.col("seq") % 50 == 0).select(F.lit('{"rec_id": "RA", ').alias("value"))
+        _write_lines(races.select(line.alias("value")).unionByName(broken), folder, "RACE")
+        _write_lines(odds.select(line.alias("value")), folder, "0B41")
+        _write_lines(odds.select(line.alias("value")), folder, "OTHER")
+        _FEEDS[key] = folder
+    return _FEEDS[key]
+
+
+@query(
+    "feed_files",
+    """
+    SELECT 'RACE' AS dataspec, 'RA' AS rec_id, count(*) AS records FROM orders
+    UNION ALL SELECT 'RACE', NULL, count(*) FROM orders WHERE o_orderkey % 50 = 0
+    UNION ALL SELECT '0B41', 'O1', count(*) FROM orders
+    """,
+)
+def feed_files(t: Tables) -> DataFrame:
+    """Lines of the files that are read, by kind and record type."""
+    lines = feed.read_feed(t.spark, feed.input_paths(t.spark, feed_folder(t)))
+    return feed.record_counts(lines).groupBy("dataspec", "rec_id").agg(F.sum("records").alias("records"))
+
+
+@query(
+    "feed_quarantine",
+    "SELECT 'unreadable line' AS reason, count(*) AS lines FROM orders WHERE o_orderkey % 50 = 0 HAVING count(*) > 0",
+)
+def feed_quarantine(t: Tables) -> DataFrame:
+    lines = feed.read_feed(t.spark, feed.input_paths(t.spark, feed_folder(t)))
+    return feed.error_counts(feed.quarantine(lines)).groupBy("reason").agg(F.sum("lines").alias("lines"))
+
+
+@query(
+    "feed_rebuild",
+    """
+    WITH scope AS (SELECT * FROM keyed WHERE 1 + c % 12 <= 10 AND CAST(o_orderdate AS DATE) >= DATE '1996-01-01')
+    SELECT 'race' AS name, year(o_orderdate) AS year, count(DISTINCT race_id) AS rows FROM scope GROUP BY ALL
+    UNION ALL
+    SELECT 'o1_header', year, count(*) FROM (SELECT DISTINCT year(o_orderdate) AS year, race_id, 1 + k % 4 AS kbn FROM scope) GROUP BY year
+    UNION ALL
+    SELECT 'o1_win', year, count(*) FROM (SELECT DISTINCT year(o_orderdate) AS year, race_id, 1 + k % 4 AS kbn, i
+                                          FROM scope, range(28) r(i) WHERE i < 5 + k % 10) GROUP BY year
+    """,
+    ["keyed"],
+)
+def feed_rebuild(t: Tables) -> DataFrame:
+    """Files to tables in one scan: rows of the rebuilt tables by year."""
+    built, _ = rebuild.rebuild_files(t.spark, feed_folder(t), shared_folder(t.spark), "1996-01-01")
+    year = F.floor(F.col("race_id") / 100_000_000).cast("int")  # the id starts with the date
+    parts = [
+        built[name].groupBy(year.alias("year")).agg(F.count(F.lit(1)).alias("rows")).withColumn("name", F.lit(name))
+        for name in ("race", "o1_header", "o1_win")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

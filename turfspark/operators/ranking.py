@@ -75,115 +75,129 @@ def _log_total(terms: Column) -> Column:
     return high + F.ln(F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + F.exp(x - high)))
 
 
-def _weights(df: DataFrame, score: str) -> DataFrame:
-    """Per runner: score, place by score, and the logs of the race totals without the top one or two.
-
-    Totals that leave out the heaviest runners are summed, not subtracted, and
-    each is scaled by its own largest score, so a dominant score neither cancels
-    nor hides the rest.
-    """
-    race = Window.partitionBy("race_id")
-    down = race.orderBy(F.col("_s").desc(), F.col("horse_no"))
-    scored = (
-        df.withColumn("_s", S.number(F.col(score)))
-        .filter(F.col("_s").isNotNull())
-        .select("race_id", "horse_no", "_s")
-        .withColumns({"_pos": F.row_number().over(down), "_n": F.count(F.lit(1)).over(race)})
-        .withColumn("_pos", _bounded(F.col("_n"), F.col("_pos")))
-    )
-    rest = lambda after: F.when(F.col("_pos") > after, F.col("_s"))
-    topped = scored.withColumns({f"_m{k}": F.max(rest(k)).over(race) for k in range(3)})
-    logs = {
-        f"_l{k}": F.col(f"_m{k}") + F.ln(F.sum(F.exp(rest(k) - F.col(f"_m{k}"))).over(race)) for k in range(3)
-    }
-    totals = topped.withColumns(logs).drop("_m0", "_m1", "_m2")
-    own = _log_less(F.col("_l0"), F.col("_s"))
-    return totals.withColumn("_rest", F.when(F.col("_pos") == 1, F.col("_l1")).otherwise(own))
-
-
-def _rest_of_two(p1: Column, s1: Column, p2: Column, s2: Column) -> Column:
-    """Log of the weight of the race without two runners."""
+def _rest_of_two(p1: Column, s1: Column, p2: Column, s2: Column, logs: Sequence[Column]) -> Column:
+    """Log of the weight of the race without two runners; places count from 0, `logs` are those without the top ones."""
     top, second = F.least(p1, p2), F.greatest(p1, p2)
     lighter = F.when(p1 > p2, s1).otherwise(s2)
     return (
-        F.when((top == 1) & (second == 2), F.col("_l2"))
-        .when(top == 1, _log_less(F.col("_l1"), lighter))
-        .otherwise(_log_less(F.col("_l0"), s1, s2))
+        F.when((top == 0) & (second == 1), logs[2])
+        .when(top == 0, _log_less(logs[1], lighter))
+        .otherwise(_log_less(logs[0], s1, s2))
     )
 
 
-def pair_probabilities(df: DataFrame, score: str) -> DataFrame:
-    """Exact Plackett-Luce probability that both runners of a pair finish in the first three.
+_LOGS = ("_l0", "_l1", "_l2")
 
-    The sum over the third runner needs two totals per runner, each over its
-    rivals; the heaviest rival is kept apart in them so that taking one rival
-    out again never cancels. Work and rows are quadratic in the field, as the
-    output is. With three runners or fewer every pair is certain.
+
+def _race_arrays(df: DataFrame, score: str) -> DataFrame:
+    """One row per race: its size, the logs of its totals without the top none, one and two, and its runners.
+
+    A runner has its number, place by score (from 0), score, the log of the weight without it, and the logs of two
+    totals over its rivals, the heaviest rival apart. Totals that leave out the heaviest runners are summed, not
+    subtracted, so a dominant score neither cancels nor hides the rest. A race is one array after one shuffle.
     """
-    base = _weights(df, score)
-    rival = base.select(
-        F.col("race_id").alias("_race"),
-        F.col("horse_no").alias("_no"),
-        F.col("_pos").alias("_pos_k"),
-        F.col("_s").alias("_s_k"),
-        F.col("_rest").alias("_rest_k"),
+    known = df.withColumn("_s", S.number(F.col(score))).filter(F.col("_s").isNotNull())
+    down = lambda a, b: (
+        F.when(a["s"] != b["s"], F.when(a["s"] > b["s"], -1).otherwise(1))
+        .otherwise(F.when(a["no"] < b["no"], -1).when(a["no"] > b["no"], 1).otherwise(0))
     )
-    rest = _rest_of_two(F.col("_pos"), F.col("_s"), F.col("_pos_k"), F.col("_s_k"))
-    heaviest = F.col("_pos_k") == F.when(F.col("_pos") == 1, 2).otherwise(1)
-    after = F.col("_s_k") - F.col("_r2")
-    ahead = after - F.col("_rest_k")
-    totals = (
-        base.filter("_n > 3")
-        .join(rival, (F.col("race_id") == F.col("_race")) & (F.col("horse_no") != F.col("_no")))
-        .withColumn("_r2", rest)
-        .groupBy("race_id", "horse_no")
-        .agg(
-            F.collect_list(F.when(~heaviest, after)).alias("_after"),
-            F.max(F.when(heaviest, after)).alias("_after_top"),
-            F.collect_list(F.when(~heaviest, ahead)).alias("_ahead"),
-            F.max(F.when(heaviest, ahead)).alias("_ahead_top"),
-        )
-        .withColumns({name: _log_total(F.col(name)) for name in ("_after", "_ahead")})
+    runner = F.struct(F.col("horse_no").alias("no"), F.col("_s").alias("s"))
+    races = known.groupBy("race_id").agg(F.count(F.lit(1)).alias("_n"), F.collect_list(runner).alias("_rows"))
+    placed = races.withColumn("_rows", _bounded(F.col("_n"), F.array_sort("_rows", down)))
+    scores = placed.withColumn("_w", F.transform("_rows", lambda r: r["s"]))
+    part = lambda k: F.slice("_w", k + 1, F.col("_n").cast("int"))
+    totals = scores.withColumns({f"_l{k}": F.coalesce(_log_total(part(k)), F.lit(_NOTHING)) for k in range(3)})
+    logs = [F.col(name) for name in _LOGS]
+    left = totals.withColumn(
+        "_rest", F.transform("_w", lambda x, i: F.when(i == 0, logs[1]).otherwise(_log_less(logs[0], x)))
+    )
+
+    after = F.transform("_w", lambda x, i: F.transform("_w", lambda y, k: y - _rest_of_two(i, x, k, y, logs)))
+    ahead = F.transform("_after", lambda terms: F.zip_with(terms, F.col("_rest"), lambda y, rest: y - rest))
+    full = left.withColumn("_after", after).withColumn("_ahead", ahead)
+
+    def about(row: Column, i: Column) -> Column:
+        heaviest = F.when(i == 0, 1).otherwise(0)
+        others = lambda name: F.filter(F.get(name, i), lambda _, k: (k != i) & (k != heaviest))
+        return F.struct(
+            row["no"].alias("no"), i.alias("pos"), row["s"].alias("s"), F.get("_rest", i).alias("rest"),
+            _log_total(others("_after")).alias("after"), F.get(F.get("_after", i), heaviest).alias("after_top"),
+            _log_total(others("_ahead")).alias("ahead"), F.get(F.get("_ahead", i), heaviest).alias("ahead_top"),
+        )
+
+    return full.select("race_id", "_n", *_LOGS, F.transform("_rows", about).alias("_m"))
+
+
+def _pair_rows(races: DataFrame, *, alone: bool = False) -> DataFrame:
+    """Every pair of a race as structs `_a` and `_b`, the lower number first; with `alone` every runner with itself too."""
+    first = 1 if alone else 2
+    pair = lambda a, b: F.struct(
+        F.when(a["no"] <= b["no"], a).otherwise(b).alias("_a"), F.when(a["no"] <= b["no"], b).otherwise(a).alias("_b")
     )
-    full = base.join(totals, ["race_id", "horse_no"], "left")
-    carry = ["_pos", "_s", "_rest", "_after", "_after_top", "_ahead", "_ahead_top"]
-    races = full.select("race_id", "_n", "_l0", "_l1", "_l2").distinct()
-    s1, s2 = F.col("_s_1"), F.col("_s_2")
-    shared = _rest_of_two(F.col("_pos_1"), s1, F.col("_pos_2"), s2)
-    both = pairs(full, carry).join(races, "race_id").withColumn("_r2", shared)
-    r2 = F.col("_r2")
-
-    def without(total: str, side: int, own: Column) -> Column:
+    count = F.size("_m")
+    both = F.flatten(F.transform("_m", lambda a, i: F.transform(F.slice("_m", i + first, count), lambda b: pair(a, b))))
+    return races.select("race_id", "_n", *_LOGS, F.inline(both))
+
+
+def _both_in_three(rows: DataFrame) -> DataFrame:
+    """Rows of `_pair_rows` with `_p`, the probability that both runners come in the first three."""
+    a, b, r2 = F.col("_a"), F.col("_b"), F.col("_r2")
+    left = _rest_of_two(a["pos"], a["s"], b["pos"], b["s"], [F.col(name) for name in _LOGS])
+
+    def without(total: str, own: Column, other: Column, term: Column) -> Column:
         """A runner's total over its rivals, without the other member of the pair."""
-        other = 3 - side
-        is_top = F.col(f"_pos_{other}") == F.when(F.col(f"_pos_{side}") == 1, 2).otherwise(1)
-        kept = F.col(f"{total}_{side}")
-        return F.when(is_top, kept).otherwise(_log_add(_log_less(kept, own), F.col(f"{total}_top_{side}")))
+        is_top = other["pos"] == F.when(own["pos"] == 0, 1).otherwise(0)
+        return F.when(is_top, own[total]).otherwise(_log_add(_log_less(own[total], term), own[f"{total}_top"]))
 
     stages = (
-        -F.col("_rest_1"),
-        -F.col("_rest_2"),
-        without("_after", 1, s2 - r2) - F.col("_rest_1"),
-        without("_after", 2, s1 - r2) - F.col("_rest_2"),
-        without("_ahead", 1, s2 - r2 - F.col("_rest_2")),
-        without("_ahead", 2, s1 - r2 - F.col("_rest_1")),
+        -a["rest"],
+        -b["rest"],
+        without("after", a, b, b["s"] - r2) - a["rest"],
+        without("after", b, a, a["s"] - r2) - b["rest"],
+        without("ahead", a, b, b["s"] - r2 - b["rest"]),
+        without("ahead", b, a, a["s"] - r2 - a["rest"]),
     )
-    both = both.withColumns({f"_t{k}": stage for k, stage in enumerate(stages)})
     p = F.lit(0.0)
     for k in range(len(stages)):
-        p = p + F.exp(s1 + s2 - F.col("_l0") + F.col(f"_t{k}"))
-    return both.select(
+        p = p + F.exp(a["s"] + b["s"] - F.col("_l0") + F.col(f"_t{k}"))
+    staged = rows.withColumn("_r2", left).withColumns({f"_t{k}": stage for k, stage in enumerate(stages)})
+    return staged.withColumn("_p", F.when(F.col("_n") <= 3, F.lit(1.0)).otherwise(M.clip(p, 0.0, 1.0)))
+
+
+def pair_probabilities(df: DataFrame, score: str) -> DataFrame:
+    """Exact Plackett-Luce probability that both runners of a pair finish in the first three.
+
+    The sum over the third runner needs two totals per runner, each over its
+    rivals; the heaviest rival is kept apart in them so that taking one rival
+    out again never cancels. Work and rows are quadratic in the field, as the
+    output is; everything after the one shuffle by race is narrow. With three
+    runners or fewer every pair is certain.
+    """
+    one, two = F.col("_a.no"), F.col("_b.no")
+    return _both_in_three(_pair_rows(_race_arrays(df, score))).select(
         "race_id",
-        "horse_no_1",
-        "horse_no_2",
-        "kumiban",
-        F.when(F.col("_n") <= 3, F.lit(1.0)).otherwise(M.clip(p, 0.0, 1.0)).alias("p_wide"),
+        one.alias("horse_no_1"),
+        two.alias("horse_no_2"),
+        S.pair_key(one, two).alias("kumiban"),
+        F.col("_p").alias("p_wide"),
     )
 
 
 def top3_probabilities(df: DataFrame, score: str) -> DataFrame:
-    """Exact probability of a first-three finish; a runner in the first three makes two pairs."""
-    return top3_from_pairs(df, score, pair_probabilities(df, score))
+    """Exact probability of a first-three finish; a runner in the first three makes two pairs.
+
+    Pairs are added up per runner where their race already is.
+    """
+    rows = _both_in_three(_pair_rows(_race_arrays(df, score), alone=True))
+    own = F.col("_a.no") == F.col("_b.no")
+    ends = rows.select(
+        "race_id",
+        "_n",
+        F.when(own, 0.0).otherwise(F.col("_p")).alias("_p"),
+        F.explode(F.when(own, F.array("_a.no")).otherwise(F.array("_a.no", "_b.no"))).alias("horse_no"),
+    )
+    sums = ends.groupBy("race_id", "horse_no").agg(F.max("_n").alias("_n"), (F.sum("_p") / 2.0).alias("_half"))
+    return sums.select("race_id", "horse_no", F.when(F.col("_n") <= 3, F.lit(1.0)).otherwise(F.col("_half")).alias("p_top3"))
 
 
 def top3_from_pairs(df: DataFrame, score: str, pair: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ def local_session(cores: int | str = "*", *, shuffle_partitions: int = 8, app: s
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # the JVM doesn't compile longer methods; Spark then splits them instead of fusing the stage
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
 
