@@ -10,8 +10,10 @@ divided by the length of the text, goes through a logistic function fitted on th
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -86,8 +88,10 @@ class Lexicon:
         hits, spared = [], []
         for end, (size, weight) in automaton.iter(folded):
             (hits if weight is not None else spared).append((end - size + 1, end, weight))
-        if spared:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in spared)]
+        if spared:  # by their ends; of those that end at a match's end or later, the earliest start decides
+            ends = [b for _, b, _ in spared]
+            starts = list(accumulate((a for a, _, _ in reversed(spared)), min))[::-1] + [math.inf]
+            hits = [h for h in hits if starts[bisect_left(ends, h[1])] > h[0]]
         by_word: dict[int, float] = {}  # the heaviest entry of a word counts
         for begin, _, weight in hits:
             by_word[begin] = max(weight, by_word.get(begin, -math.inf))
@@ -178,7 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, exceptions: Sequen
         part = known.where(F.col("toxic") == toxic).orderBy("h", "doc_id").limit(bound)
         picked = part if picked is None else picked.union(part)
     chosen = picked.select("doc_id", "toxic")
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    # an id may be repeated: each of its texts counts once
+    drawn = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", F.xxhash64("text"))
+    sample = drawn.agg(F.first("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text")
     counted = (
         sample.mapInPandas(_count, "entry string, other long, toxic long")
         .groupBy("entry")
