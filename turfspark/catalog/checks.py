@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from turfspark.catalog.base import Tables, cte, query
 from turfspark.catalog.market import TYPES
-from turfspark.functions import scalars as S
-from turfspark.operators import folds, joins, merge, quality, selection
+from turfspark.operators import folds, joins, quality, selection
 from turfspark.session import shared_folder
 from turfspark.streaming import odds as stream_odds
 
