@@ -107,3 +107,53 @@ def test_empty_table_and_repeated_rows(spark):
     assert lines.line_duplicates(spark.createDataFrame([], schema)).count() == 0
     rows = lines.line_duplicates(spark.createDataFrame([(1, "one line that is long enough")] * 2, schema)).collect()
     assert sorted(r.n_removed for r in rows) == [0, 1]
+
+
+def test_classes_without_degrees_against_brute_force(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(rng.choice((19, 20, 22, 33, 60)))) for _ in range(12)]
+    texts = ["\n".join(edited(rng, rng.choice(base), rng.randrange(4)) for _ in range(3)) for _ in range(30)]
+    # a hot segment: lines that share their first half, alike in groups
+    texts += ["the same beginning of every line " + format(i % 12, "06b") * 3 for i in range(24)]
+    docs = [*enumerate(texts), (None, texts[0]), (7, texts[7]), (99, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = lines.line_duplicates(frame, degrees=False).select("doc_id", "n_lines", "n_removed", "text").collect()
+    want = [(d, n, removed, text) for d, n, removed, _, text in brute(docs, lines.TAU)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_hot_group_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefgh") for _ in range(60))
+    variants = sorted({edited(rng, base, 2) for _ in range(300)})
+    compared = []
+    verified = lines._verified
+
+    def counted(pairs, bodies, tau):
+        compared.append(pairs.count())
+        return verified(pairs, bodies, tau)
+
+    monkeypatch.setattr(lines, "_verified", counted)
+    docs = [(i, v) for i, v in enumerate([base, *variants])]
+    got = lines.line_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), degrees=False).collect()
+    assert sum(r.n_removed for r in got) == len(docs) - 1
+    assert sum(compared) < 30 * len(docs)  # all pairs would be 150 each
+
+
+def test_long_line_beside_short_ones():
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcd") for _ in range(5_000))
+    left = ["a line of usual length, no. " + str(i) for i in range(3000)] + [long]
+    right = [t + "x" for t in left[:-1]] + [long[:70] + long[71:]]
+    pairs = lines.pa.record_batch(
+        [lines.pa.array(range(3001)), lines.pa.array(range(3001)), lines.pa.array(left), lines.pa.array(right)],
+        names=["a", "b", "body_a", "body_b"],
+    )
+    import tracemalloc
+
+    tracemalloc.start()
+    (out,) = lines._verify(2)(iter([pairs]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(out.column("edits").to_pylist()) == {1}
+    assert peak < 60 << 20  # padded to the longest line it would be 120 MB

@@ -122,8 +122,8 @@ def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("op8_line_dedup")
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found = lines.line_duplicates(table(spark, folder, "documents"))
-    return found.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2("text", 256).alias("kept_sha256"))
+    found = lines.line_duplicates(table(spark, folder, "documents"), degrees=False)
+    return found.select("doc_id", "n_lines", "n_removed", "n_alike", F.sha2("text", 256).alias("kept_sha256"))
 
 
 @_query("op9_benchmark_decontamination")

@@ -9,7 +9,7 @@ name do no harm.
 from __future__ import annotations
 
 import atexit
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from turfspark.session import materialize, shared_folder
 
 ROW = "row"
+LEADERS = 4  # members of a bucket's group that the others are compared with in a round
+STAR_NODES = 1 << 20  # nodes that a task joins at a time
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
@@ -74,7 +76,10 @@ def first_id(doc_id: str = "doc_id", row: str = ROW) -> Column:
 
 
 def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links of a partition as links to the smallest node that the partition joins them with."""
+    """Links of a partition as links to the smallest node that the partition joins them with.
+
+    At most about STAR_NODES nodes are held; what such parts leave apart, the rounds put together.
+    """
     parent: dict[int, int] = {}
 
     def root(node: int) -> int:
@@ -85,12 +90,18 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parent[node], node = top, parent[node]
         return top
 
+    def stars() -> pd.DataFrame:
+        found = [(root(node), node) for node in parent if root(node) != node]
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
     for batch in batches:
         for u, v in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
             low, high = sorted((root(u), root(v)))
             parent[high] = low
-    found = [(root(node), node) for node in parent if root(node) != node]
-    yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+        if len(parent) >= STAR_NODES:
+            yield stars()
+            parent.clear()
+    yield stars()
 
 
 def components(edges: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
@@ -131,6 +142,85 @@ def components(edges: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
             return label
 
 
+def distinct_buckets(shared: DataFrame) -> DataFrame:
+    """(band, node, ...) without the buckets of one node, and one bucket of those with the same nodes.
+
+    Buckets are compared by how many nodes they have and two 64-bit sums of hashes.
+    """
+    shared = stored(shared)
+    sums = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"h{seed}") for seed in (1, 2)]
+    buckets = shared.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *sums).where("n > 1")
+    kept = stored(buckets.groupBy("n", "h1", "h2").agg(F.min("band").alias("band")).select("band"))
+    return stored(shared.join(kept, "band", "left_semi"))
+
+
+def bucket_classes(
+    shared: DataFrame, verified: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column] | None = None
+) -> DataFrame:
+    """Classes (node, label) of nodes that share buckets; a node that is alone may be missing.
+
+    `shared` has band, node and, with `near`, a hint: pairs whose hints are not near are no candidates.
+    `verified` returns those of the pairs (a, b) that are linked. In each round the nodes of a bucket are
+    compared with one of them, another one in each of a few bands, unless they are in one class already;
+    every other round it is the one with most links so far, which finds the middle of a star. Classes only grow, so a bucket of one class is done and goes. When the pairs left between classes are
+    no more than the entries of the buckets, or a round links nothing, all of these are compared. The result
+    is the same whenever the rounds end.
+    """
+    hint = ["hint"] if near is not None else []
+    open_ = shared.select("band", "node", *hint, F.col("node").alias("label"))
+    entries = open_.count()
+    label, links, tested = None, None, None
+    seed = 0
+    while True:
+        parts = open_.groupBy("band", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        all_, same = F.sum("n"), F.sum(F.col("n") * F.col("n"))
+        mixed = parts.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), ((all_ * all_ - same) / 2).alias("cross"))
+        mixed = stored(mixed.where("labels > 1").select("band", "cross"))
+        cross = mixed.agg(F.sum("cross")).first()[0]
+        if not cross:
+            break
+        open_ = stored(open_.join(mixed, "band", "left_semi"))
+        every = cross <= entries // 2 or seed < 0
+
+        def side(frame: DataFrame, node: str, suffix: str) -> DataFrame:
+            return frame.select("band", F.col("node").alias(node), *[F.col(c).alias(c + suffix) for c in ["label", *hint]])
+
+        if every:
+            pairs = side(open_, "other", "_b").join(side(open_, "one", "_a"), "band").where("one < other and label_a <> label_b")
+        else:
+            pick = F.xxhash64(F.lit(seed), F.pmod(F.col("band"), F.lit(LEADERS)), "node")
+            ranked = open_.withColumn("few", F.lit(0).cast("long"))
+            if seed % 2:
+                ends = links.select(F.col("a").alias("node")).union(links.select("b"))
+                few = stored(ends.groupBy("node").agg((-F.count(F.lit(1))).alias("few")))
+                ranked = open_.join(few, "node", "left").withColumn("few", F.coalesce("few", F.lit(0).cast("long")))
+            best = F.min(F.struct("few", pick.alias("h"), "node", "label", *hint))
+            first = ranked.groupBy("band").agg(best.alias("f"))
+            first = stored(first.select("band", "f.*"))
+            pairs = side(open_, "other", "_b").join(side(first, "one", "_a"), "band").where("label_a <> label_b")
+        if near is not None:
+            pairs = pairs.where(near(F.col("hint_a"), F.col("hint_b")))
+        pairs = pairs.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = stored(pairs)
+        found = stored(verified(pairs))
+        if found.isEmpty():
+            # no progress: after a round without regard to links compare all that is left
+            seed = -1 if seed % 2 == 0 else seed + 1
+        else:
+            seed += 1
+            links = found if links is None else links.union(found)
+            label = stored(components(links))
+            open_ = open_.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        if every:
+            break
+        tested = pairs if tested is None else tested.union(pairs)
+    if label is None:
+        return shared.select("node", F.col("node").alias("label")).limit(0)
+    return label
+
+
 def packed(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Like `numbered`, with `text` as zstd bytes in `packed`: texts that are moved several times stay small.
 

@@ -5,11 +5,13 @@ indexed by (length, number, content); a line within `tau` edits of it must hold
 it probes the substrings that can still be that segment, for each length that is near enough. Candidates
 that also agree in their letter counts are verified with a banded bit-parallel edit distance. Linked lines
 form classes; the first line of a class stays, the others are removed from their documents.
+
+The lines of a key are compared with one of them in rounds, since classes need no more; only a caller that
+asks for the links of each line gets all pairs.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from turfspark.llm import words as W
 TAU = 2
 SHORT = 1  # empty lines are left alone
 FUZZY = 20  # shorter ones must be equal
-PASSES = 2  # parts of the keys that are joined one after the other, so that their shuffles share the disk
+PASSES = 1  # parts of the keys that are joined one after the other; each parses the texts again
 PIECE = 1 << 20
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -62,27 +64,29 @@ class Block:
         return (counts << (4 * np.arange(8))).sum(axis=1).astype(np.uint32).view(np.int32)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Block]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Block]]:
+    """Rows of each batch in blocks of about PIECE bytes, with their lines."""
     for batch in batches:
-        rows, texts, size = [], [], 0
-        for row, text in zip(batch.column("row").to_pylist(), common.unpacked(batch.column("packed")), strict=True):
-            rows.append(row)
+        begin, texts, size = 0, [], 0
+        for at, text in enumerate(common.unpacked(batch.column("packed")), 1):
             texts.append(text)
             size += len(text)
             if size >= PIECE:
-                yield np.array(rows, dtype=np.int64), Block(texts)
-                rows, texts, size = [], [], 0
-        if rows:
-            yield np.array(rows, dtype=np.int64), Block(texts)
+                yield batch.slice(begin, at - begin), Block(texts)
+                begin, texts, size = at, [], 0
+        if texts:
+            yield batch.slice(begin), Block(texts)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Row, place and hash of every line that takes part."""
+    """Row, id, place and hash of every line that takes part."""
     for rows, block in _blocks(batches):
         some = np.flatnonzero(block.end - block.start >= SHORT)
         h = block.hash(block.start[some], block.end[some]).view(np.int64)
+        owner = pa.array(block.owner[some])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows[block.owner[some]]), pa.array(block.place[some]), pa.array(h)], names=["row", "place", "line"]
+            [rows.column("row").take(owner), rows.column("doc_id").take(owner), pa.array(block.place[some]), pa.array(h)],
+            names=["row", "doc_id", "place", "line"],
         )
 
 
@@ -94,12 +98,12 @@ def segments(length: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     return k * base + extra, base + (k >= tau + 1 - longer)
 
 
-def _keys(tau: int, part: int = 0, parts: int = 1):
+def _keys(tau: int, probe: bool, part: int, parts: int):
     def tagged(length: np.ndarray, k: int, h: np.ndarray) -> np.ndarray:
         return W.mix(h ^ W.mix(length.astype(U64) * U64(64) + U64(k)))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Index entries and probes of the different lines of each block, of one part of the keys."""
+        """Index entries or probes of the different lines of each block, of one part of the keys."""
         for _, block in _blocks(batches):
             some = np.flatnonzero(block.end - block.start >= FUZZY)
             line = block.hash(block.start[some], block.end[some])
@@ -109,33 +113,28 @@ def _keys(tau: int, part: int = 0, parts: int = 1):
             letters = block.letters(some)
             out = []
 
-            def add(h: np.ndarray, line: np.ndarray, letters: np.ndarray, probe: bool) -> None:
-                own = h % U64(parts) == U64(part)
-                out.append((h[own], line[own], letters[own], probe))
+            def add(h: np.ndarray, line: np.ndarray, letters: np.ndarray) -> None:
+                own = slice(None) if parts == 1 else h % U64(parts) == U64(part)
+                out.append((h[own], line[own], letters[own]))
 
-            begin, width = segments(size, tau)
-            for k in range(tau + 1):
-                a = start + begin[k]
-                add(tagged(size, k, block.hash(a, a + width[k])), line, letters, False)
-            for less in range(tau + 1):  # the indexed line is so much shorter
+            for less in range(tau + 1 if probe else 1):  # the indexed line is so much shorter
                 begin, width = segments(size - less, tau)
                 for k in range(tau + 1):
-                    low = np.maximum(-k, less - (tau - k))
-                    high = np.minimum(k, less + (tau - k))
+                    low = max(-k, less - (tau - k)) if probe else 0
+                    high = min(k, less + (tau - k)) if probe else 0
                     for shift in range(low, high + 1):
                         a = begin[k] + shift
                         fits = (a >= 0) & (a + width[k] <= size)
                         a = start[fits] + a[fits]
                         h = tagged(size[fits] - less, k, block.hash(a, a + width[k][fits]))
-                        add(h, line[fits], letters[fits], True)
+                        add(h, line[fits], letters[fits])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([o[0] for o in out]).view(np.int64)),
                     pa.array(np.concatenate([o[1] for o in out]).view(np.int64)),
                     pa.array(np.concatenate([o[2] for o in out])),
-                    pa.array(np.concatenate([np.full(len(o[0]), o[3]) for o in out])),
                 ],
-                names=["key", "line", "letters", "probe"],
+                names=["key", "line", "letters"],
             )
 
     return keys
@@ -224,17 +223,19 @@ def _verify(tau: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column("body_a").to_pylist(), batch.column("body_b").to_pylist()
-            at, parts = 0, [np.zeros(0, dtype=np.int64)]
-            while at < len(left):
-                to, size = at, 0
-                while to < len(left) and (size + len(left[to]) < PIECE * 4 or to == at):
-                    size += len(left[to])
+            size = np.array([max(len(a), len(b)) for a, b in zip(left, right, strict=True)], dtype=np.int64)
+            order = np.argsort(size, kind="stable")
+            edits = np.zeros(len(left), dtype=np.int64)
+            at = 0
+            while at < len(order):
+                # pairs of similar length together: each is padded to the longest of its group
+                to = at + 1
+                while to < len(order) and (to + 1 - at) * int(size[order[to]]) <= PIECE * 4:
                     to += 1
-                parts.append(edit_distances(left[at:to], right[at:to], tau))
+                some = order[at:to]
+                edits[some] = edit_distances([left[i] for i in some], [right[i] for i in some], tau)
                 at = to
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(np.concatenate(parts))], names=["a", "b", "edits"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(edits)], names=["a", "b", "edits"])
 
     return verify
 
@@ -254,85 +255,120 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _candidates(rows: DataFrame, tau: int, part: int) -> DataFrame:
-    """(a, b): pairs of different lines that hold one key of this part and have near letter counts."""
-    entries = rows.select("row", "packed").mapInArrow(
-        _keys(tau, part, PASSES), "key long, line long, letters int, probe boolean"
-    )
-    index = entries.where(~F.col("probe")).groupBy("key", F.col("line").alias("b")).agg(F.min("letters").alias("letters_b"))
-    probes = entries.where("probe").select("key", F.col("line").alias("a"), F.col("letters").alias("letters_a"))
-    near = (F.col("a") != F.col("b")) & (letter_distance(F.col("letters_a"), F.col("letters_b")) <= 2 * tau)
-    pairs = probes.join(index, "key").where(near)
-    return common.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+def _entries(rows: DataFrame, tau: int, part: int, probe: bool) -> DataFrame:
+    return rows.select("row", "packed").mapInArrow(_keys(tau, probe, part, PASSES), "key long, line long, letters int")
 
 
-def links(rows: DataFrame, first: DataFrame, tau: int = TAU) -> DataFrame:
-    """(a, b): hashes of different lines within `tau` edits. `first` has line, head (row, place)."""
-    pairs = None
-    for part in range(PASSES):
-        found = _candidates(rows, tau, part)
-        pairs = found if pairs is None else pairs.union(found)
-        # the shuffles of a pass go with their last reference
-        gc.collect()
-        rows.sparkSession._jvm.System.gc()
-    pairs = common.cut(pairs.distinct())
-    some = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
+def _near(tau: int):
+    return lambda a, b: letter_distance(a, b) <= 2 * tau
+
+
+def _bodies(rows: DataFrame, some: DataFrame, first: DataFrame) -> DataFrame:
+    """(line, body) of the lines in `some`, stored."""
     where = (
-        some.join(first, "line")
+        first.join(some.select("line").distinct(), "line")
         .groupBy("head.row")
         .agg(F.collect_list(F.struct("line", F.col("head.place").alias("place"))).alias("some"))
     )
-    bodies = common.stored(
-        rows.join(where, "row").select("packed", "some").mapInArrow(_texts, "line long, body string")
-    )
+    joined = rows.select("row", "packed").join(common.stored(where), "row")
+    return common.stored(joined.select("packed", "some").mapInArrow(_texts, "line long, body string"))
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame, tau: int) -> DataFrame:
     joined = pairs.join(bodies.select(F.col("line").alias("a"), F.col("body").alias("body_a")), "a").join(
         bodies.select(F.col("line").alias("b"), F.col("body").alias("body_b")), "b"
     )
-    return joined.mapInArrow(_verify(tau), "a long, b long, edits long").where(F.col("edits") <= tau).select("a", "b")
+    near = joined.select("a", "b", "body_a", "body_b").mapInArrow(_verify(tau), "a long, b long, edits long")
+    return near.where(F.col("edits") <= tau).select("a", "b")
+
 
+def links(rows: DataFrame, first: DataFrame, tau: int = TAU) -> DataFrame:
+    """(a, b): hashes of all different lines within `tau` edits. `first` has line, head (row, place)."""
+    pairs = None
+    for part in range(PASSES):
+        index = _entries(rows, tau, part, False).groupBy("key", F.col("line").alias("b")).agg(F.min("letters").alias("lb"))
+        probes = _entries(rows, tau, part, True).select("key", F.col("line").alias("a"), F.col("letters").alias("la"))
+        found = probes.join(index, "key").where(F.col("a") != F.col("b")).where(_near(tau)(F.col("la"), F.col("lb")))
+        found = common.stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        pairs = found if pairs is None else pairs.union(found)
+    pairs = common.stored(pairs.distinct())
+    some = pairs.select(F.col("a").alias("line")).union(pairs.select("b"))
+    return _verified(pairs, _bodies(rows, some, first), tau)
+
+
+def _shared(rows: DataFrame, tau: int, part: int) -> DataFrame:
+    """(band, node, hint): keys that one line is indexed by and another one probes, with all their lines.
+
+    Every index entry is among the probes of its line too. So it takes one indexed line per key to find
+    the keys that count, whatever the number of their lines, and a probe is joined with one row at most.
+    """
+    entry = F.struct("line", "letters")
+    index = _entries(rows, tau, part, False).groupBy("key").agg(F.min(entry).alias("low"), F.max("line").alias("high"))
+    hits = _entries(rows, tau, part, True).join(index, "key").where("line <> low.line or line <> high")
+    hits = common.stored(hits.select("key", "line", "letters", "low"))
+    own = hits.select("key", "line", "letters")
+    every = own.union(hits.select("key", "low.line", "low.letters")).distinct()
+    return every.select(F.col("key").alias("band"), F.col("line").alias("node"), F.col("letters").alias("hint"))
+
+
+def classes(rows: DataFrame, first: DataFrame, tau: int = TAU) -> DataFrame:
+    """(line, label): classes of different lines that links of at most `tau` edits join. `first` as in `links`."""
+    shared = None
+    for part in range(PASSES):
+        found = _shared(rows, tau, part)
+        shared = found if shared is None else shared.union(found)
+    shared = common.distinct_buckets(shared)
+    bodies = _bodies(rows, shared.select(F.col("node").alias("line")), first)
+    label = common.bucket_classes(shared, lambda pairs: _verified(pairs, bodies, tau), _near(tau))
+    return label.withColumnRenamed("node", "line")
 
-def line_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = TAU) -> DataFrame:
-    """One row per input row: row, doc_id, n_lines, n_removed, n_links, text (without the removed lines).
+
+def line_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = TAU, degrees: bool = True) -> DataFrame:
+    """One row per input row: row, doc_id, n_lines, n_removed, n_links or n_alike, text (without the removed lines).
 
     Lines are what stands between line feeds. Those of SHORT characters or more that are equal to, or (from
     FUZZY characters on) linked by at most `tau` edits with, a line of a smaller doc_id (null ids last, then
-    the order of rows and lines) are removed; links may go over several lines. n_links counts the links of
-    the row's lines to different lines. Null texts become empty; empty texts have no lines. Lines are told
-    apart by 64-bit hashes. Other columns are not read; an empty table gives no rows.
+    the order of rows and lines) are removed; links may go over several lines. With `degrees` n_links counts
+    the links of the row's lines to different lines, which makes as many pairs as there are links; without,
+    n_alike counts the other different lines in the classes of the row's lines, and pairs are compared in
+    rounds. Null texts become empty; empty texts have no lines. A very long line is compared by itself, in
+    memory of some 20 bytes a character. Lines are told apart by 64-bit hashes. Other columns are not read;
+    an empty table gives no rows.
     """
-    return decide(common.packed(docs, doc_id=doc_id, text=text), tau)
+    return decide(common.packed(docs, doc_id=doc_id, text=text), tau, degrees)
 
 
-def decide(rows: DataFrame, tau: int = TAU) -> DataFrame:
+def decide(rows: DataFrame, tau: int = TAU, degrees: bool = False) -> DataFrame:
     """`line_duplicates` of rows that are packed already (row, doc_id, packed)."""
-    lines = rows.select("row", "packed").mapInArrow(_lines, "row long, place long, line long")
-    lines = common.stored(lines)
-    ids = rows.select("row", "doc_id")
+    kind = dict(rows.dtypes)["doc_id"]
     order = F.struct(
         F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row"), F.col("place")
     )
-    placed = common.stored(lines.join(ids, "row").select("line", order.alias("head")))
+    lines = rows.select("row", "doc_id", "packed").mapInArrow(_lines, f"row long, doc_id {kind}, place long, line long")
+    placed = common.stored(lines.select("line", order.alias("head")))
     first = common.stored(placed.groupBy("line").agg(F.min("head").alias("head"), F.count(F.lit(1)).alias("n")))
-    linked = common.cut(links(rows, first, tau))
-    both = linked.union(linked.select(F.col("b"), F.col("a")))
-    degree = both.groupBy(F.col("a").alias("line")).agg(F.count(F.lit(1)).alias("links"))
-    label = common.components(linked).withColumnRenamed("node", "line")
-    classes = label.join(degree, "line")
-    named = first.join(classes, "line", "left").withColumn("class", F.coalesce("label", "line"))
-    heads = named.groupBy("class").agg(F.min("head").alias("first"), F.sum("n").alias("lines")).where("lines > 1")
-    found = common.cut(
-        named.join(heads, "class").select("line", "first", F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    if degrees:
+        linked = common.stored(links(rows, first, tau))
+        both = linked.union(linked.select(F.col("b"), F.col("a")))
+        degree = both.groupBy(F.col("a").alias("line")).agg(F.count(F.lit(1)).alias("links"))
+        label = common.stored(common.components(linked).withColumnRenamed("node", "line").join(degree, "line"))
+    else:
+        label = classes(rows, first, tau)
+    named = common.stored(first.join(label, "line"))
+    heads = named.groupBy("label").agg(F.min("head").alias("first"), (F.count(F.lit(1)) - 1).alias("others"))
+    grouped = named.join(heads, "label").select("line", "first", "links" if degrees else F.col("others").alias("links"))
+    alone = first.where("n > 1").join(label.select("line"), "line", "left_anti")
+    found = common.stored(grouped.union(alone.select("line", "head", F.lit(0).cast("long"))))
     # only lines of classes of two or more get this far
     hits = placed.join(found, "line").select("head", "first", "links")
     gone = F.when(F.col("head") != F.col("first"), F.col("head.place"))
     by_row = hits.groupBy("head.row").agg(F.collect_list(gone).alias("places"), F.sum("links").alias("n_links"))
-    joined = rows.join(by_row, "row", "left")
-    stripped = joined.select("row", "doc_id", "n_links", "packed", "places")
-    kind = dict(rows.dtypes)["doc_id"]
-    return stripped.mapInArrow(
+    joined = rows.join(common.stored(by_row), "row", "left")
+    stripped = joined.select("row", "doc_id", "n_links", "packed", "places").mapInArrow(
         _with_columns(_strip), f"row long, doc_id {kind}, n_links long, n_lines long, n_removed long, text string"
-    ).select("row", "doc_id", "n_lines", "n_removed", F.coalesce("n_links", F.lit(0)).alias("n_links"), "text")
+    )
+    number = F.coalesce("n_links", F.lit(0)).alias("n_links" if degrees else "n_alike")
+    return stripped.select("row", "doc_id", "n_lines", "n_removed", number, "text")
 
 
 def _with_columns(step):
