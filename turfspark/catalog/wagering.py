@@ -150,9 +150,7 @@ def dated_pairs(t: Tables) -> DataFrame:
 
 
 def candidates(t: Tables) -> DataFrame:
-    return wager.candidates(
-        wager.with_strategies(dated_pairs(t), STRATEGIES), wager.latest_pair_odds(wide_log(t))
-    )
+    return wager.candidates(dated_pairs(t), wager.latest_pair_odds(wide_log(t)), STRATEGIES)
 
 
 def settled(t: Tables) -> DataFrame:

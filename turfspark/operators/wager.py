@@ -7,6 +7,7 @@ daily cap; a strategy is a row of parameters and every step is keyed by it.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from turfspark.functions import market as M
 from turfspark.functions import scalars as S
 from turfspark.operators import skew
-from turfspark.session import materialize
+from turfspark.session import stored
 
 # fixed values: default wager rules
 DEFAULTS = {
@@ -57,9 +58,17 @@ def _rules(df: DataFrame) -> DataFrame:
     return df if STRATEGY in df.columns else with_strategies(df, [{}])
 
 
-def candidates(pair: DataFrame, odds: DataFrame) -> DataFrame:
-    """Priced pairs that pass the probability floor and the expected-profit threshold."""
-    priced = _rules(pair).join(odds, ["race_id", "kumiban"])
+def candidates(
+    pair: DataFrame, odds: DataFrame, strategies: Sequence[Mapping[str, object]] | None = None
+) -> DataFrame:
+    """Priced pairs that pass the probability floor and the expected-profit threshold.
+
+    With `strategies` each pair is priced once and then repeated per strategy, so the join moves no copies.
+    """
+    if strategies is not None:
+        priced = with_strategies(pair.join(odds, ["race_id", "kumiban"]), strategies)
+    else:
+        priced = _rules(pair).join(odds, ["race_id", "kumiban"])
     early = F.col("min_p_stage") == "candidate"
     floor = F.col("min_p") > 0
     return priced.withColumn("ev_profit", M.expected_profit(F.col("p_wide"), F.col("odds"))).filter(
@@ -94,7 +103,8 @@ def race_stakes(rows: DataFrame, *, most: int | None = None) -> DataFrame:
         .filter(F.col("bet") >= F.col("min_bet"))
     )
     cap = M.floor_to_unit(F.col("bankroll") * F.col("race_cap"), F.col("unit"))
-    total = skew.attach_group(staked, group, _total=F.sum("bet")).withColumn("_cap", cap)
+    # the partition of the ranking: no other shuffle
+    total = staked.withColumn("_total", F.sum("bet").over(Window.partitionBy(*group))).withColumn("_cap", cap)
     return scale_to(total.filter("_cap > 0"), "_total", "_cap").drop("_rn", "_total", "_cap")
 
 
@@ -140,57 +150,64 @@ def daily_cap(bets: DataFrame) -> DataFrame:
     first race over the cap is scaled down. After it, each round finds the next
     race of every day that still takes something as a minimum, and no day is
     ever gathered in one place. Rounds end when no race takes anything: without
-    a late floor what is left is less than a unit per bet, so there are few. The
-    state between them is a checkpoint of one row per strategy and day.
+    a late floor what is left is less than a unit per bet, so there are few.
+
+    A race is stored once as one row with its bets (99 runners at most, so 4,851 pairs); nothing else moves
+    bets. A round reads the sums of these rows; its state is one stored row per strategy and day. Bets
+    without a strategy, date or race are left out.
     """
     day = [STRATEGY, "race_date"]
     race = [*day, "race_id"]
     rules = ["bankroll", "day_cap", "unit", "min_bet"]
     floored = "min_p_stage" in bets.columns
     passes = F.coalesce(_passes(), F.lit(False)) if floored else F.lit(True)
-    bets = materialize(bets)
-    races = bets.groupBy(*race, *rules).agg(
-        F.sum("bet").alias("_total"),
-        F.coalesce(F.sum(F.when(passes, F.col("bet"))), F.lit(0)).cast("bigint").alias("_uses"),
-        F.sort_array(F.collect_list(F.struct("bet", passes.alias("passes")))).alias("_bets"),
-    )
+    others = [c for c in bets.columns if c not in (*race, *rules)]
     cap = M.floor_to_unit(F.col("bankroll") * F.col("day_cap"), F.col("unit"))
-    races = materialize(races.withColumn("_cap", cap))
-    before = skew.running_sums(races, day, "race_id", _before=F.sum("_uses"))
-    placed = races.join(before, race)
+    races = stored(
+        bets.dropna(subset=race)
+        .groupBy(*race, *rules)
+        .agg(
+            F.sum("bet").alias("_total"),
+            F.coalesce(F.sum(F.when(passes, F.col("bet"))), F.lit(0)).cast("bigint").alias("_uses"),
+            F.collect_list(F.struct("bet", passes.alias("passes"))).alias("_bets"),
+            F.collect_list(F.struct(*others)).alias("_rows"),
+        )
+        .withColumn("_cap", cap)
+    )
+    slim = races.select(*race, "_total", "_uses", "_cap")
+    placed = skew.attach_running_sums(slim, day, "race_id", _before="_uses")
     fits = F.col("_before") + F.col("_total") <= F.col("_cap")
     # first race of the day that does not fit as it is
-    first = placed.filter(~fits).groupBy(*day).agg(
-        F.min_by(F.struct("race_id", "_before", "_cap"), F.col("race_id")).alias("_f")
-    )
-    state = first.select(
-        *day,
-        (F.col("_f.race_id") - 1).alias("_at"),
-        (F.col("_f._cap") - F.col("_f._before")).alias("_left"),
-    )
-    whole = placed.join(first.select(*day, F.col("_f.race_id").alias("_from")), day, "left")
-    kept = whole.filter(F.col("_from").isNull() | (F.col("race_id") < F.col("_from"))).select(
-        *race, F.col("_total").alias("_room")
+    first = stored(
+        placed.filter(~fits)
+        .groupBy(*day)
+        .agg(F.min_by(F.struct("race_id", "_before", "_cap"), F.col("race_id")).alias("_f"))
+        .select(*day, F.col("_f.race_id").alias("_from"), (F.col("_f._cap") - F.col("_f._before")).alias("_left"))
     )
-    late = whole.filter(F.col("race_id") >= F.col("_from")).drop("_from", "_before", "_cap")
-    late, state = materialize(late), materialize(state)
+    state = first.select(*day, (F.col("_from") - 1).alias("_at"), "_left")
+    rounds = []
     while True:
-        open_races = late.join(state, day).filter(F.col("race_id") > F.col("_at"))
+        open_races = races.drop("_rows").join(state, day).filter(F.col("race_id") > F.col("_at"))
         taking = open_races.withColumn("_take", _placed(F.col("_left"))).filter("_take > 0")
-        nearest = materialize(
+        nearest = stored(
             taking.groupBy(*day)
             .agg(F.min_by(F.struct("race_id", "_take", "_left"), F.col("race_id")).alias("_n"))
             .select(*day, "_n.*")
         )
         if nearest.isEmpty():
             break
-        kept = kept.unionByName(nearest.select(*race, F.col("_left").alias("_room")))
+        rounds.append(nearest.select(*race, F.col("_left").alias("_room")))
         state = nearest.select(
             *day, F.col("race_id").alias("_at"), (F.col("_left") - F.col("_take")).alias("_left")
         )
-    totals = races.select(*race, "_total")
-    fitted = bets.join(kept.join(totals, race), race)
-    scaled = scale_to(fitted, "_total", "_room").drop("_total", "_room")
+    whole = races.join(first.select(*day, "_from"), day, "left")
+    early = F.col("_from").isNull() | (F.col("race_id") < F.col("_from"))
+    kept = whole.filter(early).withColumn("_room", F.col("_total"))
+    if rounds:
+        late = whole.filter(~early).join(reduce(DataFrame.unionByName, rounds), race)
+        kept = kept.unionByName(late)
+    fitted = kept.select(*race, *rules, "_total", "_room", F.inline("_rows"))
+    scaled = scale_to(fitted, "_total", "_room").drop("_total", "_room").select(*race, *[c for c in bets.columns if c not in race])
     return selected_floor(scaled) if floored else scaled
 
 

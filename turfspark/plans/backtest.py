@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turfspark import constants as C
 from turfspark.operators import wager
-from turfspark.session import materialize
+from turfspark.session import stored
 
 
 def settled_bets(
@@ -26,9 +26,7 @@ def settled_bets(
     odds log; `payouts` the payout table, of which the pair bets are used.
     """
     most = [int(s.get("max_bets", wager.DEFAULTS["max_bets"])) for s in strategies]
-    priced = wager.candidates(
-        wager.with_strategies(pair, strategies), wager.latest_pair_odds(odds)
-    )
+    priced = wager.candidates(pair, wager.latest_pair_odds(odds), strategies)
     bets = wager.race_stakes(priced, most=max(most) if min(most) > 0 else None)
     # the daily cap applies the floor of chosen bets itself, race by race
     bets = wager.daily_cap(bets) if cap_days else wager.selected_floor(bets)
@@ -38,7 +36,7 @@ def settled_bets(
             "selection", "kumiban"
         )
     # the ledger feeds every report
-    return materialize(wager.settle(bets, paid))
+    return stored(wager.settle(bets, paid))
 
 
 def report(settled: DataFrame, considered: DataFrame | None = None) -> dict[str, DataFrame]:
