@@ -153,3 +153,14 @@ def test_query(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     found = catalog.QUERIES["op11_html_extraction"](spark, str(tmp_path)).collect()
     assert {(r.page_id, r.text) for r in found} == {(k, f"text {k}") for k in range(5)}
+
+
+def test_very_many_children_are_matched_like_few():
+    """A page of 4,900 pairs of children: the one node that moved doesn't hide the others."""
+
+    def page(labels):
+        return [[-1, "html", False, None, None, 1, 0, 0], *([0, name, False, None, None, 1, 5, 0] for name in labels)]
+
+    for n in (20, 70, 600):
+        moved = wrapper._Matching(page(["p"] * n + ["div"]), page(["div"] + ["p"] * n)).pairs
+        assert moved == {0: 0, **{k + 1: k for k in range(1, n + 1)}}

@@ -22,6 +22,7 @@ import json
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -34,7 +35,7 @@ CHUNK = 2_000_000  # characters of markup in a chunk; a longer page is alone
 FAN = 64  # trees of a host aligned by one task
 SEEN = 3  # different pages with one text at a node that make it part of the template
 LINKS = 0.6  # share of linked characters that makes a slot a menu
-WIDE = 4096  # pairs of children matched by dynamic programming; above it, in order
+STEP = 256  # rows of the matching of children kept at once; others are computed again from every STEPth
 
 _CHUNKS = (
     "chunk long, packed binary, pages array<struct<host:string,shape:string,tree:string,page:long,"
@@ -129,11 +130,18 @@ def _children(tree: Tree) -> list[list[int]]:
 
 
 class _Matching:
-    """Simple tree matching of two trees with equal roots: `pairs` maps nodes of `other` to nodes of `one`."""
+    """Simple tree matching of two trees with equal roots: `pairs` maps nodes of `other` to nodes of `one`.
+
+    Subtrees that no weight can tell apart are one kind, and kinds are compared once.
+    """
 
     def __init__(self, one: Tree, other: Tree):
         self.one, self.other = one, other
         self.below_one, self.below_other = _children(one), _children(other)
+        shared = {x[3] for x in one if x[3] == x[4]} & {y[3] for y in other if y[3] == y[4]}
+        kinds: dict[tuple, int] = {}
+        self.kind_one = _kinds(one, self.below_one, shared, kinds)
+        self.kind_other = _kinds(other, self.below_other, shared, kinds)
         self.sizes: dict[tuple[int, int], int] = {}
         self.pairs = {0: 0}
         waiting = [(0, 0)]
@@ -152,49 +160,70 @@ class _Matching:
 
     def size(self, a: int, b: int) -> int:
         """Weight of the best matching of the trees below a and b."""
-        if (a, b) not in self.sizes:
+        kinds = self.kind_one[a], self.kind_other[b]
+        if kinds not in self.sizes:
             own = self.alike(a, b)
             if own and self.below_one[a] and self.below_other[b]:
                 own += sum(self.size(x, y) for x, y in self.lined_up(a, b))
-            self.sizes[a, b] = own
-        return self.sizes[a, b]
+            self.sizes[kinds] = own
+        return self.sizes[kinds]
 
     def lined_up(self, a: int, b: int) -> list[tuple[int, int]]:
-        """Pairs of children in order, of the greatest weight together."""
+        """Pairs of children in order, of the greatest weight together.
+
+        Rows of the table are whole-array steps. Of two trees of very many children every STEPth row is kept, and the
+        rows between are computed again on the way back: memory in proportion to the children times their number / STEP.
+        """
         left, right = self.below_one[a], self.below_other[b]
-        if len(left) * len(right) > WIDE:
-            return self.in_order(left, right)
-        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-        for i, x in enumerate(left, 1):
-            for j, y in enumerate(right, 1):
-                found = self.size(x, y)
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + found)
+        if not left or not right:
+            return []
+        # one row of weights for each kind on the left, by the kinds on the right
+        first_left = {self.kind_one[x]: x for x in reversed(left)}
+        first_right = {self.kind_other[y]: y for y in reversed(right)}
+        place = {kind: k for k, kind in enumerate(first_right)}
+        at = np.fromiter((place[self.kind_other[y]] for y in right), np.int64, len(right))
+        weights = {
+            kind: np.fromiter((self.size(x, y) for y in first_right.values()), np.int64, len(first_right))
+            for kind, x in first_left.items()
+        }
+
+        def row(above: np.ndarray, x: int) -> np.ndarray:
+            new = np.zeros_like(above)
+            found = weights[self.kind_one[x]][at]
+            np.maximum.accumulate(np.maximum(above[1:], above[:-1] + found), out=new[1:])
+            return new
+
+        kept = [np.zeros(len(right) + 1, np.int64)]
+        last = kept[0]
+        for i, x in enumerate(left[: len(left) - (len(left) - 1) % STEP - 1], 1):
+            last = row(last, x)
+            if i % STEP == 0:
+                kept.append(last)
         pairs, i, j = [], len(left), len(right)
         while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((left[i], right[j]))
+            start = (i - 1) // STEP * STEP
+            best = [kept.pop()]
+            for x in left[start:i]:
+                best.append(row(best[-1], x))
+            while i > start and j:
+                if best[i - start][j] == best[i - start - 1][j]:
+                    i -= 1
+                elif best[i - start][j] == best[i - start][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    pairs.append((left[i], right[j]))
         return pairs[::-1]
 
-    def in_order(self, left: list[int], right: list[int]) -> list[tuple[int, int]]:
-        """For very many children: each child with the next one of its label, in time in proportion to both."""
-        places: dict[str, list[int]] = {}
-        for i, x in enumerate(left):
-            places.setdefault(self.one[x][1], []).append(i)
-        used, last, pairs = dict.fromkeys(places, 0), -1, []
-        for y in right:
-            label = self.other[y][1]
-            found = places.get(label, [])
-            while used.get(label, 0) < len(found) and found[used[label]] <= last:
-                used[label] += 1
-            if used.get(label, 0) < len(found) and self.alike(left[found[used[label]]], y):
-                last = found[used[label]]
-                pairs.append((left[last], y))
-        return pairs
+
+def _kinds(tree: Tree, below: list[list[int]], shared: set, kinds: dict[tuple, int]) -> list[int]:
+    """A number per node: nodes of one number have equal labels, shared texts and children of equal numbers."""
+    out = [0] * len(tree)
+    for k in range(len(tree) - 1, -1, -1):  # children come after their parent
+        _, label, away, low, high, *_ = tree[k]
+        text = low if low == high and low in shared else None
+        out[k] = kinds.setdefault((label, away, text, tuple(out[c] for c in below[k])), len(kinds))
+    return out
 
 
 def _added_up(x: list, y: list) -> list:
