@@ -119,3 +119,12 @@ def test_drawdown_of_a_day_with_all_bets(spark, limit, days):
         deepest[strategy] = fall
     bets = spark.createDataFrame(rows, f"{wager.STRATEGY} string, race_date date, race_id long, profit long")
     assert dict(wager.max_drawdown(bets.repartition(5), limit=limit).collect()) == deepest
+
+
+def test_rolling_sums_shuffle_rows_once_and_ticks_once(spark):
+    rows = [(1, 5, 2), (1, 5, None), (1, None, 4), (1, 15, 1), (2, 5, None), (1, 16, 8), (1, 10, 3)]
+    df = spark.createDataFrame(rows, "k long, t long, v long")
+    got = skew.rolling_sums(df, ["k"], "t", 10, s=F.sum("v"), n=F.count("*"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    want = {(1, None, 0, 0), (1, 5, 0, 0), (1, 10, 2, 2), (1, 15, 5, 3), (1, 16, 4, 2), (2, 5, None, 0)}
+    assert {tuple(r) for r in got.collect()} == want
