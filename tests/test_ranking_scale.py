@@ -46,3 +46,18 @@ def test_ranking_inputs_take_one_shuffle(spark):
     )
     plan = features.ranking_interactions(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_probabilities_of_a_race_without_lambdas(spark):
+    """Races are computed together, and a runner without a number is no pair with itself."""
+    rows = [(1, no, s) for no, s in zip([1, 2, None, 4, 5], [0.3, 0.1, -0.2, 1.4, 0.0], strict=True)]
+    rows += [(2, no, 0.1 * no) for no in range(1, 19)]
+    df = spark.createDataFrame(rows, "race_id long, horse_no int, s double")
+    single = ranking.top3_probabilities(df, "s")
+    pair = ranking.pair_probabilities(df, "s")
+    for frame in (single, pair):
+        assert "lambda" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    sums = {r.race_id: r.total for r in single.groupBy("race_id").agg(F.sum("p_top3").alias("total")).collect()}
+    assert np.allclose([sums[1], sums[2]], 3.0)
+    sums = {r.race_id: (r.n, r.total) for r in pair.groupBy("race_id").agg(F.count("*").alias("n"), F.sum("p_wide").alias("total")).collect()}
+    assert sums[1][0] == 10 and sums[2][0] == 153 and np.allclose([sums[1][1], sums[2][1]], 3.0)

@@ -17,6 +17,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ from turfspark.session import materialize, stored
 
 # two-digit runner numbers: pair keys and the work inside a race rest on this bound
 MOST_RUNNERS = 99
+PAIR_CELLS = 1 << 18  # pairs of runners that are computed at a time
 _NOTHING = float("-inf")
 Descent = Generator[list[float], tuple[float, list[float]], tuple[list[float], float, bool]]
 
@@ -57,112 +59,136 @@ def _bounded(size: Column, value: Column) -> Column:
     return F.when(size > MOST_RUNNERS, F.raise_error(F.lit(f"a race has more than {MOST_RUNNERS} runners"))).otherwise(value)
 
 
-def _log_add(a: Column, b: Column) -> Column:
-    high = F.greatest(a, b)
-    return F.when(high == _NOTHING, high).otherwise(high + F.log1p(F.exp(F.least(a, b) - high)))
+def _log_add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    high = np.maximum(a, b)
+    return np.where(high == _NOTHING, high, high + np.log1p(np.exp(np.fmin(a, b) - high)))
 
 
-def _log_less(total: Column, *parts: Column) -> Column:
+def _log_less(total: np.ndarray, *parts: np.ndarray) -> np.ndarray:
     """Log of a total without some of its parts; nothing left gives minus infinity."""
-    gone = F.lit(0.0)
-    for part in parts:
-        gone = gone + F.exp(part - total)
-    return F.when(gone < 1.0, total + F.log1p(-gone)).otherwise(F.lit(_NOTHING))
-
-
-def _log_total(terms: Column) -> Column:
-    """Log of the sum of powers of an array of logs."""
-    high = F.array_max(terms)
-    return high + F.ln(F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + F.exp(x - high)))
-
-
-def _rest_of_two(p1: Column, s1: Column, p2: Column, s2: Column, logs: Sequence[Column]) -> Column:
-    """Log of the weight of the race without two runners; places count from 0, `logs` are those without the top ones."""
-    top, second = F.least(p1, p2), F.greatest(p1, p2)
-    lighter = F.when(p1 > p2, s1).otherwise(s2)
-    return (
-        F.when((top == 0) & (second == 1), logs[2])
-        .when(top == 0, _log_less(logs[1], lighter))
-        .otherwise(_log_less(logs[0], s1, s2))
-    )
+    gone = sum((np.exp(part - total) for part in parts), 0.0)
+    return np.where(gone < 1.0, total + np.log1p(-np.where(gone < 1.0, gone, 0.0)), _NOTHING)
 
 
-_LOGS = ("_l0", "_l1", "_l2")
+def _log_total(terms: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+    """Log of the sum of powers along the last axis, of the terms to `keep`; minus infinity if there are none."""
+    if not terms.shape[-1]:
+        return np.full(terms.shape[:-1], _NOTHING)
+    terms = terms if keep is None else np.where(keep, terms, _NOTHING)
+    high = terms.max(axis=-1, keepdims=True)
+    return np.where(high == _NOTHING, high, high + np.log(np.exp(terms - high).sum(axis=-1, keepdims=True)))[..., 0]
 
 
-def _race_arrays(df: DataFrame, score: str) -> DataFrame:
-    """One row per race: its size, the logs of its totals without the top none, one and two, and its runners.
+class _Races:
+    """Races of one size, their scores (race, place) falling.
 
-    A runner has its number, place by score (from 0), score, the log of the weight without it, and the logs of two
-    totals over its rivals, the heaviest rival apart. Totals that leave out the heaviest runners are summed, not
-    subtracted, so a dominant score neither cancels nor hides the rest. A race is one array after one shuffle.
+    Totals that leave out the heaviest runners are summed, not subtracted, so a dominant score neither cancels nor
+    hides the rest. A runner has the log of the weight without it, and the logs of two totals over its rivals, the
+    heaviest rival apart.
     """
-    known = df.withColumn("_s", S.number(F.col(score))).filter(F.col("_s").isNotNull())
-    down = lambda a, b: (
-        F.when(a["s"] != b["s"], F.when(a["s"] > b["s"], -1).otherwise(1))
-        .otherwise(F.when(a["no"] < b["no"], -1).when(a["no"] > b["no"], 1).otherwise(0))
-    )
-    runner = F.struct(F.col("horse_no").alias("no"), F.col("_s").alias("s"))
-    races = known.groupBy("race_id").agg(F.count(F.lit(1)).alias("_n"), F.collect_list(runner).alias("_rows"))
-    placed = races.withColumn("_rows", _bounded(F.col("_n"), F.array_sort("_rows", down)))
-    scores = placed.withColumn("_w", F.transform("_rows", lambda r: r["s"]))
-    part = lambda k: F.slice("_w", k + 1, F.col("_n").cast("int"))
-    totals = scores.withColumns({f"_l{k}": F.coalesce(_log_total(part(k)), F.lit(_NOTHING)) for k in range(3)})
-    logs = [F.col(name) for name in _LOGS]
-    left = totals.withColumn(
-        "_rest", F.transform("_w", lambda x, i: F.when(i == 0, logs[1]).otherwise(_log_less(logs[0], x)))
-    )
 
-    after = F.transform("_w", lambda x, i: F.transform("_w", lambda y, k: y - _rest_of_two(i, x, k, y, logs)))
-    ahead = F.transform("_after", lambda terms: F.zip_with(terms, F.col("_rest"), lambda y, rest: y - rest))
-    full = left.withColumn("_after", after).withColumn("_ahead", ahead)
-
-    def about(row: Column, i: Column) -> Column:
-        heaviest = F.when(i == 0, 1).otherwise(0)
-        others = lambda name: F.filter(F.get(name, i), lambda _, k: (k != i) & (k != heaviest))
-        return F.struct(
-            row["no"].alias("no"), i.alias("pos"), row["s"].alias("s"), F.get("_rest", i).alias("rest"),
-            _log_total(others("_after")).alias("after"), F.get(F.get("_after", i), heaviest).alias("after_top"),
-            _log_total(others("_ahead")).alias("ahead"), F.get(F.get("_ahead", i), heaviest).alias("ahead_top"),
-        )
+    def __init__(self, s: np.ndarray) -> None:
+        n = s.shape[1]
+        self.s, self.n = s, n
+        self.logs = [_log_total(s[:, k:])[:, None] for k in range(3)]
+        self.rest = _log_less(self.logs[0], s)
+        self.rest[:, :1] = self.logs[1]
+        one, two = np.divmod(np.arange(n * n), n)
+        left = self.without(one, two).reshape(-1, n, n)
+        after = s[:, None, :] - left
+        ahead = after - self.rest[:, None, :]
+        top = np.where(np.arange(n) == 0, min(1, n - 1), 0)  # the heaviest rival of each place
+        others = np.ones((n, n), dtype=bool)
+        others[np.arange(n), np.arange(n)] = others[np.arange(n), top] = False
+        self.totals = [
+            (_log_total(terms, others), np.take_along_axis(terms, np.broadcast_to(top[None, :, None], (len(s), n, 1)), 2)[..., 0])
+            for terms in (after, ahead)
+        ]
 
-    return full.select("race_id", "_n", *_LOGS, F.transform("_rows", about).alias("_m"))
+    def without(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Log of the weight of the race without two runners, for pairs of places: the same in all races."""
+        top, second = np.minimum(one, two), np.maximum(one, two)
+        out = _log_less(self.logs[0], self.s[:, one], self.s[:, two])
+        led = top == 0
+        out[:, led] = _log_less(self.logs[1], self.s[:, second[led]])
+        out[:, led & (second == 1)] = self.logs[2]
+        return out
+
+    def both_in_three(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Probability that both runners come in the first three, for pairs of places (race, pair)."""
+        if self.n <= 3:
+            return np.ones((len(self.s), len(one)))
+        sides = [(one, two), (two, one)]
+        s_one, s_two = self.s[:, one], self.s[:, two]
+        left = self.without(one, two)
+
+        def less(which: int, own: np.ndarray, other: np.ndarray, term: np.ndarray) -> np.ndarray:
+            """A runner's total over its rivals, without the other member of the pair."""
+            total, top = (values[:, own] for values in self.totals[which])
+            is_top = other == np.where(own == 0, 1, 0)
+            return np.where(is_top, total, _log_add(_log_less(total, term), top))
+
+        stages = [-self.rest[:, own] for own, _ in sides]
+        stages += [less(0, own, other, self.s[:, other] - left) - self.rest[:, own] for own, other in sides]
+        stages += [less(1, own, other, self.s[:, other] - left - self.rest[:, own_rest]) for (own, other), own_rest in zip(sides, (two, one), strict=True)]
+        p = 0.0
+        for stage in stages:
+            p = p + np.exp(s_one + s_two - self.logs[0] + stage)
+        return np.fmin(np.maximum(p, 0.0), 1.0)
+
+
+def _by_size(scores: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Races of one size at a time, no more than fit in PAIR_CELLS: their places in the batch, runners and scores."""
+    sizes = scores.value_lengths().to_numpy(zero_copy_only=False)
+    first = np.cumsum(sizes) - sizes
+    flat = scores.flatten().to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes[sizes > 0]):
+        all_ = np.flatnonzero(sizes == size)
+        step = max(1, PAIR_CELLS // int(size * size))
+        for at in range(0, len(all_), step):
+            races = all_[at : at + step]
+            runners = first[races][:, None] + np.arange(size)
+            yield races, runners, flat[runners]
+
+
+def _pair_lists(numbers: pa.Array, scores: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+    """Pairs of runners of each race: race, both numbers (the lower one first) and probability, races in order."""
+    no = numbers.flatten()
+    parts = []
+    for races, runners, s in _by_size(scores):
+        one, two = np.triu_indices(s.shape[1], 1)
+        if not len(one):
+            continue
+        a, b = runners[:, one].ravel(), runners[:, two].ravel()
+        ordered = pc.fill_null(pc.less_equal(no.take(pa.array(a)), no.take(pa.array(b))), False)
+        ordered = ordered.to_numpy(zero_copy_only=False).reshape(len(races), -1)
+        with np.errstate(all="ignore"):
+            field = _Races(s)
+            p = field.both_in_three(one, two)
+            if not ordered.all():
+                p = np.where(ordered, p, field.both_in_three(two, one))
+        flip = ~ordered.ravel()
+        parts.append((np.repeat(races, len(one)), np.where(flip, b, a), np.where(flip, a, b), p.ravel()))
+    if not parts:
+        parts = [(np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0),)]
+    race, a, b, p = (np.concatenate(v) for v in zip(*parts, strict=True))
+    order = np.argsort(race, kind="stable")
+    return race[order], no.take(pa.array(a[order])), no.take(pa.array(b[order])), p[order]
+
+
+def _as_lists(race: np.ndarray, races: int, fields: dict[str, pa.Array]) -> pa.ListArray:
+    """One list of structs per race of the batch."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(race, minlength=races))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
 
-def _pair_rows(races: DataFrame, *, alone: bool = False) -> DataFrame:
-    """Every pair of a race as structs `_a` and `_b`, the lower number first; with `alone` every runner with itself too."""
-    first = 1 if alone else 2
-    pair = lambda a, b: F.struct(
-        F.when(a["no"] <= b["no"], a).otherwise(b).alias("_a"), F.when(a["no"] <= b["no"], b).otherwise(a).alias("_b")
-    )
-    count = F.size("_m")
-    both = F.flatten(F.transform("_m", lambda a, i: F.transform(F.slice("_m", i + first, count), lambda b: pair(a, b))))
-    return races.select("race_id", "_n", *_LOGS, F.inline(both))
-
-
-def _both_in_three(rows: DataFrame) -> DataFrame:
-    """Rows of `_pair_rows` with `_p`, the probability that both runners come in the first three."""
-    a, b, r2 = F.col("_a"), F.col("_b"), F.col("_r2")
-    left = _rest_of_two(a["pos"], a["s"], b["pos"], b["s"], [F.col(name) for name in _LOGS])
-
-    def without(total: str, own: Column, other: Column, term: Column) -> Column:
-        """A runner's total over its rivals, without the other member of the pair."""
-        is_top = other["pos"] == F.when(own["pos"] == 0, 1).otherwise(0)
-        return F.when(is_top, own[total]).otherwise(_log_add(_log_less(own[total], term), own[f"{total}_top"]))
-
-    stages = (
-        -a["rest"],
-        -b["rest"],
-        without("after", a, b, b["s"] - r2) - a["rest"],
-        without("after", b, a, a["s"] - r2) - b["rest"],
-        without("ahead", a, b, b["s"] - r2 - b["rest"]),
-        without("ahead", b, a, a["s"] - r2 - a["rest"]),
-    )
-    p = F.lit(0.0)
-    for k in range(len(stages)):
-        p = p + F.exp(a["s"] + b["s"] - F.col("_l0") + F.col(f"_t{k}"))
-    staged = rows.withColumn("_r2", left).withColumns({f"_t{k}": stage for k, stage in enumerate(stages)})
-    return staged.withColumn("_p", F.when(F.col("_n") <= 3, F.lit(1.0)).otherwise(M.clip(p, 0.0, 1.0)))
+def _race_arrays(df: DataFrame, score: str) -> DataFrame:
+    """One row per race after one shuffle: the numbers of its runners and their scores, falling; equal ones by number."""
+    known = df.withColumn("_s", S.number(F.col(score))).filter(F.col("_s").isNotNull())
+    runner = F.struct((-F.col("_s")).alias("s"), F.col("horse_no").alias("no"))
+    races = known.groupBy("race_id").agg(F.count(F.lit(1)).alias("_n"), F.collect_list(runner).alias("_rows"))
+    placed = races.withColumn("_rows", _bounded(F.col("_n"), F.sort_array("_rows")))
+    return placed.select("race_id", F.col("_rows.no").alias("_no"), F.col("_rows.s").alias("_s"))
 
 
 def pair_probabilities(df: DataFrame, score: str) -> DataFrame:
@@ -171,34 +197,60 @@ def pair_probabilities(df: DataFrame, score: str) -> DataFrame:
     The sum over the third runner needs two totals per runner, each over its
     rivals; the heaviest rival is kept apart in them so that taking one rival
     out again never cancels. Work and rows are quadratic in the field, as the
-    output is; everything after the one shuffle by race is narrow. With three
-    runners or fewer every pair is certain.
+    output is; everything after the one shuffle by race is narrow, and races of
+    a size are computed together. With three runners or fewer every pair is certain.
     """
-    one, two = F.col("_a.no"), F.col("_b.no")
-    return _both_in_three(_pair_rows(_race_arrays(df, score))).select(
-        "race_id",
-        one.alias("horse_no_1"),
-        two.alias("horse_no_2"),
-        S.pair_key(one, two).alias("kumiban"),
-        F.col("_p").alias("p_wide"),
+    kind = df.schema["horse_no"].dataType.simpleString()
+
+    @F.arrow_udf(f"array<struct<horse_no_1: {kind}, horse_no_2: {kind}, p_wide: double>>")
+    def pairs_of(numbers: pa.Array, scores: pa.Array) -> pa.Array:
+        race, one, two, p = _pair_lists(numbers, _negated(scores))
+        return _as_lists(race, len(numbers), {"horse_no_1": one, "horse_no_2": two, "p_wide": pa.array(p)})
+
+    rows = _race_arrays(df, score).select("race_id", F.inline(pairs_of("_no", "_s")))
+    return rows.select(
+        "race_id", "horse_no_1", "horse_no_2", S.pair_key(F.col("horse_no_1"), F.col("horse_no_2")).alias("kumiban"), "p_wide"
     )
 
 
 def top3_probabilities(df: DataFrame, score: str) -> DataFrame:
     """Exact probability of a first-three finish; a runner in the first three makes two pairs.
 
-    Pairs are added up per runner where their race already is.
+    Pairs are added up per runner where their race already is; rows of one number count as one runner, and pairs
+    within it don't count.
     """
-    rows = _both_in_three(_pair_rows(_race_arrays(df, score), alone=True))
-    own = F.col("_a.no") == F.col("_b.no")
-    ends = rows.select(
-        "race_id",
-        "_n",
-        F.when(own, 0.0).otherwise(F.col("_p")).alias("_p"),
-        F.explode(F.when(own, F.array("_a.no")).otherwise(F.array("_a.no", "_b.no"))).alias("horse_no"),
-    )
-    sums = ends.groupBy("race_id", "horse_no").agg(F.max("_n").alias("_n"), (F.sum("_p") / 2.0).alias("_half"))
-    return sums.select("race_id", "horse_no", F.when(F.col("_n") <= 3, F.lit(1.0)).otherwise(F.col("_half")).alias("p_top3"))
+    kind = df.schema["horse_no"].dataType.simpleString()
+
+    @F.arrow_udf(f"array<struct<horse_no: {kind}, p_top3: double>>")
+    def singles_of(numbers: pa.Array, scores: pa.Array) -> pa.Array:
+        no = numbers.flatten()
+        codes = no.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        known = no.is_valid().to_numpy(zero_copy_only=False)
+        half = np.zeros(len(no))
+        for _, runners, s in _by_size(_negated(scores)):
+            if s.shape[1] <= 3:
+                half[runners] = 1.0
+                continue
+            one, two = np.triu_indices(s.shape[1], 1)
+            with np.errstate(all="ignore"):
+                p = _Races(s).both_in_three(one, two)
+            twice = (codes[runners[:, one]] == codes[runners[:, two]]) & known[runners[:, one]]
+            grid = np.zeros((len(s), s.shape[1], s.shape[1]))
+            grid[:, one, two] = grid[:, two, one] = np.where(twice, 0.0, p)
+            half[runners] = grid.sum(axis=2) / 2.0
+        sizes = numbers.value_lengths().to_numpy(zero_copy_only=False)
+        race = np.repeat(np.arange(len(sizes)), sizes)
+        _, first, own = np.unique(race * (len(no) + 1) + codes, return_index=True, return_inverse=True)
+        certain = sizes[race[first]] <= 3
+        p = np.where(certain, 1.0, np.bincount(own, weights=half, minlength=len(first)))
+        return _as_lists(race[first], len(sizes), {"horse_no": no.take(pa.array(first)), "p_top3": pa.array(p)})
+
+    return _race_arrays(df, score).select("race_id", F.inline(singles_of("_no", "_s")))
+
+
+def _negated(scores: pa.Array) -> pa.Array:
+    """Scores in falling order from their negatives, which Spark has put in rising order."""
+    return pa.ListArray.from_arrays(scores.offsets, pc.negate(scores.values)) if len(scores) else scores
 
 
 def top3_from_pairs(df: DataFrame, score: str, pair: DataFrame) -> DataFrame:
@@ -305,18 +357,22 @@ def finish_groups(df: DataFrame) -> DataFrame:
 
 def _running_log_totals(terms: Column) -> Column:
     """Logs of the running sums of powers of an array of logs, in its order."""
-    start = F.struct(
-        F.lit(_NOTHING).alias("high"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out")
-    )
-
-    def add(acc: Column, x: Column) -> Column:
-        high = F.greatest(acc["high"], x)
-        total = acc["sum"] * F.exp(acc["high"] - high) + F.exp(x - high)
-        return F.struct(
-            high.alias("high"), total.alias("sum"), F.array_append(acc["out"], high + F.ln(total)).alias("out")
-        )
 
-    return F.aggregate(terms, start, add, lambda acc: acc["out"])
+    @F.arrow_udf("array<double>")
+    def totals(lists: pa.Array) -> pa.Array:
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        out = np.zeros(int(sizes.sum()))
+        for _, runners, x in _by_size(lists):
+            high, total = np.full(len(x), _NOTHING), np.zeros(len(x))
+            with np.errstate(all="ignore"):
+                for place in range(x.shape[1]):
+                    top = np.maximum(high, x[:, place])
+                    total = total * np.exp(high - top) + np.exp(x[:, place] - top)
+                    high = top
+                    out[runners[:, place]] = high + np.log(total)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(out))
+
+    return totals(terms)
 
 
 def pl_terms(groups: DataFrame, score: str, *, gradient: bool = False) -> DataFrame:
