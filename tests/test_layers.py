@@ -172,3 +172,17 @@ def test_trials_end_in_a_choice(spark, frame):
     assert rows[1].mean_logloss < rows[0].mean_logloss and rows[0].state == "COMPLETE" and rows[1].r2_median > rows[0].r2_median
     best = selection.best_trial(trials, task="win", baseline_median=rows[0].r2_median, baseline_min=rows[0].r2_min).first()
     assert (best.trial, best.rule, best.params) == (1, "constrained_logloss", "[('penalty', 0.001), ('rounds', 20)]")
+
+
+def test_medians_and_moments_are_found_once_per_fold(spark, monkeypatch):
+    """Parameter sets of a search share the preparation of a fold, and fit what each would fit alone."""
+    rows = [(r, h, 3, 2015 + r % 5, float((r * 7 + h * 3) % 11), None if r % 6 == 0 else float(h * r % 5), int(h == r % 3 + 1)) for r in range(60) for h in (1, 2, 3)]
+    frame = spark.createDataFrame(rows, "race_id long, horse_no int, field_size int, year int, a double, b double, y_win int").persist()
+    fold_frame = folds.year_folds(folds.years_of(frame, "year"), 2020, least=3)
+    seen, fit = [], train.Imputer._fit
+    monkeypatch.setattr(train.Imputer, "_fit", lambda self, df: seen.append(1) or fit(self, df))
+    grid = [{"penalty": 1e-3}, {"penalty": 1e-1}, {"penalty": 1.0}]
+    trials = {r.trial: r.mean_logloss for r in train.search_trials(frame, fold_frame, "logistic", ["a", "b"], "y_win", grid).collect()}
+    assert len(seen) == 2  # one per fold
+    alone = [train.search_trials(frame, fold_frame, "logistic", ["a", "b"], "y_win", [params]).first().mean_logloss for params in grid]
+    assert [trials[i] for i in range(3)] == pytest.approx(alone, rel=1e-9)
