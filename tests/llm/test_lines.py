@@ -140,6 +140,67 @@ def test_hot_group_makes_few_pairs(spark, monkeypatch):
     assert sum(compared) < 30 * len(docs)  # all pairs would be 150 each
 
 
+@pytest.mark.parametrize("tau", [0, 1, 2, 3])
+def test_two_segments_of_alike_lines_are_probed(tau):
+    rng = random.Random(60 + tau)
+
+    def keys(text, probe):
+        batch = lines.pa.record_batch([lines.pa.array([text])], names=["body"])
+        (out,) = lines._keys(tau, probe, 0, 1, pairs=True, letters=False)(iter([batch]))
+        return set(out.column("key").to_pylist())
+
+    for _ in range(400):
+        a = "".join(rng.choice("abcdefé ") for _ in range(rng.randrange(lines.FUZZY, 50)))
+        b = edited(rng, a, tau)
+        if len(b) >= lines.FUZZY:
+            short, long = sorted((a, b), key=len)
+            assert keys(short, False) & keys(long, True)
+            assert keys(long, False) <= keys(long, True)
+
+
+def test_lines_that_share_a_segment_by_chance_are_not_compared(spark, monkeypatch):
+    rng = random.Random(9)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    texts = ["a segment in every line, " + "".join(rng.sample(letters, 27)) + "".join(rng.sample(letters, 27)) for _ in range(200)]
+    compared = []
+    verified = lines._verified
+
+    def counted(pairs, bodies, tau):
+        compared.append(pairs.count())
+        return verified(pairs, bodies, tau)
+
+    monkeypatch.setattr(lines, "_verified", counted)
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0] + "!"])), "doc_id long, text string")
+    got = lines.line_duplicates(docs, degrees=False).collect()
+    assert [r.doc_id for r in got if r.n_removed] == [200]
+    assert sum(compared) < 200  # all pairs would be 20,000, whose letters agree
+
+
+def test_many_unlinked_copies_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(10)
+    base = [rng.choice("abcdefgh") for _ in range(90)]
+    rounds = []
+    verified = lines._verified
+
+    def counted(pairs, bodies, tau):
+        rounds.append(1)
+        return verified(pairs, bodies, tau)
+
+    def variant(i):
+        own = list(base)
+        for at in rng.sample(range(90), 2):
+            own[at], own[(at + 45) % 90] = own[(at + 45) % 90], own[at]
+        return "".join(own) + ("" if i % 10 else "x")
+
+    monkeypatch.setattr(lines, "_verified", counted)
+    docs = [(i, variant(i)) for i in range(150)]
+    docs += [(1000 + i, t[:30] + "z" + t[30:]) for i, t in docs[:40]]
+    got = lines.line_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), degrees=False)
+    found = got.select("doc_id", "n_lines", "n_removed", "text").collect()
+    assert sorted(map(tuple, found)) == sorted((d, n, removed, text) for d, n, removed, _, text in brute(docs, lines.TAU))
+    assert len(rounds) <= 3
+
+
 def test_long_line_beside_short_ones():
     rng = random.Random(2)
     long = "".join(rng.choice("abcd") for _ in range(5_000))

@@ -6,12 +6,16 @@ it probes the substrings that can still be that segment, for each length that is
 that also agree in their letter counts are verified with a banded bit-parallel edit distance. Linked lines
 form classes; the first line of a class stays, the others are removed from their documents.
 
-The lines of a key are compared with one of them in rounds, since classes need no more; only a caller that
-asks for the links of each line gets all pairs.
+Classes need less: the segments only tell which lines share one with any other line. Short segments are also
+shared by chance, the more of them the more lines there are, so those lines are indexed again by pairs of
+`tau` + 2 segments, of which two must be unchanged, and the lines of such a key are compared with one of them
+in rounds. Only a caller that asks for the links of each line gets all pairs of the single segments.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,10 +69,12 @@ class Block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Block]]:
-    """Rows of each batch in blocks of about PIECE bytes, with their lines."""
+    """Rows of each batch in blocks of about PIECE bytes, with their lines; texts in `packed` or single lines in `body`."""
     for batch in batches:
         begin, texts, size = 0, [], 0
-        for at, text in enumerate(common.unpacked(batch.column("packed")), 1):
+        whole = "packed" in batch.schema.names
+        parts = common.unpacked(batch.column("packed")) if whole else [t.encode("utf-8") for t in batch.column("body").to_pylist()]
+        for at, text in enumerate(parts, 1):
             texts.append(text)
             size += len(text)
             if size >= PIECE:
@@ -98,9 +104,42 @@ def segments(length: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     return k * base + extra, base + (k >= tau + 1 - longer)
 
 
-def _keys(tau: int, probe: bool, part: int, parts: int):
-    def tagged(length: np.ndarray, k: int, h: np.ndarray) -> np.ndarray:
-        return W.mix(h ^ W.mix(length.astype(U64) * U64(64) + U64(k)))
+Shape = tuple[int, tuple[tuple[int, int], ...]]
+
+
+@functools.cache
+def single_shapes(tau: int, probe: bool) -> list[Shape]:
+    """(less, ((segment, shift),)): where one of tau + 1 segments can stand in a line that is `less` longer."""
+    shapes = []
+    for less in range(tau + 1 if probe else 1):  # the indexed line is so much shorter
+        for k in range(tau + 1):
+            low = max(-k, less - (tau - k)) if probe else 0
+            high = min(k, less + (tau - k)) if probe else 0
+            shapes += [(less, ((k, shift),)) for shift in range(low, high + 1)]
+    return shapes
+
+
+@functools.cache
+def pair_shapes(tau: int, probe: bool) -> list[Shape]:
+    """(less, ((segment, shift), (segment, shift))): where two of tau + 2 segments can stand.
+
+    For every way to spread the edits over the segments one pair without edits is enough: the first two, the
+    last two, or else the first and the last one that are free. A segment is moved by the edits before it.
+    """
+    n, found = tau + 2, set()
+    for total in range(tau + 1):
+        for hit in itertools.combinations_with_replacement(range(n), total):
+            free = [k for k in range(n) if k not in hit]
+            a, b = (0, 1) if free[:2] == [0, 1] else (n - 2, n - 1) if free[-2:] == [n - 2, n - 1] else (free[0], free[-1])
+            for moves in itertools.product((-1, 0, 1), repeat=total):
+                if sum(moves) >= 0:
+                    shifts = [sum(m for k, m in zip(hit, moves, strict=True) if k < end) for end in (a, b)]
+                    found.add((sum(moves), ((a, shifts[0]), (b, shifts[1]))))
+    return sorted(found) if probe else sorted({(0, ((a, 0), (b, 0))) for _, ((a, _), (b, _)) in found})
+
+
+def _keys(tau: int, probe: bool, part: int, parts: int, pairs: bool = False, letters: bool = True):
+    shapes = (pair_shapes if pairs else single_shapes)(tau, probe)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Index entries or probes of the different lines of each block, of one part of the keys."""
@@ -110,32 +149,33 @@ def _keys(tau: int, probe: bool, part: int, parts: int):
             line, at = np.unique(line, return_index=True)
             some = some[at]
             start, size = block.start[some], block.end[some] - block.start[some]
-            letters = block.letters(some)
-            out = []
+            cuts = [segments(size - less, tau + pairs) for less in range(tau + 1 if probe else 1)]
+            ranges: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+            def moved(less: int, k: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+                """Whether the segment so moved lies in the line, and its hash there."""
+                if (less, k, shift) not in ranges:
+                    begin, width = cuts[less][0][k] + shift, cuts[less][1][k]
+                    fits = (begin >= 0) & (begin + width <= size)
+                    a = start + np.where(fits, begin, 0)
+                    ranges[less, k, shift] = fits, block.hash(a, a + np.where(fits, width, 0))
+                return ranges[less, k, shift]
 
-            def add(h: np.ndarray, line: np.ndarray, letters: np.ndarray) -> None:
-                own = slice(None) if parts == 1 else h % U64(parts) == U64(part)
-                out.append((h[own], line[own], letters[own]))
-
-            for less in range(tau + 1 if probe else 1):  # the indexed line is so much shorter
-                begin, width = segments(size - less, tau)
-                for k in range(tau + 1):
-                    low = max(-k, less - (tau - k)) if probe else 0
-                    high = min(k, less + (tau - k)) if probe else 0
-                    for shift in range(low, high + 1):
-                        a = begin[k] + shift
-                        fits = (a >= 0) & (a + width[k] <= size)
-                        a = start[fits] + a[fits]
-                        h = tagged(size[fits] - less, k, block.hash(a, a + width[k][fits]))
-                        add(h, line[fits], letters[fits])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([o[0] for o in out]).view(np.int64)),
-                    pa.array(np.concatenate([o[1] for o in out]).view(np.int64)),
-                    pa.array(np.concatenate([o[2] for o in out])),
-                ],
-                names=["key", "line", "letters"],
-            )
+            out = []
+            for less, places in shapes:
+                fits, h = moved(less, *places[0])
+                tag = places[0][0]
+                for place in places[1:]:
+                    also, other = moved(less, *place)
+                    fits, h, tag = fits & also, W.mix(h + W.mix(other)), tag * 64 + place[0]
+                h = W.mix(h ^ W.mix((size - less).astype(U64) * U64(64 if len(places) == 1 else 4096) + U64(tag)))
+                own = np.flatnonzero(fits if parts == 1 else fits & (h % U64(parts) == U64(part)))
+                out.append((h[own], own))
+            own = np.concatenate([o[1] for o in out])
+            columns = [pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), pa.array(line[own].view(np.int64))]
+            if letters:
+                columns.append(pa.array(block.letters(some)[own]))
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "line", "letters"][: len(columns)])
 
     return keys
 
@@ -255,8 +295,9 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _entries(rows: DataFrame, tau: int, part: int, probe: bool) -> DataFrame:
-    return rows.select("row", "packed").mapInArrow(_keys(tau, probe, part, PASSES), "key long, line long, letters int")
+def _entries(rows: DataFrame, tau: int, part: int, probe: bool, *, pairs: bool = False, letters: bool = True) -> DataFrame:
+    columns = "key long, line long" + (", letters int" if letters else "")
+    return rows.mapInArrow(_keys(tau, probe, part, PASSES, pairs, letters), columns)
 
 
 def _near(tau: int):
@@ -286,8 +327,9 @@ def links(rows: DataFrame, first: DataFrame, tau: int = TAU) -> DataFrame:
     """(a, b): hashes of all different lines within `tau` edits. `first` has line, head (row, place)."""
     pairs = None
     for part in range(PASSES):
-        index = _entries(rows, tau, part, False).groupBy("key", F.col("line").alias("b")).agg(F.min("letters").alias("lb"))
-        probes = _entries(rows, tau, part, True).select("key", F.col("line").alias("a"), F.col("letters").alias("la"))
+        texts = rows.select("row", "packed")
+        index = _entries(texts, tau, part, False).groupBy("key", F.col("line").alias("b")).agg(F.min("letters").alias("lb"))
+        probes = _entries(texts, tau, part, True).select("key", F.col("line").alias("a"), F.col("letters").alias("la"))
         found = probes.join(index, "key").where(F.col("a") != F.col("b")).where(_near(tau)(F.col("la"), F.col("lb")))
         found = common.stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         pairs = found if pairs is None else pairs.union(found)
@@ -296,15 +338,23 @@ def links(rows: DataFrame, first: DataFrame, tau: int = TAU) -> DataFrame:
     return _verified(pairs, _bodies(rows, some, first), tau)
 
 
-def _shared(rows: DataFrame, tau: int, part: int) -> DataFrame:
-    """(band, node, hint): keys that one line is indexed by and another one probes, with all their lines.
+def _candidates(rows: DataFrame, tau: int, part: int) -> DataFrame:
+    """(line): lines with a segment that one line is indexed by and another one probes.
 
     Every index entry is among the probes of its line too. So it takes one indexed line per key to find
     the keys that count, whatever the number of their lines, and a probe is joined with one row at most.
     """
+    texts = rows.select("row", "packed")
+    index = _entries(texts, tau, part, False, letters=False).groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"))
+    hits = _entries(texts, tau, part, True, letters=False).join(index, "key").where("line <> low or line <> high")
+    return common.stored(hits.select(F.explode(F.array("line", "low")).alias("line")).distinct())
+
+
+def _shared(bodies: DataFrame, tau: int, part: int) -> DataFrame:
+    """(band, node, hint): keys of two segments that one line is indexed by and another one probes, with all their lines."""
     entry = F.struct("line", "letters")
-    index = _entries(rows, tau, part, False).groupBy("key").agg(F.min(entry).alias("low"), F.max("line").alias("high"))
-    hits = _entries(rows, tau, part, True).join(index, "key").where("line <> low.line or line <> high")
+    index = _entries(bodies, tau, part, False, pairs=True).groupBy("key").agg(F.min(entry).alias("low"), F.max("line").alias("high"))
+    hits = _entries(bodies, tau, part, True, pairs=True).join(index, "key").where("line <> low.line or line <> high")
     hits = common.stored(hits.select("key", "line", "letters", "low"))
     own = hits.select("key", "line", "letters")
     every = own.union(hits.select("key", "low.line", "low.letters")).distinct()
@@ -313,12 +363,10 @@ def _shared(rows: DataFrame, tau: int, part: int) -> DataFrame:
 
 def classes(rows: DataFrame, first: DataFrame, tau: int = TAU) -> DataFrame:
     """(line, label): classes of different lines that links of at most `tau` edits join. `first` as in `links`."""
-    shared = None
-    for part in range(PASSES):
-        found = _shared(rows, tau, part)
-        shared = found if shared is None else shared.union(found)
+    some = functools.reduce(DataFrame.union, [_candidates(rows, tau, part) for part in range(PASSES)])
+    bodies = _bodies(rows, some, first)
+    shared = functools.reduce(DataFrame.union, [_shared(bodies, tau, part) for part in range(PASSES)])
     shared = common.distinct_buckets(shared)
-    bodies = _bodies(rows, shared.select(F.col("node").alias("line")), first)
     label = common.bucket_classes(shared, lambda pairs: _verified(pairs, bodies, tau), _near(tau))
     return label.withColumnRenamed("node", "line")
 
