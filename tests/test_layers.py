@@ -186,3 +186,19 @@ def test_medians_and_moments_are_found_once_per_fold(spark, monkeypatch):
     assert len(seen) == 2  # one per fold
     alone = [train.search_trials(frame, fold_frame, "logistic", ["a", "b"], "y_win", [params]).first().mean_logloss for params in grid]
     assert [trials[i] for i in range(3)] == pytest.approx(alone, rel=1e-9)
+
+
+def _small(spark):
+    rows = [(r, h, 3, 2015 + r % 5, float((r * 7 + h * 3) % 11), None if r % 6 == 0 else float(h * r % 5), int(h == r % 3 + 1)) for r in range(60) for h in (1, 2, 3)]
+    return spark.createDataFrame(rows, "race_id long, horse_no int, field_size int, year int, a double, b double, y_win int")
+
+
+def test_folds_are_fitted_together(spark, monkeypatch):
+    import threading
+
+    frame = _small(spark).persist()
+    gate = threading.Barrier(2, timeout=60)  # passes only if two are under way
+    assert train.together(frame, lambda k: (gate.wait(), k * k)[1], [1, 2]) == [1, 4]
+    monkeypatch.setattr(train, "TOGETHER_ROWS", 100)  # too many rows: one after the other
+    names = train.together(frame, lambda k: threading.current_thread().name, [1, 2, 3])
+    assert set(names) == {threading.current_thread().name}
