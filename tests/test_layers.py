@@ -193,6 +193,36 @@ def _small(spark):
     return spark.createDataFrame(rows, "race_id long, horse_no int, field_size int, year int, a double, b double, y_win int")
 
 
+def test_converged_fits_serve_larger_limits(spark, monkeypatch):
+    """A limit of rounds that was not reached changes nothing, so it costs no fit; one that was reached does."""
+    frame = _small(spark).persist()
+    fold_frame = folds.year_folds(folds.years_of(frame, "year"), 2020, least=3)
+    fits, fit = [], train.fit_binary
+    monkeypatch.setattr(train, "fit_binary", lambda *a, **k: fits.append(a[4]) or fit(*a, **k))
+    grid = [{"penalty": 1e-3, "rounds": n} for n in (100, 1, 50, 50)]
+    trials = {r.trial: r for r in train.search_trials(frame, fold_frame, "logistic", ["a", "b"], "y_win", grid, y_win="y_win").collect()}
+    assert sorted(f["rounds"] for f in fits) == [1, 1, 50, 50]  # of eight
+    assert trials[0].mean_logloss == trials[2].mean_logloss == trials[3].mean_logloss != trials[1].mean_logloss
+    alone = [train.search_trials(frame, fold_frame, "logistic", ["a", "b"], "y_win", [params]).first() for params in grid]
+    assert [trials[i].mean_logloss for i in range(4)] == pytest.approx([r.mean_logloss for r in alone], rel=1e-9)
+    boosted = [{"rounds": 2, "depth": 2}, {"rounds": 4, "depth": 2}]
+    got = {r.trial: r for r in train.search_trials(frame, fold_frame, "gbt", ["a", "b"], "y_win", boosted).collect()}
+    assert got[0].folds == got[1].folds == 2 and got[1].median_round >= got[0].median_round >= 1
+
+
+def test_trials_measure_races_in_one_aggregate(spark):
+    """Pseudo-R² of a trial: races with one winner and a known score of it; no join of races back to their rows."""
+    rows = [(0, 1, 10, 0, 3, 0.2), (0, 1, 10, 1, 3, 0.5), (0, 1, 10, 0, 3, None), (0, 1, 11, 1, 2, 0.9), (0, 1, 11, 1, 2, 0.1)]
+    rows += [(0, 1, 12, 1, 2, None), (0, 1, 12, 0, 2, 0.3), (0, 1, 13, 1, 1, 0.7), (0, 1, None, 1, 2, 0.6), (0, 1, None, 0, 2, 1.0)]
+    schema = "trial int, fold_id int, race_id long, y_win int, field_size int, q double"
+    table = train.trial_table(spark.createDataFrame(rows, schema).withColumn("best_round", F.lit(None).cast("int")), "y_win", "q", y_win="y_win")
+    odds = lambda p: min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6))
+    model = -math.log(odds(0.5) / (odds(0.5) + odds(0.2))) - math.log(odds(0.6) / (odds(0.6) + odds(1.0)))
+    assert table.first().r2_median == pytest.approx(1 - model / (math.log(3) + math.log(2)), rel=1e-9)
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # of losses and pseudo-R² per fold
+
+
 def test_folds_are_fitted_together(spark, monkeypatch):
     import threading
 

@@ -16,6 +16,7 @@ from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
+    LogisticRegressionModel,
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from turfspark import constants as C
 from turfspark.functions import market as M
 from turfspark.functions import scalars as S
-from turfspark.operators import filters, folds, ingroup, joins, metrics, ranking
+from turfspark.operators import filters, folds, joins, metrics, ranking
 from turfspark.plans import registry
 from turfspark.session import materialize, stored
 
@@ -498,8 +499,15 @@ def trial_table(predictions: DataFrame, label: str, output: str, *, y_win: str |
     p = M.clip(F.col(output), C.PROB_EPS, 1.0 - C.PROB_EPS)
     per_fold = known.groupBy(*by).agg(F.avg(M.log_loss(F.col(label), p)).alias("logloss"), F.max("best_round").alias("best_round"))
     if y_win is not None:
-        keyed = predictions.withColumns({"race_id": F.struct("trial", "fold_id", "race_id"), "_score": M.logit(F.col(output))})
-        fit = ranking.race_fit(ingroup.add_softmax(keyed, "_score", "_c"), "_c", y=y_win)
+        # logits are bounded, so the winner's share of a race needs no shift and one aggregate gives it
+        power = F.exp(S.number(M.logit(F.col(output))))
+        won = F.when(F.col(y_win) == 1, power)
+        races = predictions.withColumn("race_id", F.struct(*by, "race_id")).groupBy("race_id").agg(
+            F.max(won).alias("_won"), F.sum(power).alias("_all"), F.count(F.when(F.col(y_win) == 1, 1)).alias("_n"),
+            F.max(S.number(F.col("field_size"))).alias("field_size"),
+        )
+        # one row per race, with its winner if there is exactly one
+        fit = ranking.race_fit(races.select("*", F.when(F.col("_n") == 1, 1).alias("_y"), (F.col("_won") / F.col("_all")).alias("_c")), "_c", y="_y")
         model, null = F.sum("nll_model"), F.sum("nll_null")
         r2 = fit.groupBy("race_id.trial", "race_id.fold_id").agg(F.when(null > 0, 1.0 - model / null).alias("r2"))
         per_fold = per_fold.join(r2, by, "left")
@@ -517,6 +525,49 @@ def trial_table(predictions: DataFrame, label: str, output: str, *, y_win: str |
     )
 
 
+def fit_grid(
+    train: DataFrame, name: str, features: Sequence[str], label: str, grid: Sequence[dict[str, Any]], prepared: Prepared
+) -> list[PipelineModel]:
+    """The fits of all parameter sets on the same rows, as `fit_binary` with `stop_early` makes them.
+
+    Logistic fits of one penalty take the same steps whatever their limit of rounds. So one that has converged
+    before its limit is the fit of every limit from its rounds on; others are fitted anew.
+    """
+    converged: dict[str, tuple[int, PipelineModel]] = {}
+    order = sorted(range(len(grid)), key=lambda i: grid[i].get("rounds", 0)) if name == "logistic" else range(len(grid))
+    found: dict[int, PipelineModel] = {}
+    for i in order:
+        params = grid[i]
+        same = str(sorted((k, v) for k, v in params.items() if k != "rounds"))
+        known = converged.get(same)
+        if known is not None and known[0] < params.get("rounds", 0):
+            found[i] = known[1]
+            continue
+        found[i] = fit_binary(train, name, features, label, params, stop_early=True, prepared=prepared)
+        last = found[i].stages[-1]
+        if isinstance(last, LogisticRegressionModel) and last.summary.totalIterations < last.getMaxIter():
+            converged[same] = last.summary.totalIterations, found[i]
+    return [found[i] for i in range(len(grid))]
+
+
+def predict_grid(models: Sequence[PipelineModel], df: DataFrame, features: Sequence[str], output: str) -> DataFrame:
+    """Rows of `df` once per model, with `trial`, `best_round` and the model's probability; the inputs are made once a row."""
+    scored = numeric_inputs(df, features)
+    for stage in models[0].stages[:-1]:  # the same for all parameter sets
+        scored = stage.transform(scored)
+    trials = []
+    for trial, model in enumerate(models):
+        own = model.stages[-1].copy().setProbabilityCol(f"_p_{trial}").setRawPredictionCol("").setPredictionCol("")
+        scored = own.transform(scored)
+        trials.append(
+            F.struct(
+                F.lit(trial).alias("trial"), F.lit(best_round(model)).cast("int").alias("best_round"),
+                vector_to_array(F.col(f"_p_{trial}"))[1].alias(output),
+            )
+        )
+    return scored.select(*df.columns, F.inline(F.array(*trials)))
+
+
 def search_trials(
     df: DataFrame,
     fold_frame: DataFrame,
@@ -530,14 +581,24 @@ def search_trials(
 ) -> DataFrame:
     """One row per parameter set, for `selection.best_trial`: metrics and, as text, the parameters.
 
-    `df` should be stored. Predictions of all trials are stored once, then measured in one pass.
+    `df` should be stored. Predictions of all trials are stored once, each row read once for all of them, then
+    measured in one pass.
     """
     keep = [c for c in (y_win,) if c is not None and c != label]
-    prepared: dict[int, Prepared] = {}
-    parts = [
-        fold_predictions(df, fold_frame, name, features, label, "_p", params=params, keep=keep, prepared=prepared).withColumn("trial", F.lit(trial))
-        for trial, params in enumerate(grid)
-    ]
+    years = folds.collect_folds(fold_frame)
+    if not years:
+        raise ValueError("no fold: too few years before the holdout")
+
+    def fit(fold: tuple[int, list[int], int]) -> list[PipelineModel]:
+        train = df.filter(F.col("year").isin(fold[1]))
+        return fit_grid(train, name, features, label, grid, prepare(train, name, features))
+
+    inputs = list(dict.fromkeys(["race_id", "field_size", label, *keep, *features]))
+    parts = []
+    for (fold_id, _, valid_year), models in zip(years, together(df, fit, years), strict=True):
+        valid = df.filter(F.col("year") == valid_year).select(*inputs)
+        scored = predict_grid(models, valid, features, "_p").withColumn("fold_id", F.lit(fold_id))
+        parts.append(scored.select("trial", "fold_id", "race_id", "field_size", label, *keep, "best_round", "_p"))
     table = trial_table(store(filters.concat_folds(parts)), label, "_p", y_win=y_win)
     texts = {trial: str(sorted(params.items())) for trial, params in enumerate(grid)}
     return table.withColumn("params", ranking.by_key("trial", texts))
